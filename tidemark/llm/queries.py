@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language, quality
+from tidemark.llm import bpe, decontam, jaccard, language, linededup, quality, toxicity, urlfilter
 
 QUERIES = {
     "op1_bpe": bpe.run,
+    "op2_line_dedup": linededup.run,
+    "op3_toxicity": toxicity.run,
+    "op4_decontamination": decontam.run,
     "op6_quality": quality.run,
+    "op7_url_filter": urlfilter.run,
+    "op9_jaccard_join": jaccard.run,
     "op10_language": language.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": linededup.ORACLE_SQL,
+    "op7_url_filter": urlfilter.ORACLE_SQL,
+}

@@ -48,3 +48,10 @@ def mounted(spark: SparkSession, name: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the files of a table that `stored` wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
