@@ -98,9 +98,9 @@ def stitch(parts: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]], pat
     return np.concatenate(out)
 
 
-def digest(ids: np.ndarray, vocabulary: list[bytes]) -> tuple[int, str, str]:
+def digest(ids: np.ndarray, vocabulary: list[bytes]) -> tuple[str, str]:
     raw = b"".join(map(vocabulary.__getitem__, ids.tolist()))
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 def decode(ids, path: str, pattern: str) -> bytes:
@@ -117,19 +117,23 @@ def _default() -> tuple[str, str]:
 _PART = "row string, doc_id long, start long, chunk string, bounds binary, begins binary, ids binary"
 
 
-def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, digests: bool = False) -> DataFrame:
-    """doc_id and, per row of df, its ids: `ids` (binary, little-endian unsigned 32-bit), or with digests=True n_tokens, ids_sha256, decoded_sha256."""
+def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, digests: bool = False, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens and, per row of df, its `ids` (binary, little-endian unsigned 32-bit); with digests=True ids_sha256 and, of the text decoded from the ids, decoded_sha256."""
     path, pattern = (path, pattern) if path and pattern else _default()
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, n_tokens long, ids binary"
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64()} | ({"ids": pa.binary()} if ids else {}) | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {})
+    out = ", ".join(f"{name} {({pa.int64(): 'long', pa.binary(): 'binary'}).get(kind, 'string')}" for name, kind in kinds.items())
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longer = F.length("text") > chunk + overlap
 
     def rows(doc_ids: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [doc_ids, [len(x) for x in found]]
+        if ids:
+            columns.append([x.tobytes() for x in found])
         if digests:
             vocabulary = tables(path, pattern)[2]
-            n, a, b = zip(*(digest(x, vocabulary) for x in found), strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            done = [digest(x, vocabulary) for x in found]
+            columns += [[x for x, _ in done], [x for _, x in done]]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,4 +172,4 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, c
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True, ids=False)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, jaccard, language, linededup, quality, toxicity, urlfilter
+from tidemark.llm import bpe, decontam, jaccard, kneser, language, linededup, quality, toxicity, urlfilter, vectors
 
 QUERIES = {
     "op1_bpe": bpe.run,
     "op2_line_dedup": linededup.run,
     "op3_toxicity": toxicity.run,
     "op4_decontamination": decontam.run,
+    "op5_embedding_near_dedup": vectors.run,
     "op6_quality": quality.run,
     "op7_url_filter": urlfilter.run,
+    "op8_kneser_ney": kneser.run,
     "op9_jaccard_join": jaccard.run,
     "op10_language": language.run,
 }
