@@ -43,24 +43,49 @@ def linear_map(x: Column, low: Column, high: Column, to_low, to_high) -> Column:
     return F.when(F.abs(high - low) < 1e-12, (a + b) / 2).otherwise(a + (x - low) * (b - a) / F.nullif(high - low, F.lit(0.0)))
 
 
-def logistic_growth(score: Column, age: Column, at: Column) -> tuple[Column, Column, Column]:
-    """Capacity, rate and the value at a time of a logistic curve from 1 through (age, score)."""
-    s, t = F.greatest(score, F.lit(0.0)), F.when(age > 0, age).otherwise(F.lit(1 / 12))
-    capacity = F.greatest(s * 1.5 + 1, s + 1, F.lit(2.0))
-    start = F.greatest(capacity - 1, F.lit(1e-6))
-    ratio = clamp((capacity - F.greatest(s, F.lit(1e-6))) / (F.greatest(s, F.lit(1e-6)) * start), 1e-6, 1e6)
-    rate = F.greatest(-F.ln(ratio) / t, F.lit(0.0))
-    return capacity, rate, capacity / (1 + start * F.exp(-rate * at))
-
-
-def gompertz_growth(score: Column, age: Column, at: Column) -> tuple[Column, Column, Column]:
-    """Capacity, rate and the value at a time of a Gompertz curve from 1 through (age, score)."""
-    s, t = F.greatest(score, F.lit(0.0)), F.when(age > 0, age).otherwise(F.lit(1 / 12))
-    capacity = F.greatest(s * 1.5 + 1, s + 1, F.lit(2.0))
-    start = -F.ln(clamp(1 / capacity, 1e-9, 1 - 1e-6))
-    now = -F.ln(clamp(F.greatest(s, F.lit(1e-6)) / capacity, 1e-6, 0.999999))
-    rate = F.greatest(F.ln(start / now) / t, F.lit(0.0))
-    return capacity, rate, capacity * F.exp(-start * F.exp(-rate * at))
+def _hours(age: Column) -> Column:
+    return F.when(age > 0, age).otherwise(F.lit(1 / 12))
+
+
+def capacity(score: Column, multiplier: float = 1.5) -> Column:
+    """Carrying capacity of a growth curve that begins at 1 and has reached score."""
+    n = F.greatest(score, F.lit(0.0))
+    return F.greatest(n * multiplier + 1, n + 1, F.lit(2.0))
+
+
+def logistic_rate(score: Column, age: Column, multiplier: float = 1.5) -> Column:
+    """Rate of the logistic curve from 1 through (age, score), never negative."""
+    n, top = F.greatest(score, F.lit(0.0)), capacity(score, multiplier)
+    left = clamp((top - n) / F.greatest(n * (top - 1), F.lit(1e-6)), 1e-6, 1e6)
+    return F.greatest(-F.ln(left) / _hours(age), F.lit(0.0))
+
+
+def logistic_at(top: Column, rate: Column, hours: Column) -> Column:
+    return top / (1 + (top - 1) * F.exp(-rate * hours))
+
+
+def gompertz_rate(score: Column, age: Column, multiplier: float = 1.5) -> Column:
+    """Rate of the Gompertz curve from 1 through (age, score), never negative."""
+    n, top = F.greatest(score, F.lit(0.0)), capacity(score, multiplier)
+    left = clamp(-F.ln(clamp(n / top, 1e-9, 1 - 1e-6)) / F.ln(top), 1e-6, 0.999999)
+    return F.greatest(-F.ln(left) / _hours(age), F.lit(0.0))
+
+
+def gompertz_at(top: Column, rate: Column, hours: Column) -> Column:
+    return top * F.exp(-F.ln(top) * F.exp(-rate * hours))
+
+
+def branching_ratio(score: Column, comments: Column) -> Column:
+    """Share of comments in all engagement, from 0 to 0.95: the self-excitation of a Hawkes process."""
+    return clamp(comments / F.greatest(score + comments, F.lit(1e-6)), 0.0, 0.95)
+
+
+def hawkes_base(score: Column, age: Column, ratio: Column) -> Column:
+    return F.greatest(score / _hours(age) * (1 - ratio), F.lit(0.0))
+
+
+def hawkes_expected(base: Column, ratio: Column, hours: Column | float) -> Column:
+    return base * hours / F.greatest(1 - ratio, F.lit(1e-6))
 
 
 def early_fraction(value: Column, score: Column) -> Column:

@@ -1 +1,3 @@
+"""Operators: functions from DataFrames to DataFrames. Importing the package registers its plugins."""
 
+from tidemark.operators import risk, simulate  # noqa: F401
