@@ -159,11 +159,11 @@ def distinguished_name(cn: Column | str, o: Column | str, c: Column | str) -> Co
     return F.concat_ws("; ", part("CN", cn), part("O", o), part("C", c))
 
 
-def last_wins_map(entries: Column | str) -> Column:
-    """A map from an array of (key, value) structs; of equal keys the last one counts, whatever spark.sql.mapKeyDedupPolicy says."""
+def last_wins_map(entries: Column | str, key: str = "key", value: str = "value") -> Column:
+    """A map from an array of structs with these two fields; of equal keys the last one counts, whatever spark.sql.mapKeyDedupPolicy says."""
     e = col(entries)
-    keys = F.array_distinct(F.transform(e, lambda x: x[0]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(e, lambda x: x[0] == k), -1)[1]))
+    keys = F.array_distinct(F.transform(e, lambda x: x[key]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(e, lambda x: x[key] == k), -1)[value]))
 
 
 _REPORT = "struct<manifests:array<struct<claimGenerator:string,assertions:array<string>,vendor:string>>,verification:struct<overall:string,isValid:boolean>,verifications:struct<overall:string,isValid:boolean>,vendor:string>"

@@ -50,8 +50,12 @@ def roc_points(c: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return c.select(*by, "score", (F.col("cfp") / F.nullif("n", F.lit(0))).alias("fpr"), (F.col("ctp") / F.nullif("p", F.lit(0))).alias("tpr"))
 
 
-_AUC = F.try_divide(F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") + F.col("tp") / 2)), F.max("p") * F.max("n"))
-_AP = F.try_divide(F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))), F.max("p"))
+def _auc() -> Column:
+    return F.try_divide(F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") + F.col("tp") / 2)), F.max("p") * F.max("n"))
+
+
+def _ap() -> Column:
+    return F.try_divide(F.sum(F.col("tp") * F.col("ctp") / (F.col("ctp") + F.col("cfp"))), F.max("p"))
 
 
 def _eer(prune: bool) -> Column:
@@ -65,7 +69,7 @@ def _eer(prune: bool) -> Column:
 def summary(c: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, auc, ap, eer (on the pruned curve), eer_unpruned, positives, negatives from a curve."""
     out = c.groupBy(*by) if by else c
-    return out.agg(_AUC.alias("auc"), _AP.alias("ap"), _eer(True).alias("eer"), _eer(False).alias("eer_unpruned"), F.max("p").alias("positives"), F.max("n").alias("negatives"))
+    return out.agg(_auc().alias("auc"), _ap().alias("ap"), _eer(True).alias("eer"), _eer(False).alias("eer_unpruned"), F.max("p").alias("positives"), F.max("n").alias("negatives"))
 
 
 def auc_if_labelled(df: DataFrame, score: str = "prob", label: str = "label", skip_unlabelled: bool = False) -> DataFrame:
