@@ -48,8 +48,8 @@ def spread(docs: DataFrame, sites: int = SITES, site: str = "source", least: int
     return sure.unionByName(exact)
 
 
-def clean(docs: DataFrame, sites: int = SITES, site: str = "source", least: int = LEAST) -> DataFrame:
-    """docs with boilerplate lines taken out of text, and n_lines and n_removed."""
+def clean(docs: DataFrame, sites: int = SITES, site: str = "source", least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with boilerplate lines taken out of text, and the numbers of lines and of those taken out, which replace columns of these names."""
     boiler = spread(docs, sites, site, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     h, g = _hash(F.col("line"))
@@ -62,11 +62,11 @@ def clean(docs: DataFrame, sites: int = SITES, site: str = "source", least: int
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     changed = F.col("_gone").isNotNull() & F.col("text").isNotNull()
     text = F.when(changed, F.array_join("_left", "\n")).otherwise(F.col("text"))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": text}
+    columns = {c: F.col(c) for c in docs.columns if c not in counts} | {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(size(every)).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(size(every) - size(F.col("_left"))).cast("long").alias("n_removed")]
-    return out.select(*(v.alias(k) for k, v in columns.items()), *counts)
+    numbers = (size(every), size(every) - size(F.col("_left")))
+    return out.select(*(v.alias(k) for k, v in columns.items()), *(F.when(F.col("text").isNull(), 0).otherwise(x).cast("long").alias(c) for c, x in zip(counts, numbers, strict=True)))
 
 
 def run(spark, sf_dir: str) -> DataFrame:
@@ -76,8 +76,8 @@ def run(spark, sf_dir: str) -> DataFrame:
 
 def keep(spark, docs: DataFrame) -> DataFrame:
     """docs without boilerplate lines; a document of which nothing is left goes, its lines stay in the first document that has them."""
-    found = clean(docs)
-    return found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    found = clean(docs, counts=("_lines", "_removed"))
+    return found.where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))).select(*docs.columns)
 
 
 ORACLE_SQL = f"""

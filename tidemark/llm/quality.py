@@ -99,17 +99,17 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", each: i
     return train([x or "" for x in rows.column("text").to_pylist()], rows.column(label).to_pylist())
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], columns: list[str] | None = None) -> DataFrame:
-    """documents' columns (or those named) and `score`."""
+def score(documents: DataFrame, model: tuple[np.ndarray, float], columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """documents' columns (or those named) and the score as `name`, which replaces a column of that name."""
     weights, bias = model
-    kept = columns or documents.columns
-    docs = documents.select(*{*kept, "text"})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double"
+    kept = [c for c in columns or documents.columns if c != name]
+    docs = documents.select(*dict.fromkeys([*kept, "text"]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{name}` double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.slices(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(score_batch(part, weights, bias))], names=[*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(score_batch(part, weights, bias))], names=[*kept, name])
 
     return docs.mapInArrow(work, schema)
 
@@ -122,5 +122,5 @@ def run(spark, sf_dir: str) -> DataFrame:
 
 def keep(spark, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of docs that score at least threshold, with their columns."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    scored = score(docs, fit(docs, labels), name="_quality")
+    return scored.where(F.col("_quality") >= threshold).select(*docs.columns)
