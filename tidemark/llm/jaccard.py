@@ -14,12 +14,18 @@ D being the most by which a partner can differ, so at least T of the keys of a
 similar pair are equal (all blocks, empty ones too, where too few are filled).
 
 1. Copies: equal sets are one class, found by a 128-bit sum over the set.
-2. Hubs: in each bucket of equal keys every set is paired with the smallest doc_id.
-   Pairs with enough equal keys are verified on the sets; links give first components.
-3. Rest: buckets that still hold several components give the pairs across them. A set
-   with fewer than T buckets of more than LARGE members may leave those out, as T keys
-   of a similar pair are equal. Pairs with enough equal keys are verified, so no link
-   that could join two components is missed.
+2. Hubs: in each bucket of equal keys every set is paired with the smallest doc_id; of
+   its hubs a set is verified against the one with which it shares most keys. Links give
+   first components.
+3. Rest: buckets that still hold several components give the pairs across them. In
+   buckets of up to LARGE members all such pairs are counted, and those with too few equal
+   keys go (a similar pair has T, less those that can be in larger buckets). A set with
+   fewer than T larger buckets meets its partners in the small ones; the others are
+   compared within the larger buckets, tile by tile, by the Hamming distance of parity
+   sketches of two bits or more a shingle: first each set is verified against the CLOSEST
+   sets of other components, which joins almost all that belongs together, then all pairs
+   that are still in different components and near enough. What is left is verified on the
+   sets, so no link that could join two components is missed.
 
 Keys that are frequent within one task of the first step are dealt over the shards by
 task, with their smallest doc_id in the key's own shard, so a bucket's hubs form a tree
@@ -37,6 +43,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +55,14 @@ from tidemark.llm.session import discard, partitions, stored
 WORDS = 5
 NUM, DEN = 80, 100
 RATIO = 1.6
+BLOCKS = 1.8
+SPARE = 0.1
 HOT = 64
-LARGE = 24
+LARGE = 8
+TILE = 1024
+CLOSEST = 2
+SLOTS = 1 << 21
+FEWER = 1 << 15  # marks a set that has too few blocks to promise the T keys of its band
 FLUSH = 3_000_000
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -69,8 +82,8 @@ class Bands:
         """The most shingles in which similar sets of these sizes can differ."""
         return int((a + b) * (1 - self.s) / (1 + self.s))
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, blocks, the most by which a partner met there can differ) for each band that a set of n shingles takes part in."""
+    def of(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(band, blocks, the most by which a partner met there can differ, equal keys wanted of a pair) for each band that a set of n shingles takes part in."""
         self._grow(n)
         own = int(np.searchsorted(self.lo, n, "right")) - 1
         most = int(n / self.s)  # the largest partner
@@ -79,30 +92,30 @@ class Bands:
             if self.lo[band] <= most or band == own:
                 high = self.lo[band + 1] - 1
                 widest = self.differ(high, high)
-                out.append((band, widest + widest // 3 + 4, self.differ(n, min(high, most))))
+                out.append((band, 4 + int(widest * BLOCKS), self.differ(n, min(high, most)), 1 + int(self.lo[band] * SPARE)))
         return out
 
 
-def keys_of(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
-    """Join keys of a set (sorted distinct hashes), and how many of them a similar set has at least (for each band)."""
-    out, least = [], 1 << 15
+def keys_of(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of a set (sorted distinct hashes), their lowest byte the band, and for each how many keys of the band a similar set has at least."""
+    out, least = [], []
     n = len(s)
-    for band, blocks, differ in bands.of(n):
+    for band, blocks, differ, wanted in bands.of(n):
         block = ((s >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # ascends with s
         begin = np.flatnonzero(np.diff(block, prepend=np.uint64(1 << 63)))
         filled = block[begin]
         parity = np.bitwise_xor.reduceat(tv.mix(s * _C[2]), begin)
-        spare = len(filled) - differ
+        spare = min(len(filled) - differ, wanted)
         if spare >= 1:
-            spare = min(spare, 2 + n // 32)
             filled, parity = filled[: differ + spare], parity[: differ + spare]
         else:
             every = np.zeros(blocks, np.uint64)
             every[filled.astype(np.int64)] = parity
             filled, parity, spare = np.arange(blocks, dtype=np.uint64), every, 1
-        least = min(least, spare)
-        out.append(tv.mix(parity ^ tv.mix(filled * _C[3] + np.uint64((band + 1) * int(_C[1]) % (1 << 64)))))
-    return np.concatenate(out), least
+        key = tv.mix(parity ^ tv.mix(filled * _C[3] + np.uint64((band + 1) * int(_C[1]) % (1 << 64))))
+        out.append((key & ~np.uint64(255)) | np.uint64(band))
+        least.append(np.full(len(key), spare if spare >= wanted else spare | FEWER, np.uint16))
+    return np.concatenate(out), np.concatenate(least)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,16 +133,32 @@ def _docs(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set, a power of two of them and at least two a shingle."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    at = np.bincount((tv.mix(s ^ _C[3]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(at.astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all as long as the shortest: halves are XORed, as if there had been fewer bits."""
+    words = min(len(x) for x in sketches) // 8
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
 def sizes(documents: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n (set size) and the 128-bit print f, g of each row."""
+    """doc_id, n (set size), the 128-bit print f, g and the parity sketch of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.slices(batch):
-                rows = [(doc, len(s), *_print(s)) for doc, s in _sets(part, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "n", "f", "g"])
+                rows = [(doc, len(s), *_print(s), sketch(s) if len(s) else b"") for doc, s in _sets(part, k)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 4 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names=["doc_id", "n", "f", "g", "sketch"])
 
-    return _docs(documents).mapInArrow(work, "doc_id long, n long, f long, g long")
+    return _docs(documents).mapInArrow(work, "doc_id long, n long, f long, g long, sketch binary")
 
 
 def _packed(documents: DataFrame, k: int, shards: int, num: int, den: int) -> DataFrame:
@@ -138,13 +167,13 @@ def _packed(documents: DataFrame, k: int, shards: int, num: int, den: int) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         task = np.uint64(TaskContext.get().partitionId() if TaskContext.get() else 0)
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, np.ndarray]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([x for x, _, _ in held])
             n = [len(x) for x, _, _ in held]
-            docs, least = np.repeat(np.array([d for _, d, _ in held], np.int64), n), np.repeat(np.array([t for _, _, t in held], np.uint16), n)
+            docs, least = np.repeat(np.array([d for _, d, _ in held], np.int64), n), np.concatenate([t for _, _, t in held])
             shard = (keys % np.uint64(shards)).astype(np.int64)
             order = np.argsort(keys, kind="stable")
             begin = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
@@ -196,7 +225,7 @@ def _buckets(packed: DataFrame, shards: int) -> DataFrame:
         begin = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
         size = np.diff(begin, append=len(keys))
         many = np.repeat(size > 1, size)
-        hub, need = np.repeat(docs[begin], size)[many], np.minimum(np.repeat(least[begin], size)[many], least[many])
+        hub, need = np.repeat(docs[begin], size)[many], np.minimum(np.repeat(least[begin], size)[many] % FEWER, least[many] % FEWER)
         keys, docs, least = keys[many], docs[many], least[many]
         other = hub != docs
         a, b, t = hub[other], docs[other], need[other]
@@ -213,13 +242,24 @@ def _buckets(packed: DataFrame, shards: int) -> DataFrame:
     return packed.repartition(shards, "shard").mapInArrow(work, "kind byte, key long, a long, b long, c int, t int")
 
 
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bit for each of SLOTS hashes, set where some doc_id has it: what is left out of a shuffle by it is surely not needed. Its size is fixed; on large inputs it fills up and lets more pass."""
+    bits = np.zeros(SLOTS, bool)
+    found = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
+    bits[found.column(0).to_numpy()] = True
+    return np.packbits(bits)
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, by the sets themselves."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sieve = _sieve(needed)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sieve).astype(bool)
         for batch in batches:
-            for part in tv.slices(batch):
+            kept = batch.filter(pa.array(bits[np.asarray(batch.column(2))]))
+            for part in tv.slices(kept):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for _, s in _sets(part, k)], pa.binary())], names=["doc_id", "s"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +273,8 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int
                 ok.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = _docs(documents).join(needed, "doc_id").mapInArrow(build, "doc_id long, s binary")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
+    sets = _docs(documents).where("doc_id IS NOT NULL").select("doc_id", "text", slot).mapInArrow(build, "doc_id long, s binary")
     with_a = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(test, "a long, b long")
@@ -245,6 +286,70 @@ def _mapped(df: DataFrame, column: str, table: DataFrame, node: str, to: str) ->
     return df.join(t, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
+def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket whose sketches allow them to be similar, and the sketches' distance d.
+
+    rows: key, size, hub (smallest a), a, component, n, sketch. closest: of each a only its closest b of a bucket; otherwise
+    a < b. Buckets of one hub go to one task where they are no larger than a tile; it doesn't repeat a pair that it has given.
+    """
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    tiled = rows.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    grouped = tiled.select(F.concat_ws("-", "key", low, high).alias("grp"), F.xxhash64("hub", low, high).alias("place"), "own", "other", "a", "component", "n", "sketch")
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        own, other, a, component, n = (np.asarray(table.column(c)) for c in ("own", "other", "a", "component", "n"))
+        words = folded(table.column("sketch").to_pylist())
+        left, right = np.flatnonzero(own <= other), np.flatnonzero(own >= other)
+        out = []
+        for x, y in ((left, right), (right, left)) if closest and not np.array_equal(left, right) else ((left, right),):
+            for at in range(0, len(x), 128):
+                i = x[at : at + 128]
+                apart = component[i][:, None] != component[y]
+                if not apart.any():
+                    continue
+                total = n[i][:, None] + n[y]
+                distance = np.bitwise_count(words[i][:, None, :] ^ words[y][None, :, :]).sum(axis=2, dtype=np.int64)
+                distance[~(apart & (distance * (den + num) <= total * (den - num)))] = 1 << 40
+                if closest:
+                    q = distance.argmin(axis=1)
+                    p = np.flatnonzero(distance[np.arange(len(i)), q] < 1 << 40)
+                    q = q[p]
+                else:
+                    p, q = np.nonzero(distance < 1 << 40)
+                out.append(np.stack([a[i[p]], a[y[q]], distance[p, q]]))
+        x = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+        if not closest:
+            x = np.stack([x[:2].min(axis=0), x[:2].max(axis=0), x[2]])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "d"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
+
+        def done() -> pa.RecordBatch:
+            got = pairs(pa.Table.from_batches(held))
+            new = [i for i, x in enumerate(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) if x not in seen and not seen.add(x)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            return got.take(pa.array(new, pa.int64()))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0)
+            change = np.flatnonzero(np.asarray(pc.not_equal(names[1:], names[:-1]))) + 1
+            for x, y in zip([0, *change], [*change, batch.num_rows], strict=True):
+                if held and held[-1].column(0)[0] != names[int(x)]:
+                    yield done()
+                    held = []
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield done()
+
+    return grouped.repartition(parts, "place").sortWithinPartitions("grp").mapInArrow(work, "a long, b long, d long")
+
+
 def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id for each row; links are pairs with 100 * intersection >= 100 * num/den * union."""
     spark = documents.sparkSession
@@ -261,25 +366,43 @@ def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -
         sized = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
         return sized.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
 
-    hubs = _mapped(_mapped(found.where("kind = 0").select("a", "b", "c", "t"), "a", copies, "doc_id", "rep"), "b", copies, "doc_id", "rep")
-    hubs = hubs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", "t").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("t").alias("t")).where("c >= t")
+    hubs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("t").alias("t")).where("c >= t")
+    hubs = hubs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    hubs = _mapped(_mapped(hubs, "a", copies, "doc_id", "rep"), "b", copies, "doc_id", "rep").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(_verified(stored(similar_size(hubs), "pairs"), documents, k, num, den), "links")
     first = stored(components(links), "components")
 
-    members = _mapped(found.where("kind = 1").select("key", "a", "t"), "a", copies, "doc_id", "rep").groupBy("key", "a").agg(F.min("t").alias("t"))
-    members = members.join(first.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    rest = stored(members.join(open_keys, "key"), "rest")
-    large = rest.where(F.col("size") > LARGE).groupBy("a").agg(F.count(F.lit(1)).alias("large"), F.min("t").alias("_t")).where("large < _t").select("a", "large")
-    rest = rest.join(large, "a", "left").where(F.col("large").isNull() | (F.col("size") <= LARGE)).withColumn("t", F.col("t") - F.coalesce("large", F.lit(0)))
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("a", "t", "component"))) for i in (1, 2))
-    across = x.join(y, "key").where("a1 < a2 AND component1 <> component2").groupBy(F.col("a1").alias("a"), F.col("a2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("t1", "t2")).alias("t")).where("c >= t")
-    more = stored(_verified(stored(similar_size(across), "pairs"), documents, k, num, den), "links")
-    final = first
-    if not more.isEmpty():
-        edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        final = stored(components(edges), "components")
+    members = stored(_mapped(found.where("kind = 1").select("key", "a", "t"), "a", copies, "doc_id", "rep").groupBy("key", "a").agg(F.min("t").alias("t")), "members")
     discard(spark, found)
+    sketches = some.groupBy("doc_id").agg(F.max_by("sketch", "n").alias("sketch"), F.max("n").alias("n")).withColumnRenamed("doc_id", "a")
+
+    def still_open(parts: DataFrame) -> DataFrame:
+        """Members of the buckets with several components, with the number of large ones among their buckets of the band."""
+        own = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.max("t").alias("_t"), F.min("a").alias("hub")).where("lo <> hi")
+        rest = own.join(keys.select("key", "size", "hub", (F.col("_t") >= FEWER).alias("fewer")), "key")
+        rest = stored(rest.withColumn("t", F.col("t") % FEWER).withColumn("band", F.pmod("key", F.lit(256)).cast("int")), "rest")
+        large = rest.where(F.col("size") > LARGE).groupBy("a", "band").agg(F.count(F.lit(1)).alias("large"))
+        return rest.join(large, ["a", "band"], "left").withColumn("large", F.coalesce("large", F.lit(0)))
+
+    def within_large(rest: DataFrame, closest: bool) -> DataFrame:
+        wide = rest.where((F.col("size") > LARGE) & (F.col("fewer") | (F.col("large") >= F.col("t")))).join(sketches, "a")
+        return _near(wide.select("key", "size", "hub", "a", "component", "n", "sketch"), shards, num, den, closest)
+
+    def grown(parts: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return parts
+        return stored(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+
+    best = within_large(still_open(first), True).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, CLOSEST).alias("best")).select("a", F.explode("best.b").alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = grown(first, stored(_verified(stored(similar_size(best), "pairs"), documents, k, num, den), "links"))
+
+    rest = still_open(second)
+    x, y = (rest.where(F.col("size") <= LARGE).select("key", "band", *(F.col(c).alias(f"{c}{i}") for c in ("a", "t", "component", "large"))) for i in (1, 2))
+    counted = x.join(y.drop("band"), "key").where("a1 < a2 AND component1 <> component2").groupBy(F.col("a1").alias("a"), F.col("a2").alias("b"), "band").agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("least(t1, t2) - least(large1, large2)")).alias("t"))
+    across = counted.where("c >= t").select("a", "b").unionByName(within_large(rest, False).select("a", "b")).distinct()
+    final = grown(second, stored(_verified(stored(similar_size(across), "pairs"), documents, k, num, den), "links"))
     out = _mapped(docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), "component_id", copies, "doc_id", "rep")
     return _mapped(out, "component_id", final, "node", "component").select("doc_id", "n_shingles", "component_id")
 
