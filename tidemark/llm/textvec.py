@@ -7,6 +7,7 @@ All hashes are 64-bit and depend on nothing but the bytes hashed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once; temporaries take some 60 times as much.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -50,6 +51,15 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as workers live on between tasks and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,6 +83,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = WINDOW) -> I
         to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
