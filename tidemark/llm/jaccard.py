@@ -63,7 +63,7 @@ TILE = 1024
 CLOSEST = 2
 SLOTS = 1 << 21
 FEWER = 1 << 15  # marks a set that has too few blocks to promise the T keys of its band
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -228,16 +228,20 @@ def _buckets(packed: DataFrame, shards: int) -> DataFrame:
         hub, need = np.repeat(docs[begin], size)[many], np.minimum(np.repeat(least[begin], size)[many] % FEWER, least[many] % FEWER)
         keys, docs, least = keys[many], docs[many], least[many]
         other = hub != docs
-        a, b, t = hub[other], docs[other], need[other]
+        # Hubs are only where to begin: of sets with many keys an eighth stands for all, so the rows don't grow with the shards.
+        weight = np.where(need < 8, 1, 8)
+        other &= (weight == 1) | ((keys >> np.uint64(8)) % np.uint64(8) == 0)
+        a, b, t, weight = hub[other], docs[other], need[other], weight[other]
         order = np.lexsort((b, a))
-        a, b, t = a[order], b[order], t[order]
+        a, b, t, weight = a[order], b[order], t[order], weight[order]
         first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)) if len(a) else np.empty(0, np.int64)
-        c = np.diff(first, append=len(a))
+        c = np.add.reduceat(weight, first) if len(first) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int8)), pa.nulls(len(first), pa.int64()), pa.array(a[first]), pa.array(b[first]), pa.array(c.astype(np.int32)), pa.array(t[first].astype(np.int32))], names=["kind", "key", "a", "b", "c", "t"])
         for at in range(0, len(keys), 100_000):
             x = slice(at, at + 100_000)
             m = len(keys[x])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(keys[x].astype(np.int64)), pa.array(docs[x]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(least[x].astype(np.int32))], names=["kind", "key", "a", "b", "c", "t"])
+        tv.release()
 
     return packed.repartition(shards, "shard").mapInArrow(work, "kind byte, key long, a long, b long, c int, t int")
 
@@ -330,7 +334,7 @@ def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False
         def done() -> pa.RecordBatch:
             got = pairs(pa.Table.from_batches(held))
             new = [i for i, x in enumerate(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) if x not in seen and not seen.add(x)]
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             return got.take(pa.array(new, pa.int64()))
 
@@ -346,6 +350,7 @@ def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False
                 held.append(batch.slice(x, y - x))
         if held:
             yield done()
+        tv.release()
 
     return grouped.repartition(parts, "place").sortWithinPartitions("grp").mapInArrow(work, "a long, b long, d long")
 
