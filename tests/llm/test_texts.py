@@ -169,3 +169,20 @@ def test_several_passes_over_a_large_benchmark(spark, table, monkeypatch):
     assert len(list(decontam.indexes(bench))) > 3
     assert {(r.doc_id, r.item_id) for r in decontam.hits(docs, bench).collect()} == {(i, i) for i in range(20)}
     assert decontam.clean(docs, bench).count() == 0
+
+
+def test_short_questions_and_answers_are_found(spark, table):
+    rng = random.Random(7)
+    questions = [prose(rng, 9) for _ in range(6)]
+    texts = [f"{questions[0]} ? Bedu", f"{questions[1]} Answer: Bedu cora", f"{questions[2]}? b", f"Q: {questions[3]}?Bedu", "Why bolu? " + prose(rng, 12), "Bolu? " + prose(rng, 8)]
+    texts += [prose(rng, n) for n in (4, 5, 6)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, prose(rng, 70) + f" {t.upper()} " + prose(rng, 50)) for i, t in enumerate(texts)]
+    other = [(100 + i, f"{q}? " + prose(rng, 60, "vwxz")) for i, q in enumerate(questions[:3])]
+    docs = table(rows + other)
+    want = {(i, i) for i in range(len(texts))}
+    # Brute force: the copied runs of words, whole.
+    for i, text in rows:
+        assert {k for k, t in enumerate(texts) if f" {t.lower()} " in f" {text.lower()} "} == {i}
+    assert {(r.doc_id, r.item_id) for r in decontam.hits(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {i for i, _ in other}

@@ -9,7 +9,8 @@ frequent terms whose block maxima together stay below SLACK of the threshold onl
 count by that sum, the others add their block maxima. Blocks that can still reach the
 threshold are searched by WAND, which returns every item at or above it. A hit
 counts once the question and the answer of the item both overlap with the text around
-the passage (share of word 3-grams).
+the passage (share of word 3-grams; of a question or answer of fewer words, whether the
+text has that run of words).
 
 The index is small by construction: items are dealt over as many passes as it takes
 to keep each one's text below INDEX_BYTES, and each pass goes over all documents.
@@ -17,7 +18,8 @@ to keep each one's text below INDEX_BYTES, and each pass goes over all documents
 Defined results: documents or items without words (null, empty) match nothing; two
 equal items are both reported; extra columns pass through `clean` untouched.
 Question and answer of an item: before and after its last question mark or
-`answer:`, else its first two thirds of words and the rest.
+`answer:` (a word that goes on behind the mark belongs to both), else its first two
+thirds of words and the rest.
 """
 
 from __future__ import annotations
@@ -50,15 +52,20 @@ def _words(text: str | None) -> np.ndarray:
 def parts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of question and answer."""
     m = _CUT.match(text)
-    if m:
-        return _words(m[1]), _words(m[2])
     w = _words(text)
+    if m:
+        at = len(_words(m[1]))
+        return w[:at], w[at if text[m.end(1)] in " \t\n\v\f\r" else at - 1 :]
     at = max(1, len(w) * 2 // 3)
     return w[:at], w[at:]
 
 
-def grams3(w: np.ndarray) -> np.ndarray:
-    return tv.shingles(w, 3)
+def overlap(part: np.ndarray, around: np.ndarray) -> float:
+    """Share of a part's word 3-grams, or of its one shorter run, that the text has; 1 of an empty part."""
+    if not len(part):
+        return 1.0
+    width = min(3, len(part))
+    return float(np.isin(tv.shingles(part, width), tv.shingles(around, width), assume_unique=True).mean())
 
 
 class Index:
@@ -66,7 +73,7 @@ class Index:
         own = [(i, t, w) for i, t in items if len(w := _words(t))]
         self.ids = np.array([i for i, _, _ in own], np.int64)
         self.threshold = threshold
-        self.questions, self.answers = zip(*((grams3(a), grams3(b)) for a, b in (parts(t) for _, t, _ in own)), strict=True) if own else ((), ())
+        self.questions, self.answers = zip(*(parts(t) for _, t, _ in own), strict=True) if own else ((), ())
         n = len(own)
         lengths = np.array([len(w) for _, _, w in own], float)
         self.terms, flat = np.unique(np.concatenate([w for _, _, w in own]) if own else np.empty(0, np.uint64), return_inverse=True)
@@ -180,8 +187,8 @@ class Index:
             for item, score in self.wand(mine[mine >= 0], set(b.tolist())):
                 if (r, item) in out and out[r, item][2] >= score:
                     continue
-                around = grams3(h[max(bounds[r], lo - WIDTH * UNIT) : min(bounds[r + 1], hi + WIDTH * UNIT)])
-                q, a = (float(np.isin(g, around, assume_unique=True).mean()) if len(g) else 1.0 for g in (self.questions[item], self.answers[item]))
+                around = h[max(bounds[r], lo - WIDTH * UNIT) : min(bounds[r + 1], hi + WIDTH * UNIT)]
+                q, a = overlap(self.questions[item], around), overlap(self.answers[item], around)
                 if q >= OVERLAP and a >= OVERLAP:
                     out[r, item] = (r, int(self.ids[item]), score, q, a)
         return sorted(out.values())
