@@ -186,3 +186,20 @@ def test_short_questions_and_answers_are_found(spark, table):
         assert {k for k, t in enumerate(texts) if f" {t.lower()} " in f" {text.lower()} "} == {i}
     assert {(r.doc_id, r.item_id) for r in decontam.hits(docs, bench).collect()} == want
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {i for i, _ in other}
+
+
+def test_long_items_are_found():
+    rng = random.Random(8)
+    vocab = list(dict.fromkeys(prose(rng, 6000).split()))
+    zipf = [1 / (k + 1) for k in range(len(vocab))]
+
+    def some(n):
+        return " ".join(rng.choices(vocab, weights=zipf, k=n))
+
+    items = [some(n) for n in (5, 64, 65, 100, 128, 129, 160, 200, 300, 500, 1000, 1024, 1025, 3000) for _ in range(3)]
+    index = decontam.Index(list(enumerate(items)))
+    rows = [some(rng.randint(0, 300)) + " " + t + " " + some(rng.randint(0, 300)) for t in items] + [some(4000), items[-1][: len(items[-1]) // 3]]
+    found = {(r, i) for r, i, *_ in index.search(*tv.words(pa.array(rows)))}
+    assert found == {(i, i) for i in range(len(items))}
+    alone = {(r, i) for r, i, *_ in index.search(*tv.words(pa.array(items)))}
+    assert alone == {(i, i) for i in range(len(items))}

@@ -4,7 +4,9 @@ The test items are the indexed side. Impacts (BM25 weights) are divided by what
 item scores against itself, so one threshold holds for all items, and posting lists
 are cut into blocks of BLOCK items with the largest impact of each block. Every
 document is cut into units of UNIT words; a passage is WIDTH neighbouring units, and
-every passage is a query. Block-max bounds come first, for all passages at once: the
+every passage is a query. Items of more than (WIDTH - 1) * UNIT words have units of
+twice that length, of more than twice as many words of four times, and so on (levels), so
+some passage holds the whole of any copied item. Block-max bounds come first, for all passages at once: the
 frequent terms whose block maxima together stay below SLACK of the threshold only
 count by that sum, the others add their block maxima. Blocks that can still reach the
 threshold are searched by WAND, which returns every item at or above it. A hit
@@ -68,9 +70,38 @@ def overlap(part: np.ndarray, around: np.ndarray) -> float:
     return float(np.isin(tv.shingles(part, width), tv.shingles(around, width), assume_unique=True).mean())
 
 
+def levels_of(lengths: np.ndarray) -> np.ndarray:
+    """How often UNIT is doubled for items of these lengths, so that WIDTH - 1 units hold them."""
+    units = -(-lengths.astype(np.int64) // ((WIDTH - 1) * UNIT))
+    return np.array([max(0, int(n) - 1).bit_length() for n in units], np.int64)
+
+
+class Level:
+    """Blocks of the items of one level, numbered from `first`: block maxima as runs of (term, block), and the frequent terms' bounds."""
+
+    def __init__(self, unit: int, first: int, blocks: int, terms: int, run_term: np.ndarray, run_block: np.ndarray, run_max: np.ndarray, most: float):
+        self.unit, self.first, self.blocks = unit, first, blocks
+        self.run_block, self.run_max = run_block - first, run_max
+        self.run_begin = np.searchsorted(run_term, np.arange(terms + 1))
+        # Frequent terms whose maxima together stay below `most` in every block.
+        self.rest = np.zeros(blocks)
+        self.heavy = np.ones(terms, bool)
+        for t in np.argsort(-np.diff(self.run_begin), kind="stable"):
+            more = self.rest.copy()
+            s = slice(self.run_begin[t], self.run_begin[t + 1])
+            more[self.run_block[s]] += self.run_max[s]
+            if more.max() > most:
+                break
+            self.rest = more
+            self.heavy[t] = False
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         own = [(i, t, w) for i, t in items if len(w := _words(t))]
+        level = levels_of(np.array([len(w) for _, _, w in own]))
+        order = np.argsort(level, kind="stable")
+        own, level = [own[i] for i in order], level[order]
         self.ids = np.array([i for i, _, _ in own], np.int64)
         self.threshold = threshold
         self.questions, self.answers = zip(*(parts(t) for _, t, _ in own), strict=True) if own else ((), ())
@@ -86,24 +117,22 @@ class Index:
         weight = idf[self.post_term] * tf * (K1 + 1) / (tf + norm[self.post_item])
         self.impact = weight / np.maximum(np.bincount(self.post_item, weight, n)[self.post_item], 1e-12)
         self.begin = np.searchsorted(self.post_term, np.arange(len(self.terms) + 1))
-        # Block maxima, as runs of (term, block).
-        self.blocks = -(-n // BLOCK)
-        key = self.post_term * max(self.blocks, 1) + self.post_item // BLOCK
-        runs, first = np.unique(key, return_index=True)
-        self.run_block = runs % max(self.blocks, 1)
-        self.run_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.run_begin = np.searchsorted(runs // max(self.blocks, 1), np.arange(len(self.terms) + 1))
-        # Frequent terms whose maxima together stay below SLACK * threshold in every block.
-        self.rest = np.zeros(self.blocks)
-        self.heavy = np.ones(len(self.terms), bool)
-        for t in np.argsort(-df, kind="stable"):
-            more = self.rest.copy()
-            s = slice(self.run_begin[t], self.run_begin[t + 1])
-            more[self.run_block[s]] += self.run_max[s]
-            if more.max() > SLACK * threshold:
-                break
-            self.rest = more
-            self.heavy[t] = False
+        # Blocks hold items of one level only.
+        steps, start, count = np.unique(level, return_index=True, return_counts=True)
+        blocks = -(-count // BLOCK)
+        first = np.cumsum(blocks) - blocks
+        k = np.searchsorted(steps, level)
+        self.block = first[k] + (np.arange(n) - start[k]) // BLOCK
+        self.blocks = int(blocks.sum())
+        key = self.post_term * max(self.blocks, 1) + self.block[self.post_item]
+        order = np.argsort(key, kind="stable")
+        runs, begin = np.unique(key[order], return_index=True)
+        run_max = np.maximum.reduceat(self.impact[order], begin) if len(begin) else np.empty(0)
+        run_term, run_block = runs // max(self.blocks, 1), runs % max(self.blocks, 1)
+        self.levels = []
+        for step, f, m in zip(steps.tolist(), first.tolist(), blocks.tolist(), strict=True):
+            mine = (run_block >= f) & (run_block < f + m)
+            self.levels.append(Level(UNIT << step, f, m, len(self.terms), run_term[mine], run_block[mine], run_max[mine], SLACK * threshold))
 
     def term_ids(self, h: np.ndarray) -> np.ndarray:
         """Number of each word's term, or -1."""
@@ -117,7 +146,7 @@ class Index:
         # Postings of these terms within these blocks, and each list's own largest impact there.
         n = self.begin[terms + 1] - self.begin[terms]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[terms], n)
-        at = at[np.isin(self.post_item[at] // BLOCK, list(blocks))]
+        at = at[np.isin(self.block[self.post_item[at]], list(blocks))]
         cut = np.flatnonzero(np.diff(self.post_term[at])) + 1
         lists = [(float(self.impact[x].max()), self.post_item[x].tolist(), self.impact[x].tolist()) for x in np.split(at, cut) if len(x)]
         heap = [(items[0], k, 0) for k, (_, items, _) in enumerate(lists)]
@@ -151,47 +180,53 @@ class Index:
         """(row, item_id, score, question overlap, answer overlap) of each verified hit; row i has words h[bounds[i]:bounds[i+1]]."""
         if not len(self.ids) or not len(h):
             return []
+        term = self.term_ids(h)
+        out: dict[tuple[int, int], tuple[int, int, float, float, float]] = {}
+        for level in self.levels:
+            self._search(level, h, bounds, term, out)
+        return sorted(out.values())
+
+    def _search(self, level: Level, h: np.ndarray, bounds: np.ndarray, term: np.ndarray, out: dict[tuple[int, int], tuple[int, int, float, float, float]]) -> None:
+        """Adds the verified hits on items of one level."""
         rows = len(bounds) - 1
         counts = np.diff(bounds)
-        units = -(-counts // UNIT)
+        units = -(-counts // level.unit)
         base = np.concatenate([[0], np.cumsum(units)])
-        term = self.term_ids(h)
         row = np.repeat(np.arange(rows), counts)
-        unit = base[row] + (np.arange(len(h)) - bounds[row]) // UNIT
+        unit = base[row] + (np.arange(len(h)) - bounds[row]) // level.unit
         on = np.flatnonzero(term >= 0)
-        on = on[self.heavy[term[on]]]
+        on = on[level.heavy[term[on]]]
         distinct = np.unique(unit[on] * np.int64(len(self.terms)) + term[on])
         unit, t = distinct // len(self.terms), distinct % len(self.terms)
-        reps = self.run_begin[t + 1] - self.run_begin[t]
+        reps = level.run_begin[t + 1] - level.run_begin[t]
         total = int(reps.sum())
-        if not total and not (self.rest >= self.threshold).any():
-            return []
-        at = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(self.run_begin[t], reps)
-        cells = np.bincount(np.repeat(unit, reps) * self.blocks + self.run_block[at], self.run_max[at], int(base[-1]) * self.blocks).reshape(-1, self.blocks)
+        if not total and not (level.rest >= self.threshold).any():
+            return
+        at = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(level.run_begin[t], reps)
+        cells = np.bincount(np.repeat(unit, reps) * level.blocks + level.run_block[at], level.run_max[at], int(base[-1]) * level.blocks).reshape(-1, level.blocks)
         # A passage begins at each unit and takes WIDTH units of the same row.
         bound = cells.copy()
         owner = np.repeat(np.arange(rows), units)
         for j in range(1, WIDTH):
             same = owner[j:] == owner[:-j]
             bound[:-j] += np.where(same[:, None], cells[j:], 0)
-        passages, found_blocks = np.nonzero(bound + self.rest >= self.threshold - 1e-9)
-        out: dict[tuple[int, int], tuple[int, int, float, float, float]] = {}
+        passages, found_blocks = np.nonzero(bound + level.rest >= self.threshold - 1e-9)
+        length = WIDTH * level.unit
         splits = np.flatnonzero(np.diff(passages)) + 1
         for p, b in zip(np.split(passages, splits), np.split(found_blocks, splits), strict=True):
             if not len(p):
                 continue
             r = int(owner[p[0]])
-            lo = int(bounds[r] + (p[0] - base[r]) * UNIT)
-            hi = int(min(bounds[r + 1], lo + WIDTH * UNIT))
+            lo = int(bounds[r] + (p[0] - base[r]) * level.unit)
+            hi = int(min(bounds[r + 1], lo + length))
             mine = np.unique(term[lo:hi])
-            for item, score in self.wand(mine[mine >= 0], set(b.tolist())):
+            for item, score in self.wand(mine[mine >= 0], set((level.first + b).tolist())):
                 if (r, item) in out and out[r, item][2] >= score:
                     continue
-                around = h[max(bounds[r], lo - WIDTH * UNIT) : min(bounds[r + 1], hi + WIDTH * UNIT)]
+                around = h[max(bounds[r], lo - length) : min(bounds[r + 1], hi + length)]
                 q, a = overlap(self.questions[item], around), overlap(self.answers[item], around)
                 if q >= OVERLAP and a >= OVERLAP:
                     out[r, item] = (r, int(self.ids[item]), score, q, a)
-        return sorted(out.values())
 
 
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
