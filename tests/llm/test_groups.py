@@ -189,6 +189,20 @@ def test_similar_sets_share_enough_keys():
         assert ((both & np.uint64(255)) == band).sum() >= least
 
 
+def test_keys_of_very_large_sets():
+    rng = np.random.default_rng(7)
+    bands = jaccard.Bands()
+    for n in (330_000, 540_000, 1_000_000):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        other = np.unique(np.concatenate([s[n // 20 :], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]))
+        (ka, ta), (kb, tb) = jaccard.keys_of(s, bands), jaccard.keys_of(other, bands)
+        for band, _, _, wanted in bands.of(len(s)):
+            mine, both = (ka & np.uint64(255)) == band, np.intersect1d(ka, kb)
+            least = int(ta[mine].min())
+            assert 0 < least % jaccard.FEWER <= wanted and (least < jaccard.FEWER) == (least == wanted)
+            assert ((both & np.uint64(255)) == band).sum() >= least % jaccard.FEWER
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = []

@@ -62,7 +62,7 @@ LARGE = 8
 TILE = 1024
 CLOSEST = 2
 SLOTS = 1 << 21
-FEWER = 1 << 15  # marks a set that has too few blocks to promise the T keys of its band
+FEWER = 1 << 30  # marks a set that has too few blocks to promise the T keys of its band
 FLUSH = 1_000_000
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -114,7 +114,7 @@ def keys_of(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
             filled, parity, spare = np.arange(blocks, dtype=np.uint64), every, 1
         key = tv.mix(parity ^ tv.mix(filled * _C[3] + np.uint64((band + 1) * int(_C[1]) % (1 << 64))))
         out.append((key & ~np.uint64(255)) | np.uint64(band))
-        least.append(np.full(len(key), spare if spare >= wanted else spare | FEWER, np.uint16))
+        least.append(np.full(len(key), spare if spare >= wanted else spare | FEWER, np.uint32))
     return np.concatenate(out), np.concatenate(least)
 
 
@@ -212,7 +212,7 @@ def _buckets(packed: DataFrame, shards: int) -> DataFrame:
     """kind 0: (a, b) a hub and a member of its bucket, `c` equal keys, `t` needed at least; kind 1: `a` is a member of bucket `key`, needing `t`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.frombuffer(x, t) for b in ([*map(bytes, batch.column(c).to_pylist())],) for x in b] for batch in batches for c, t in ((1, np.uint64), (2, np.int64), (3, np.uint16))]
+        got = [[np.frombuffer(x, t) for b in ([*map(bytes, batch.column(c).to_pylist())],) for x in b] for batch in batches for c, t in ((1, np.uint64), (2, np.int64), (3, np.uint32))]
         if not got:
             return
         keys, docs, least = (np.concatenate([x for part in got[i::3] for x in part]) for i in range(3))
