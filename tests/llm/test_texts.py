@@ -93,6 +93,15 @@ def test_language_in_two_steps(spark, table, odd, empty):
     assert language.predict(empty, model).count() == 0 and language.predict(docs, language.fit(empty)).first().lang_pred == "und"
 
 
+def test_texts_without_a_letter_have_no_language():
+    model = language.Model(["thwsh thsh", "schkz schk"], ["en", "de"])
+    none = ["123 – 456 €", "…", "\N{GRINNING FACE}\N{WHITE SMILING FACE}", "。", "\N{COMBINING ACUTE ACCENT}", "٣", "–", "", None, "12 !"]
+    some = ["é", "日", "ж 1", "ª", "x", "– a", "ʰ", "ǅ"]
+    got, score = model.predict(pa.record_batch({"text": pa.array(none + some)}))
+    assert got[: len(none)] == ["und"] * len(none) and (score[: len(none)] == 0).all()
+    assert set(got[len(none) :]) <= {"en", "de"} and (score[len(none) :] > 0).all()
+
+
 def test_grammar():
     assert toxicity.read_clause("...I..") == 0 and toxicity.read_clause("G..I") == 1 and toxicity.read_clause("I..G") == 1
     assert toxicity.read_clause("NI") == 2 and toxicity.read_clause("N....I") == 0 and toxicity.read_clause("R..I") == 3 and toxicity.read_clause("Q.I.Q") == 3

@@ -2,12 +2,12 @@
 
 A first layer tells language families apart, a second one the languages within the
 family. Both are one-versus-one linear support vector machines over hashed character
-grams (2 to 4 bytes, lower case, letters only) and predict by votes, ties by summed
+grams (2 to 4 bytes, lower case, ASCII letters and all longer characters) and predict by votes, ties by summed
 margins. Trained by averaged sub-gradient descent in numpy on at most EACH documents
 a language and TOTAL in all, of LONGEST characters at most; scoring reads whole texts.
 
-Defined results: `und` with score 0 where the text is null or has no letter (or no
-language was learned). The score is the logistic value of the smallest margin that
+Defined results: `und` with score 0 where the text is null or has no letter (Unicode
+category L; or no language was learned). The score is the logistic value of the smallest margin that
 the winner had, families and languages together. Repeated rows are scored each.
 """
 
@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +96,10 @@ class Model:
         return out
 
     def predict(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-        data, offsets = tv.buffers(batch.column(batch.schema.get_field_index("text")))
+        text = batch.column(batch.schema.get_field_index("text"))
+        data, offsets = tv.buffers(text)
         rows = batch.num_rows
-        has = grams.row_sums((~tv.NOT_LETTER[data]).astype(np.float64), offsets[:-1], offsets[1:]) > 0
+        has = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
         if not self.families:
             return ["und"] * rows, np.zeros(rows)
         found = _features(data, offsets)
