@@ -2,8 +2,10 @@
 
 import json
 import math
+import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +365,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.posting_id, r.snapshot_utc) for r in batch.collect()} and spark.read.parquet(str(tmp_path / "out")).count() == len(got)
     timed = snapshots.with_event_time(batch)
     assert snapshots.rates(timed).count() == 2 and snapshots.sessions(timed).count() == 2
+
+
+def test_stream_query_takes_late_rows_of_many_files(spark, sf_dir, tmp_path):
+    from tidemark.plans.queries import QUERIES
+
+    events = pq.read_table(f"{sf_dir}/events.parquet").sort_by("ts")
+    step = len(events) // 250
+    (tmp_path / "events.parquet").mkdir()
+    order = list(range(250))  # of three batches of 100, as rows are late from the third one on
+    random.Random(9).shuffle(order)
+    for name, k in enumerate(order):
+        pq.write_table(events.slice(k * step, step), tmp_path / "events.parquet" / f"{name:03}.parquet")
+    got = sorted((r.user_id, r.event_id) for r in QUERIES["stream_snapshots_equals_batch"](spark, str(tmp_path)).collect())
+    assert got == sorted(set(zip(events["user_id"].to_pylist()[: step * 250], events["event_id"].to_pylist()[: step * 250], strict=True)))

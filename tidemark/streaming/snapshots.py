@@ -22,9 +22,9 @@ def with_event_time(df: DataFrame, seconds: str = "snapshot_utc", name: str = "a
     return df.withColumn(name, at)
 
 
-def deduplicated(df: DataFrame, keys: list[str], at: str = "at", delay: str = "1 hour") -> DataFrame:
-    """The first row of equal keys, as far back as the watermark reaches; on a batch, of all."""
-    if not df.isStreaming:
+def deduplicated(df: DataFrame, keys: list[str], at: str = "at", delay: str | None = "1 hour") -> DataFrame:
+    """The first row of equal keys, as far back as the watermark reaches; on a batch or without a delay, of all: no row is late, and all keys are kept as state."""
+    if not df.isStreaming or delay is None:
         return df.dropDuplicates(keys)
     return df.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
