@@ -4,11 +4,16 @@ A first layer tells language families apart, a second one the languages within t
 family. Both are one-versus-one linear support vector machines over hashed character
 grams (2 to 4 bytes, lower case, ASCII letters and all longer characters) and predict by votes, ties by summed
 margins. Trained by averaged sub-gradient descent in numpy on at most EACH documents
-a language and TOTAL in all, of LONGEST characters at most; scoring reads whole texts.
+a language and TOTAL in all, drawn from those of LONGEST characters at most; scoring reads
+whole texts. Training is one task of an executor.
 
 Defined results: `und` with score 0 where the text is null or has no letter (Unicode
-category L; or no language was learned). The score is the logistic value of the smallest margin that
-the winner had, families and languages together. Repeated rows are scored each.
+category L; or no language was learned). The score is the logistic value of the smallest
+margin that the winner had, families and languages together. Ties: of languages equal in
+votes and margins the first by name. Ids whose rows differ in language don't train; of
+texts that repeat an id the smallest trains; all rows are scored. A very long text is
+scored in windows and takes a few bytes for each of its own. Only doc_id, text and (for
+training) lang are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import grams
 from tidemark.llm import textvec as tv
+from tidemark.llm.session import lean
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -48,9 +54,9 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang, lang)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    clean = grams.letters(data)
-    return [(grams.buckets(clean, n, BITS), *grams.inside(offsets, n, len(clean))) for n in ORDERS]
+def _features(text: str) -> np.ndarray:
+    clean = grams.letters(tv.buffers(pa.array([text]))[0])
+    return np.concatenate([grams.buckets(clean, n, BITS) for n in ORDERS])
 
 
 def _machine(docs: list, y: np.ndarray, seed: int) -> np.ndarray:
@@ -61,7 +67,7 @@ def _machine(docs: list, y: np.ndarray, seed: int) -> np.ndarray:
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
             step += 1
-            ids, share = docs[i]
+            ids, share = grams.unpacked(docs[i])
             margin = y[i] * (share @ w[ids] + w[-1])
             if margin < 1:
                 rate = 1 / (1 + 0.002 * step)
@@ -75,11 +81,7 @@ class Model:
     """nodes: (labels, [(a, b, weights)]) for the families and for each family of several languages."""
 
     def __init__(self, texts: list[str], langs: list[str], seed: int = 11):
-        docs = []
-        for text in texts:
-            data, offsets = tv.buffers(pa.array([text]))
-            ids, counts = np.unique(np.concatenate([f[0] for f in _features(data, offsets)]), return_counts=True)
-            docs.append((ids, counts / max(1, counts.sum())))
+        docs = [grams.packed(_features(text)) for text in texts]
         self.families = sorted({family(x) for x in langs})
         self.members = {f: sorted({x for x in langs if family(x) == f}) for f in self.families}
         self.machines = [self._pairs(docs, [family(x) for x in langs], self.families, seed)]
@@ -95,6 +97,17 @@ class Model:
             out.append((i, j, w[:-1].astype(np.float32), float(w[-1])))
         return out
 
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Machines (the families' first) by rows: mean weight of a row's grams, and the bias."""
+        machines = [m for group in self.machines for m in group]
+        clean = grams.letters(data)
+        total, count = np.zeros((len(machines), len(offsets) - 1)), np.zeros(len(offsets) - 1)
+        for n in ORDERS:
+            more, number = grams.totals(clean, offsets, n, BITS, [w for _, _, w, _ in machines])
+            total += more
+            count += number
+        return total / np.maximum(count, 1) + np.array([b for *_, b in machines]).reshape(-1, 1)
+
     def predict(self, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
         text = batch.column(batch.schema.get_field_index("text"))
         data, offsets = tv.buffers(text)
@@ -102,13 +115,12 @@ class Model:
         has = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False), bool)
         if not self.families:
             return ["und"] * rows, np.zeros(rows)
-        found = _features(data, offsets)
-        count = np.maximum(sum(end - begin for _, begin, end in found), 1)
+        margins = iter(self.margins(data, offsets))
 
         def decide(machines, n):
             votes, sums, least = np.zeros((rows, n)), np.zeros((rows, n)), np.full((rows, n), np.inf)
-            for i, j, w, b in machines:
-                m = sum(grams.row_sums(w[ids], begin, end) for ids, begin, end in found) / count + b
+            for i, j, _, _ in machines:
+                m = next(margins)
                 votes[:, i] += m >= 0
                 votes[:, j] += m < 0
                 for k, s in ((i, m), (j, -m)):
@@ -120,11 +132,9 @@ class Model:
         fam, margin = decide(self.machines[0], len(self.families))
         langs = np.empty(rows, object)
         for k, f in enumerate(self.families):
-            mine = np.flatnonzero(fam == k)
-            if not len(mine):
-                continue
             names = self.members[f]
             best, least = decide(self.machines[1 + k], len(names)) if len(names) > 1 else (np.zeros(rows, int), np.full(rows, np.inf))
+            mine = np.flatnonzero(fam == k)
             langs[mine] = [names[x] for x in best[mine]]
             margin[mine] = np.minimum(margin[mine], least[mine])
         score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
@@ -134,14 +144,13 @@ class Model:
 
 def fit(documents: DataFrame, where=None, each: int = EACH, total: int = TOTAL) -> Model:
     known = documents.where(where) if where is not None else documents
-    chosen = grams.sample(known, "doc_id", "lang", each, total, "language")
-    texts = documents.select("doc_id", "text").where((F.length("text") <= LONGEST) & (F.length("text") > 0))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").toArrow().sort_by("doc_id")
-    return Model(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    rows = grams.training(known, "lang", each, total, LONGEST, "language", 1)
+    return grams.in_one_task(rows, lambda t: Model(t.column("text").to_pylist(), t.column("lang").to_pylist()) if t else Model([], []))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score."""
+    lean(documents.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

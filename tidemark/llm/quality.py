@@ -4,14 +4,19 @@ Every word and every character 3- to 5-gram of a text is hashed to a learned
 vector; a document is the mean of its vectors, a softmax layer turns the mean into
 class probabilities. A word equal to the one before it counts as one more feature.
 Vectors and output layer are trained by numpy stochastic gradient descent on at
-most EACH labelled documents of each class, of LONGEST characters at most (the
-documented bound of the training sample; scoring reads whole texts). For scoring,
-the output layer is folded into the vectors, so each feature costs one table look-up.
+most EACH labelled documents of each class, drawn from those of LONGEST characters
+at most (the documented bound of the training sample; scoring reads whole texts).
+Training is one task of an executor. For scoring, the output layer is folded into the
+vectors, so each feature costs one table look-up.
 
 Defined results: a null or empty text has no features and gets the bias's score.
-Labels that are null, and documents without one, don't train; where no label of one
-class is known the score is the share of label 1 (0.5 without any). Repeated rows
-are scored each. Only doc_id and text are read from documents.
+Labels that are null, ids whose labels differ, and documents without a label don't
+train; where no label of one class is known the score is the share of label 1 (0.5
+without any). Rows that repeat a doc_id train once, by the smallest of their texts,
+and are scored each. Ties can't arise: a score depends on the row's text alone, and the
+sample is ordered by a hash and the id. A very long text is scored in windows and takes
+some 12 bytes for each of its own. Only doc_id and text are read from documents, doc_id
+and the label from labels; in `keep` no name of a column can clash.
 """
 
 from __future__ import annotations
@@ -22,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm import grams
 from tidemark.llm import textvec as tv
+from tidemark.llm.session import fresh, lean, named
 
 BITS = 17
 DIM = 8
@@ -35,9 +42,8 @@ EPOCHS = 4
 RATE = 0.25
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(buckets, first, end) by kind of feature; row i has buckets[first[i]:end[i]]."""
-    out = [(grams.buckets(data, n, BITS), *grams.inside(offsets, n, len(data))) for n in ORDERS]
+def words(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, first, end) of the words, and of whether they repeat the one before; row i has buckets[first[i]:end[i]]."""
     starts, ends = tv.spans(data, offsets)
     h = tv.hash_spans(data, starts, ends)
     bounds = tv.rows_of(starts, offsets)
@@ -45,8 +51,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     same[bounds[:-1][bounds[:-1] < len(h)]] = False
-    again = np.where(same, np.uint32(1), np.uint32(0))  # buckets 0 and 1 double as "other word" and "same word"
-    return [*out, (word, bounds[:-1], bounds[1:]), (again, bounds[:-1], bounds[1:])]
+    again = same.astype(np.uint32)  # buckets 0 and 1 double as "other word" and "same word"
+    return [(word, bounds[:-1], bounds[1:]), (again, bounds[:-1], bounds[1:])]
+
+
+def features(text: str) -> np.ndarray:
+    """The buckets of all features of one text."""
+    data, offsets = tv.buffers(pa.array([text]))
+    return np.concatenate([*(grams.buckets(data, n, BITS) for n in ORDERS), *(x for x, _, _ in words(data, offsets))])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -55,12 +67,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
-    docs = []
-    for text in texts:
-        data, offsets = tv.buffers(pa.array([text]))
-        found = np.concatenate([f[0] for f in features(data, offsets)]) if len(data) else np.empty(0, np.uint32)
-        ids, counts = np.unique(found, return_counts=True)
-        docs.append((ids, counts / max(1, counts.sum())))
+    docs = [grams.packed(features(text)) for text in texts]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, DIM))
     out = rng.normal(0, 0.1, (2, DIM))
@@ -68,7 +75,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(docs)):
-            ids, share = docs[i]
+            ids, share = grams.unpacked(docs[i])
             mean = share @ vectors[ids] if len(ids) else np.zeros(DIM)
             logits = out @ mean + bias
             p = np.exp(logits - logits.max())
@@ -84,7 +91,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
 def score_batch(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:
     data, offsets = tv.buffers(batch.column(batch.schema.get_field_index("text")))
     total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-    for found, begin, end in features(data, offsets):
+    for n in ORDERS:
+        (more,), number = grams.totals(data, offsets, n, BITS, [weights])
+        total += more
+        count += number
+    for found, begin, end in words(data, offsets):
         total += grams.row_sums(weights[found], begin, end)
         count += end - begin
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -30, 30)))
@@ -93,18 +104,18 @@ def score_batch(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.n
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", each: int = EACH, where=None) -> tuple[np.ndarray, float]:
     """Trains on at most `each` labelled documents of each class; `where` restricts the rows that may train."""
     known = labels.where(where) if where is not None else labels
-    chosen = grams.sample(known.withColumn(label, F.col(label).cast("int")).where(F.col(label).isin(0, 1)), "doc_id", label, each, 2 * each, "quality")
-    texts = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label).toArrow().sort_by("doc_id")
-    return train([x or "" for x in rows.column("text").to_pylist()], rows.column(label).to_pylist())
+    known = known.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    rows = grams.training(documents, "label", each, 2 * each, LONGEST, "quality", labels=known)
+    return grams.in_one_task(rows, lambda t: train(t.column("text").to_pylist(), t.column("label").to_pylist()) if t else train([], []))
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float], columns: list[str] | None = None, name: str = "score") -> DataFrame:
     """documents' columns (or those named) and the score as `name`, which replaces a column of that name."""
+    lean(documents.sparkSession)
     weights, bias = model
     kept = [c for c in columns or documents.columns if c != name]
-    docs = documents.select(*dict.fromkeys([*kept, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{name}` double"
+    docs = documents.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])))
+    schema = StructType([*(f for f in docs.schema if f.name in kept), StructField(name, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,5 +133,5 @@ def run(spark, sf_dir: str) -> DataFrame:
 
 def keep(spark, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Rows of docs that score at least threshold, with their columns."""
-    scored = score(docs, fit(docs, labels), name="_quality")
-    return scored.where(F.col("_quality") >= threshold).select(*docs.columns)
+    name = fresh(docs.columns, "quality_score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) >= threshold).select(*named(docs))

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -24,10 +25,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: files in the shared folder, so that a lost executor loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Bytes of an Arrow batch between the JVM and Python; each task holds a few of them on either side. Spark's own default is 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Has the session send small Arrow batches, unless the application has set their size itself."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,3 +62,16 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
     if path is not None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of the columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(df: DataFrame, leave_out: tuple[str, ...] = ()) -> list[Column]:
+    """df's columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in leave_out]

@@ -32,6 +32,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _frugal() -> None:
+    """Has this process give large freed arrays back to the system at once; by itself glibc comes to keep blocks of up to 32 MB."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for option, value in ((-3, 4 << 20), (-1, 16 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            ctypes.CDLL(None).mallopt(option, value)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_frugal()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every bit of a 64-bit value."""
     h = h ^ (h >> np.uint64(30))
@@ -72,8 +85,9 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """Runs of rows that hold about `most` bytes of text; a longer row comes alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold about `most` bytes of text (WINDOW); a longer row comes alone."""
+    most = most or WINDOW
     if not batch.num_rows:
         return
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0), np.int64))
@@ -86,6 +100,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = WINDOW) -> I
     release()
 
 
+def cut(column: pa.Array | pa.ChunkedArray, ends: bytes, most: int | None = None) -> pa.RecordBatch:
+    """row, text: the texts, those of more than `most` bytes (WINDOW) cut after one of the bytes `ends` into pieces of about that size; a run without such a byte stays whole."""
+    most = most or WINDOW
+    data, offsets = buffers(column)
+    size = np.diff(offsets)
+    rows, bounds = [], [0]
+    for i in np.flatnonzero(size > most).tolist():
+        stops = np.flatnonzero(np.isin(data[offsets[i] : offsets[i + 1]], np.frombuffer(ends, np.uint8))) + 1
+        at = 0
+        while (k := int(np.searchsorted(stops, at + most))) < len(stops) and stops[k] < size[i]:
+            at = int(stops[k])
+            rows.append(i)
+            bounds.append(int(offsets[i]) + at)
+    rows, bounds = np.array(rows + list(range(len(size))), np.int64), np.array(bounds[1:] + offsets[1:].tolist(), np.int64)
+    order = np.lexsort((bounds, rows))
+    bounds = np.concatenate([[0], bounds[order]]).astype(np.int64)
+    text = pa.LargeStringArray.from_buffers(len(order), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
+    return pa.RecordBatch.from_arrays([pa.array(rows[order]), text], names=["row", "text"])
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -120,8 +154,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     return starts, np.flatnonzero(inside & after) + 1
 
 
+def _long(data: np.ndarray) -> np.ndarray:
+    """The sum that hash_spans forms, of one long span, in windows."""
+    p, _ = _pow(WINDOW + 1)
+    total, power = 0, 1
+    for at in range(0, len(data), WINDOW):
+        part = data[at : at + WINDOW].astype(np.uint64) + np.uint64(1)
+        total += int((part * p[: len(part)]).sum(dtype=np.uint64)) * power
+        power = power * int(p[WINDOW]) % (1 << 64)
+    return np.array([total % (1 << 64)], np.uint64)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span; spans ascend and don't overlap. Long buffers go in windows cut between spans."""
+    """A 64-bit hash of data[start:end] for each span; spans ascend and don't overlap. Long buffers go in windows cut between spans, longer spans in windows of their own."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -129,6 +174,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         to = max(at + 1, int(np.searchsorted(ends, base + WINDOW, "right")))
         s, e = starts[at:to] - base, ends[at:to] - base
         n = int(e[-1])
+        if n > WINDOW:
+            out[at] = mix(_long(data[base : base + n]))[0]
+            at += 1
+            continue
         p, inv = _pow(max(n + 1, 1 << 16))
         c = np.empty(n + 1, np.uint64)
         c[0] = 0
