@@ -13,8 +13,11 @@ third of all documents share is dealt over SALTS groups.
 
 Defined results: a null site counts as one site without a name; a null text has no
 lines and stays null; an empty text has one empty line. Repeated rows (the same
-doc_id twice) share their fate. An empty table gives an empty result. Columns other
-than those named pass through untouched, except n_chars, which follows the text.
+doc_id twice) share their fate. Ties: of documents that carry a line the smallest doc_id
+keeps it, in all its rows and as often as they have it. A very long text is split into its
+lines by one task; it needs memory for an array of them. An empty table gives an empty
+result. Columns other than those named pass through untouched, except n_chars, which
+follows the text; names that the plan needs inside are chosen so that they clash with none.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.session import fresh, named
+
 SITES = 10
 MARGIN = 1.25
 LG_K = 12
@@ -54,18 +59,19 @@ def clean(docs: DataFrame, sites: int = SITES, site: str = "source", least: int
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     h, g = _hash(F.col("line"))
     lines = lines.where(F.length("line") >= least).select("doc_id", h.alias("h"), g.alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    gone = lines.join(boiler, ["h", "g", "salt"]).where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("h").alias("_gone"))
+    taken, rest = fresh(docs.columns, "gone"), fresh(docs.columns, "rest")
+    gone = lines.join(boiler, ["h", "g", "salt"]).where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("h").alias(taken))
     joined = docs.join(gone, "doc_id", "left")
     every = F.split("text", "\n")
-    left = F.when(F.col("_gone").isNotNull(), F.filter(every, lambda x: (F.length(x) < least) | ~F.array_contains(F.col("_gone"), F.xxhash64(x)))).otherwise(every)
-    out = joined.withColumn("_left", left)
+    left = F.when(F.col(taken).isNotNull(), F.filter(every, lambda x: (F.length(x) < least) | ~F.array_contains(F.col(taken), F.xxhash64(x)))).otherwise(every)
+    out = joined.withColumn(rest, left)
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    changed = F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    text = F.when(changed, F.array_join("_left", "\n")).otherwise(F.col("text"))
-    columns = {c: F.col(c) for c in docs.columns if c not in counts} | {"text": text}
+    changed = F.col(taken).isNotNull() & F.col("text").isNotNull()
+    text = F.when(changed, F.array_join(rest, "\n")).otherwise(F.col("text"))
+    columns = {c: x for c, x in zip(docs.columns, named(docs), strict=True) if c not in counts} | {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    numbers = (size(every), size(every) - size(F.col("_left")))
+    numbers = (size(every), size(every) - size(F.col(rest)))
     return out.select(*(v.alias(k) for k, v in columns.items()), *(F.when(F.col("text").isNull(), 0).otherwise(x).cast("long").alias(c) for c, x in zip(counts, numbers, strict=True)))
 
 
@@ -76,8 +82,9 @@ def run(spark, sf_dir: str) -> DataFrame:
 
 def keep(spark, docs: DataFrame) -> DataFrame:
     """docs without boilerplate lines; a document of which nothing is left goes, its lines stay in the first document that has them."""
-    found = clean(docs, counts=("_lines", "_removed"))
-    return found.where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))).select(*docs.columns)
+    lines, removed = fresh(docs.columns, "lines"), fresh(docs.columns, "removed")
+    found = clean(docs, counts=(lines, removed))
+    return found.where((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).select(*named(docs))
 
 
 ORACLE_SQL = f"""
