@@ -5,13 +5,16 @@ that overlap by `overlap` characters; chunks are dealt over the tasks and each i
 pre-tokenised and encoded by itself. Two neighbours are stitched at the first
 place of their overlap where both have a pre-token boundary: matching runs left to
 right, so from a common boundary on both find the same pre-tokens. Where an overlap
-holds no common boundary (one pre-token longer than the overlap), the second chunk
-is joined to what precedes it and pre-tokenised again from the last stitch, so the
-ids never depend on the chunk size. Decoding concatenates the raw bytes of the ids.
+holds no common boundary (one pre-token longer than the overlap), what follows the
+last stitch is pre-tokenised again together with one more chunk, then two, four and so
+on, until a boundary is common; so the ids never depend on the chunk size, and the work
+is in proportion to the text. Decoding concatenates the raw bytes of the ids.
 
 Defined results: a null text counts as empty; an empty text has no ids. Repeated
-rows and doc_ids are kept apart (each row gets its own key). Of the input only
-doc_id and text are read, so other columns can't clash.
+rows and doc_ids are kept apart (each row gets its own key). Ties can't arise: the ids
+follow from the text alone. A very long text is cut and encoded by many tasks and
+stitched by one, which holds its text and ids. Of the input only doc_id and text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.session import lean
+
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 
@@ -78,22 +83,29 @@ def stitch(parts: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]], pat
     out = []
     at, text, bounds, begins, ids = parts[0]
     first = 0  # the first pre-token of this chunk that isn't output yet
-    for start, more, *found in parts[1:]:
+    k, more = 1, 1
+    while k < len(parts):
+        start = parts[k][0]
         mine = bounds[:-2] + at  # without the last pre-token, which the chunk's end may have cut, and without its end
-        both = np.intersect1d(mine[mine >= max(start, bounds[first] + at)], found[0][:-1] + start)
+        both = np.intersect1d(mine[mine >= max(start, bounds[first] + at)], parts[k][2][:-1] + start)
         # A pre-token run cut by the chunk's end can also shift the white space before it, hence the last two are left out.
         both = both[both <= (mine[-2] if len(mine) > 1 else -1)]
         if len(both):
             to = int(np.searchsorted(bounds, both[0] - at))
             out.append(ids[begins[first] : begins[to]])
-            at, text, (bounds, begins, ids) = start, more, found
+            at, text, bounds, begins, ids = parts[k]
             first = int(np.searchsorted(bounds, both[0] - at))
+            k, more = k + 1, 1
         else:
-            kept = int(bounds[first])
-            text = text[kept : start - at] + more
-            out_of = at + kept
+            kept, pieces_of = int(bounds[first]), [text]
+            end = at + len(text)
+            for s, chunk, *_ in parts[k : k + more]:
+                pieces_of.append(chunk[end - s :])
+                end = s + len(chunk)
+            text = "".join(pieces_of)[kept:]
             bounds, begins, ids = pieces(text, path, pattern)
-            at, first = out_of, 0
+            at, first = at + kept, 0
+            k, more = k + more, more * 2
     out.append(ids[begins[first] :])
     return np.concatenate(out)
 
@@ -119,6 +131,7 @@ _PART = "row string, doc_id long, start long, chunk string, bounds binary, begin
 
 def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, digests: bool = False, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens and, per row of df, its `ids` (binary, little-endian unsigned 32-bit); with digests=True ids_sha256 and, of the text decoded from the ids, decoded_sha256."""
+    lean(df.sparkSession)
     path, pattern = (path, pattern) if path and pattern else _default()
     kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64()} | ({"ids": pa.binary()} if ids else {}) | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {})
     out = ", ".join(f"{name} {({pa.int64(): 'long', pa.binary(): 'binary'}).get(kind, 'string')}" for name, kind in kinds.items())
