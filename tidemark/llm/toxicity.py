@@ -1,21 +1,33 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause (words up to . ! ? ; or a line end) is read as a string of symbols: insult,
-threat, target, negation, reported speech, quotation mark, other. Transducers composed
-over it rewrite the insults and threats: one marks those within NEGATION words after a
-negation, one those after a verb of speech or between quotation marks, two (left to
-right, right to left) those within TARGET words of a target. What comes out of a clause
-is its strongest symbol (an insult at a target counts as an insult as well); a document's score is a logistic function of how many clauses
-gave each symbol. A threat without a target gives nothing.
-
-Weights and part of the lexicon are learned: from at most EACH labelled documents of
-each class (LONGEST characters at most; the documented bound), words and word beginnings
-of 4 to 6 bytes that toxic documents have and others hardly ever do are chosen greedily
-until each toxic document holds COVER of them; near copies count once in that. Weights
-start from the grammar's own and are fitted by gradient descent. Scoring reads whole texts.
+violent verb, intensifier, intent, target, negation, reported speech, quotation mark,
+other. Transducers composed over it rewrite the insults and violent verbs. The insult
+machine marks an insult that follows an intensifier or another insult as heaped; the
+threat machine marks a violent verb that follows a word of intent as a threat; one
+machine marks those within NEGATION words after a negation, one those after a verb of
+speech or between quotation marks, two (left to right, right to left) those within
+TARGET words of a target. What comes out of a clause is its strongest symbol, which
+stands for a path through the machines and counts for the PATHS that it took; a
+document's score is a logistic function of how many clauses took each path. A violent
+verb without a target gives nothing.
+
+The weights of the paths and part of the lexicon are learned: from at most EACH labelled
+documents of each class, drawn from those of LONGEST characters at most (the documented
+bound), words and word beginnings of 4 to 6 bytes that toxic documents have and others
+hardly ever do are chosen greedily until each toxic document holds COVER of them; near
+copies count once in that. Weights start from the grammar's own and are fitted by
+gradient descent, all in one task of an executor. Scoring reads whole texts.
+
+Words are runs of letters, with one exception: the `t` after an apostrophe and an n
+(don't, isn't) is read as a negation.
 
 Defined results: a null or empty text has no clause and gets the bias's score. Without
-labels the grammar's own weights and fixed words decide. Repeated rows are scored each.
+labels the grammar's own weights and fixed words decide. Ids whose labels differ don't
+train; of texts that repeat an id the smallest trains; all rows are scored. Ties: of words
+that as many toxic documents hold, whole words come first, then longer beginnings, then
+the smaller hash. A very long text is cut at clause ends and read in windows. Only doc_id
+and text are read (of labels doc_id and toxic), so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,48 +42,67 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import grams
 from tidemark.llm import textvec as tv
+from tidemark.llm.session import lean
 
 EACH = 5000
 LONGEST = 20_000
 COVER = 3
 LEAST = 5
-NEGATION, TARGET = 3, 4
+NEGATION, TARGET, HEAPED, INTENT = 3, 4, 2, 4
 BEGINNINGS = (4, 5, 6)
+ENDS = b".!?;\n"
 
-# The grammar's own words.
+# The grammar's own words by symbol: insults, violent verbs, targets, negations, verbs of speech, intensifiers, intent.
 WORDS = {
     "I": "bastard clown creep cretin dimwit disgusting dumb dumbass fool freak garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig rat scum stupid trash vermin worthless "
     "arschloch blödmann depp dreckig dummkopf trottel abschaum connard crétin débile imbécile salaud ordure basura cabrón estúpido gilipollas idiota imbécil inútil",
-    "T": "kill hurt murder stab shoot destroy strangle töten umbringen erschießen verletzen tuer frapper égorger matar golpear",
+    "V": "kill hurt murder stab shoot destroy strangle töten umbringen erschießen verletzen tuer frapper égorger matar golpear",
     "G": "you your yours yourself u he she they them him du dich dir euch ihr tu toi te vous tú ti usted ustedes",
-    "N": "not never no none don't doesn't isn't aren't nicht kein keine nie niemals ne pas jamais nunca jamás tampoco",
+    "N": "not never no none cannot nicht kein keine nie niemals ne pas jamais nunca jamás tampoco",
     "R": "said says say claims claimed wrote writes reported quoted called alleged sagte sagt behauptet schrieb dit disait affirme dijo dice afirma",
+    "E": "such total complete utter absolute fucking bloody damn so völlig total absolut verdammt tellement complètement sacré tan completo maldito",
+    "M": "will ll gonna going shall should must want hope werde werden soll muss vais va doit faut voy vas debe quiero",
 }
-_SYMBOLS = "IGTNR"  # an earlier symbol wins over a later one
+_SYMBOLS = "IVGNREM"  # an earlier symbol wins over a later one
 
-# The symbols that clauses end in, and the weight of log(1 + clauses) for each before any fitting.
-KINDS = {"insult": 4.0, "insult at target, besides": 1.0, "insult negated": 0.5, "insult reported": 1.0, "threat at target": 4.0, "threat negated or reported": 0.5}
+# The paths that clauses are counted for, and the weight of log(1 + clauses) for each before any fitting.
+PATHS = {"insult": 4.0, "insult at target": 1.0, "insult heaped": 0.5, "insult negated": 0.5, "insult reported": 1.0, "violence at target": 3.0, "violence intended": 1.0, "violence negated or reported": 0.5}
 BIAS = -3.0
 
 Machine = Callable[[int, str], tuple[int, str]]
 
 
+def insult(state: int, symbol: str) -> tuple[int, str]:
+    """I becomes S (heaped) behind an intensifier or another insult."""
+    out = "S" if symbol == "I" and state else symbol
+    return (HEAPED if symbol in "IE" else max(0, state - 1)), out
+
+
+def threat(state: int, symbol: str) -> tuple[int, str]:
+    """V becomes T behind a word of intent."""
+    out = "T" if symbol == "V" and state else symbol
+    return (INTENT if symbol == "M" else max(0, state - 1)), out
+
+
 def negation(state: int, symbol: str) -> tuple[int, str]:
-    out = {"I": "i", "T": "t"}.get(symbol, symbol) if state else symbol
+    out = {"I": "i", "S": "i", "V": "t", "T": "t"}.get(symbol, symbol) if state else symbol
     return (NEGATION if symbol == "N" else max(0, state - 1)), out
 
 
 def reported(state: int, symbol: str) -> tuple[int, str]:
     """State bit 1: after a verb of speech; bit 0: between quotation marks."""
-    out = {"I": "J", "T": "t"}.get(symbol, symbol) if state else symbol
+    out = {"I": "J", "S": "J", "V": "t", "T": "t"}.get(symbol, symbol) if state else symbol
     return (state | 2 if symbol == "R" else state ^ 1 if symbol == "Q" else state), out
 
 
 def target(state: int, symbol: str) -> tuple[int, str]:
-    out = {"I": "A", "T": "B"}.get(symbol, symbol) if state else symbol
+    out = {"I": "A", "S": "Z", "V": "B", "T": "C"}.get(symbol, symbol) if state else symbol
     return (TARGET if symbol == "G" else max(0, state - 1)), out
 
 
+MACHINES = {"insult": insult, "threat": threat, "negation": negation, "reported": reported, "target": target}
+
+
 def compose(*machines: Machine) -> Callable[[str], str]:
     """Each machine's output feeds the next one, symbol by symbol."""
 
@@ -86,15 +117,20 @@ def compose(*machines: Machine) -> Callable[[str], str]:
     return apply
 
 
-_forward, _backward = compose(negation, reported, target), compose(target)
-_RANK = ["A", "B", "I", "J", "i", "t"]
-_KIND = {"I": 0, "A": 1, "i": 2, "J": 3, "B": 4, "t": 5}
+# What a clause may amount to, strongest first, and the numbers of the PATHS that it then counts for.
+_STRONGEST = {"Z": (0, 1, 2), "A": (0, 1), "C": (5, 6), "B": (5,), "S": (0, 2), "I": (0,), "J": (4,), "i": (3,), "t": (7,)}
 
 
-def read_clause(symbols: str) -> int | None:
-    """The number of the kind (of KINDS) that a clause amounts to."""
-    found = _backward(_forward(symbols)[::-1])
-    return next((_KIND[s] for s in _RANK if s in found), None)
+def reader(without: tuple[str, ...] = ()) -> Callable[[str], tuple[int, ...]]:
+    """From a clause's symbols to the numbers of its paths, by the composition of all machines but those named."""
+    forward = compose(*(m for name, m in MACHINES.items() if name not in without))
+    backward = compose(*(() if "target" in without else (target,)))
+
+    def read(symbols: str) -> tuple[int, ...]:
+        found = backward(forward(symbols)[::-1])
+        return next((paths for s, paths in _STRONGEST.items() if s in found), ())
+
+    return read
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -102,16 +138,40 @@ def _hash(words: list[str]) -> np.ndarray:
     return tv.hash_spans(data, *tv.spans(data, offsets))
 
 
+# Bytes of the quotation marks and apostrophes of more than one byte.
+_CURLED = {b"\xe2\x80\x98": 39, b"\xe2\x80\x99": 39, b"\xe2\x80\x9c": 34, b"\xe2\x80\x9d": 34, b"\xc2\xab": 34, b"\xc2\xbb": 34}
+
+
 class Text:
-    """The words of a slice of documents: letter runs in lower case, with their clauses."""
+    """The words of a slice of documents: letter runs in lower case, with their clauses. In `data` curled marks are straight ones and spaces."""
 
     def __init__(self, column: pa.Array):
         data, offsets = tv.buffers(column)
+        data = data.copy()
+        for mark, plain in _CURLED.items():
+            n = len(mark)
+            at = np.flatnonzero(data[: max(0, len(data) - n + 1)] == mark[0])
+            for k in range(1, n):
+                at = at[data[at + k] == mark[k]]
+            for k in range(n):
+                data[at + k] = plain if k == n - 1 else 32
         self.clean = grams.letters(data)
         self.starts, self.ends = tv.spans(self.clean, offsets)
         self.hashes = tv.hash_spans(self.clean, self.starts, self.ends)
         self.bounds = tv.rows_of(self.starts, offsets)
-        self.data = data
+        self.data, self.offsets = data, offsets
+
+    def contracted(self) -> np.ndarray:
+        """Whether each word is the t of a negation such as don't."""
+        at = np.flatnonzero((self.ends - self.starts == 1) & (self.clean[self.starts] == 116) & (self.starts > 1))
+        before = self.starts[at] - 1
+        ok = (self.data[before] == 39) & (before > self.offsets[np.searchsorted(self.offsets, self.starts[at], "right") - 1])
+        at, before = at[ok], before[ok] - 1
+        for _ in range(2):  # a curled apostrophe has spaces before it
+            before = np.where((self.data[before] == 32) & (before > 0), before - 1, before)
+        out = np.zeros(len(self.starts), bool)
+        out[at[self.clean[before] == 110]] = True
+        return out
 
     def beginnings(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of each word, 0 where it is no longer."""
@@ -122,13 +182,14 @@ class Text:
 
 
 class Grammar:
-    def __init__(self, insults: dict[int, np.ndarray] | None = None):
-        """insults: learned hashes by length of the word beginning, 0 for whole words."""
+    def __init__(self, insults: dict[int, np.ndarray] | None = None, without: tuple[str, ...] = ()):
+        """insults: learned hashes by length of the word beginning, 0 for whole words. without: names of machines to leave out."""
         insults = insults or {}
         whole = {s: _hash(WORDS[s].split()) for s in WORDS}
         self.whole = {s: np.unique(np.concatenate([whole[s], insults.get(0, np.empty(0, np.uint64))]) if s == "I" else whole[s]) for s in _SYMBOLS}
         self.begin = {n: np.unique(x) for n, x in insults.items() if n and len(x)}
-        self.weights, self.bias = np.array(list(KINDS.values())), BIAS
+        self.weights, self.bias = np.array(list(PATHS.values())), BIAS
+        self.without = without
 
     def symbols(self, text: Text) -> np.ndarray:
         """For each word the number of its symbol in _SYMBOLS, or -1."""
@@ -144,35 +205,45 @@ class Grammar:
             mark(text.beginnings(n), known, 0)
         for k, s in enumerate(_SYMBOLS[1:], 1):
             mark(text.hashes, self.whole[s], k)
+        out[text.contracted() & (out < 0)] = _SYMBOLS.index("N")
         return out
 
     def counts(self, column: pa.Array) -> np.ndarray:
-        """Rows by kinds: how many clauses amount to each."""
+        """Rows by PATHS: how many clauses took each. Long texts are read in pieces, cut where clauses end."""
+        out = np.zeros((len(column), len(PATHS)))
+        for part in tv.slices(tv.cut(column, ENDS)):
+            np.add.at(out, np.asarray(part.column(0)), self._counts(part.column(1)))
+        return out
+
+    def _counts(self, column: pa.Array) -> np.ndarray:
         text = Text(column)
-        out = np.zeros((len(column), len(KINDS)))
+        out = np.zeros((len(column), len(PATHS)))
         code = self.symbols(text)
-        hits = np.flatnonzero((code == 0) | (code == 2))
+        hits = np.flatnonzero((code == 0) | (code == 1))
         if not len(hits):
             return out
-        stop = np.isin(text.data, np.frombuffer(b".!?;\n", np.uint8))
+        stop = np.isin(text.data, np.frombuffer(ENDS, np.uint8))
         clause = np.cumsum(stop)[text.starts]
         row = np.repeat(np.arange(len(column)), np.diff(text.bounds))
         clause = clause + row.astype(np.int64)  # a new row begins a new clause, and both numbers ascend
         fresh = np.flatnonzero(np.diff(clause, prepend=-1) | np.diff(row, prepend=-1))
-        quotes = np.cumsum(text.data == 34)[text.starts]
+        quotes = np.concatenate([[0], np.cumsum(text.data == 34)])
+        # Where each clause begins: behind the last stop, or with its row.
+        stops = np.flatnonzero(stop)
+        before = np.searchsorted(stops, text.starts[fresh])
+        opened = quotes[np.maximum(np.append(stops, -1)[before - 1] + 1, text.offsets[row[fresh]])]
+        quotes = quotes[text.starts]
         first = np.unique(np.searchsorted(fresh, hits, "right") - 1)
         ends = np.append(fresh[1:], len(clause))
+        read = reader(self.without)
         for c in first.tolist():
             a, b = int(fresh[c]), int(ends[c])
-            symbols, q = [], quotes[a]
+            symbols, q = [], opened[c]
             for x, z in zip(code[a:b].tolist(), quotes[a:b].tolist(), strict=True):
                 symbols += ["Q"] * min(2, z - q)
                 q = z
                 symbols.append(_SYMBOLS[x] if x >= 0 else ".")
-            kind = read_clause("".join(symbols))
-            if kind is not None:
-                out[row[a], kind] += 1
-                out[row[a], 0] += kind == 1  # an insult at a target is an insult, too
+            out[row[a], list(read("".join(symbols)))] += 1
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -209,26 +280,38 @@ def _copies(words: list[np.ndarray]) -> np.ndarray:
     return np.array([root(i) for i in range(len(words))])
 
 
+def _sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """Of each text its different word beginnings of n bytes (0: whole words), as hashes."""
+    out = []
+    for at in range(0, len(texts), 200):
+        read = Text(pa.array(texts[at : at + 200]))
+        h = read.beginnings(n) if n else read.hashes
+        out += [np.unique(h[a:b]) for a, b in zip(read.bounds[:-1], read.bounds[1:], strict=True)]
+    return out
+
+
 def learn_words(texts: list[str], y: np.ndarray) -> dict[int, np.ndarray]:
     """Insults that the labels show: by length of word beginning (0: whole words), hashes."""
-    read = [Text(pa.array([t])) for t in texts]
-    first = _copies([np.unique(t.hashes) for t in read])
+    first = _copies(_sets(texts, 0))
     own = [i for i in range(len(texts)) if first[i] == i or y[i] != y[first[i]]]
     bad = [i for i in own if y[i] == 1]
     good = [i for i in own if y[i] == 0]
-    holders: dict[tuple[int, int], list[int]] = {}
+    holders: dict[tuple[int, int], np.ndarray] = {}
     for n in (0, *BEGINNINGS):
-        get = (lambda t: np.unique(t.hashes)) if n == 0 else (lambda t, n=n: np.unique(t.beginnings(n)))
-        pos = [get(read[i]) for i in bad]
-        neg = np.concatenate([get(read[i]) for i in good]) if good else np.empty(0, np.uint64)
+        sets = _sets(texts, n)
+        pos = [sets[i] for i in bad]
+        neg = np.concatenate([sets[i] for i in good]) if good else np.empty(0, np.uint64)
         flat, doc = (np.concatenate(pos), np.repeat(np.arange(len(bad)), [len(p) for p in pos])) if bad else (np.empty(0, np.uint64), np.empty(0, int))
         names, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
         other, odf = np.unique(neg, return_counts=True)
         at = np.minimum(np.searchsorted(other, names), max(len(other) - 1, 0))
         against = np.where(other[at] == names, odf[at], 0) if len(other) else np.zeros(len(names), int)
         ok = (df >= LEAST) & (against * 20 * len(bad) <= df * len(good)) & (against * 50 <= df) & (names != 0)
-        for k, d in zip(inverse[ok[inverse]].tolist(), doc[ok[inverse]].tolist(), strict=True):
-            holders.setdefault((n, int(names[k])), []).append(d)
+        order = np.argsort(inverse, kind="stable")
+        order = order[ok[inverse[order]]]
+        if len(order):
+            for docs in np.split(order, np.flatnonzero(np.diff(inverse[order])) + 1):
+                holders[n, int(names[inverse[docs[0]]])] = doc[docs]
     need = np.full(len(bad), COVER)
     heap = [(-len(d), -(n or 99), n, h) for (n, h), d in holders.items()]
     heapq.heapify(heap)
@@ -247,20 +330,23 @@ def learn_words(texts: list[str], y: np.ndarray) -> dict[int, np.ndarray]:
     return {n: np.array(x, np.uint64) for n, x in chosen.items()}
 
 
-def fit(documents: DataFrame, labels: DataFrame, where=None, each: int = EACH) -> Grammar:
-    known = labels.where(where) if where is not None else labels
-    chosen = grams.sample(known.withColumn("toxic", F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1)), "doc_id", "toxic", each, 2 * each, "toxicity")
-    texts = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    texts, y = [x or "" for x in rows.column("text").to_pylist()], rows.column("toxic").to_numpy().astype(float)
-    grammar = Grammar(learn_words(texts, y))
+def train(texts: list[str], y: np.ndarray, without: tuple[str, ...] = ()) -> Grammar:
+    grammar = Grammar(learn_words(texts, y), without)
     if len(y) and y.min() < y.max():
         grammar.fit(np.concatenate([grammar.counts(pa.array(texts[i : i + 200])) for i in range(0, len(texts), 200)]), y)
     return grammar
 
 
+def fit(documents: DataFrame, labels: DataFrame, where=None, each: int = EACH) -> Grammar:
+    known = labels.where(where) if where is not None else labels
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    rows = grams.training(documents, "label", each, 2 * each, LONGEST, "toxicity", labels=known)
+    return grams.in_one_task(rows, lambda t: train(t.column("text").to_pylist(), t.column("label").to_numpy().astype(float)) if t else train([], np.empty(0)))
+
+
 def score(documents: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, score."""
+    lean(documents.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
