@@ -6,19 +6,26 @@ are cut into blocks of BLOCK items with the largest impact of each block. Every
 document is cut into units of UNIT words; a passage is WIDTH neighbouring units, and
 every passage is a query. Items of more than (WIDTH - 1) * UNIT words have units of
 twice that length, of more than twice as many words of four times, and so on (levels), so
-some passage holds the whole of any copied item. Block-max bounds come first, for all passages at once: the
-frequent terms whose block maxima together stay below SLACK of the threshold only
-count by that sum, the others add their block maxima. Blocks that can still reach the
-threshold are searched by WAND, which returns every item at or above it. A hit
-counts once the question and the answer of the item both overlap with the text around
-the passage (share of word 3-grams; of a question or answer of fewer words, whether the
-text has that run of words).
+some passage holds the whole of any copied item. The postings of a passage's terms give
+block-max bounds of those blocks that it meets at all: the frequent terms whose block
+maxima together stay below SLACK of the threshold only count by that sum (so a block
+that no other term meets can't reach it), the others add their block maxima. Blocks that
+can still reach the threshold are searched by WAND, which returns every item at or above
+it. A hit counts once the question and the answer of the item both overlap with the text
+around the passage (share of word 3-grams; of a question or answer of fewer words,
+whether the text has that run of words).
 
 The index is small by construction: items are dealt over as many passes as it takes
-to keep each one's text below INDEX_BYTES, and each pass goes over all documents.
+to keep each one's text below INDEX_BYTES, and each pass goes over all documents. The
+driver sends a pass's items on and keeps none; each Python worker builds the index, once
+a pass.
 
 Defined results: documents or items without words (null, empty) match nothing; two
-equal items are both reported; extra columns pass through `clean` untouched.
+equal items are both reported, and so are all rows that repeat a document; no items, no
+hits. Ties: of passages in which an item scores the same the first counts. A very long
+text is searched run by run of its units and takes some 100 bytes for each word. Of
+documents `hits` reads doc_id and text only, `clean` passes all columns through untouched;
+of the benchmark item_id and text are read.
 Question and answer of an item: before and after its last question mark or
 `answer:` (a word that goes on behind the mark belongs to both), else its first two
 thirds of words and the rest.
@@ -29,6 +36,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec as tv
+from tidemark.llm.session import lean
 
 UNIT, WIDTH, BLOCK = 32, 3, 2
 THRESHOLD = 0.6
@@ -44,6 +53,7 @@ SLACK = 0.5
 OVERLAP = 0.5
 K1, BETA = 1.2, 0.75
 INDEX_BYTES = 8 << 20
+CELLS = 1 << 20
 _CUT = re.compile(r"(?is)^(.*(?:\?|\banswer\s*:))\s*(\S.*)$")
 
 
@@ -194,48 +204,86 @@ class Index:
         base = np.concatenate([[0], np.cumsum(units)])
         row = np.repeat(np.arange(rows), counts)
         unit = base[row] + (np.arange(len(h)) - bounds[row]) // level.unit
+        owner = np.repeat(np.arange(rows), units)
         on = np.flatnonzero(term >= 0)
         on = on[level.heavy[term[on]]]
         distinct = np.unique(unit[on] * np.int64(len(self.terms)) + term[on])
         unit, t = distinct // len(self.terms), distinct % len(self.terms)
         reps = level.run_begin[t + 1] - level.run_begin[t]
-        total = int(reps.sum())
-        if not total and not (level.rest >= self.threshold).any():
-            return
-        at = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(level.run_begin[t], reps)
-        cells = np.bincount(np.repeat(unit, reps) * level.blocks + level.run_block[at], level.run_max[at], int(base[-1]) * level.blocks).reshape(-1, level.blocks)
-        # A passage begins at each unit and takes WIDTH units of the same row.
-        bound = cells.copy()
-        owner = np.repeat(np.arange(rows), units)
-        for j in range(1, WIDTH):
-            same = owner[j:] == owner[:-j]
-            bound[:-j] += np.where(same[:, None], cells[j:], 0)
-        passages, found_blocks = np.nonzero(bound + level.rest >= self.threshold - 1e-9)
+        done = np.cumsum(reps)
+        start = high = 0
+        while start < len(unit):
+            # Passages that begin at units `low` to `high`, with the postings of their units: CELLS of them, or those of one passage.
+            low = max(high, int(unit[start]) - WIDTH + 1)
+            stop = int(np.searchsorted(done, (done[start] - reps[start]) + CELLS, "right"))
+            high = max(int(unit[stop]) - WIDTH + 1, low + 1) if stop < len(unit) else int(base[-1])
+            stop = int(np.searchsorted(unit, high + WIDTH - 1))
+            if stop > start:
+                found = self._blocks(level, low, high, owner, unit[start:stop], t[start:stop], reps[start:stop])
+                for p, blocks in found:
+                    self._verify(level, p, blocks, h, bounds, base, owner, term, out)
+            start = int(np.searchsorted(unit, high))
+
+    def _blocks(self, level: Level, low: int, high: int, owner: np.ndarray, unit: np.ndarray, t: np.ndarray, reps: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(passage, its blocks whose bound reaches the threshold); a passage begins at each unit and takes WIDTH units of the same row."""
+        at = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(level.run_begin[t], reps)
+        cell, value = np.repeat(unit, reps) * np.int64(level.blocks) + level.run_block[at], level.run_max[at]
+        cell, inverse = np.unique(cell, return_inverse=True)
+        value = np.bincount(inverse, value, len(cell))
+        unit, block = cell // level.blocks, cell % level.blocks
+        keys, values = [], []
+        for j in range(WIDTH):
+            p = unit - j
+            ok = (p >= low) & (p < high)
+            ok[ok] = owner[p[ok]] == owner[unit[ok]]
+            keys.append(p[ok] * np.int64(level.blocks) + block[ok])
+            values.append(value[ok])
+        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        bound = np.bincount(inverse, np.concatenate(values), len(keys))
+        keys = keys[bound + level.rest[keys % level.blocks] >= self.threshold - 1e-9]
+        return [(int(own[0] // level.blocks), own % level.blocks) for own in np.split(keys, np.flatnonzero(np.diff(keys // level.blocks)) + 1) if len(own)]
+
+    def _verify(self, level: Level, p: int, blocks: np.ndarray, h: np.ndarray, bounds: np.ndarray, base: np.ndarray, owner: np.ndarray, term: np.ndarray, out: dict) -> None:
+        """Searches these blocks for a passage and adds its verified hits."""
         length = WIDTH * level.unit
-        splits = np.flatnonzero(np.diff(passages)) + 1
-        for p, b in zip(np.split(passages, splits), np.split(found_blocks, splits), strict=True):
-            if not len(p):
+        r = int(owner[p])
+        lo = int(bounds[r] + (p - base[r]) * level.unit)
+        hi = int(min(bounds[r + 1], lo + length))
+        mine = np.unique(term[lo:hi])
+        for item, score in self.wand(mine[mine >= 0], set((level.first + blocks).tolist())):
+            if (r, item) in out and out[r, item][2] >= score:
                 continue
-            r = int(owner[p[0]])
-            lo = int(bounds[r] + (p[0] - base[r]) * level.unit)
-            hi = int(min(bounds[r + 1], lo + length))
-            mine = np.unique(term[lo:hi])
-            for item, score in self.wand(mine[mine >= 0], set((level.first + b).tolist())):
-                if (r, item) in out and out[r, item][2] >= score:
-                    continue
-                around = h[max(bounds[r], lo - length) : min(bounds[r + 1], hi + length)]
-                q, a = overlap(self.questions[item], around), overlap(self.answers[item], around)
-                if q >= OVERLAP and a >= OVERLAP:
-                    out[r, item] = (r, int(self.ids[item]), score, q, a)
-
-
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Index]:
-    """One index for each pass; the items of a pass hold about INDEX_BYTES of text."""
+            around = h[max(bounds[r], lo - length) : min(bounds[r + 1], hi + length)]
+            q, a = overlap(self.questions[item], around), overlap(self.answers[item], around)
+            if q >= OVERLAP and a >= OVERLAP:
+                out[r, item] = (r, int(self.ids[item]), score, q, a)
+
+
+_built: dict[str, Index] = {}
+
+
+class Pass:
+    """The items of one pass, on their way to the workers; the index is built where it is first asked for."""
+
+    def __init__(self, spark, items: list[tuple[int, str]], threshold: float):
+        self.name, self.threshold = uuid.uuid4().hex, threshold
+        self.items = spark.sparkContext.broadcast(items)  # INDEX_BYTES of text at most
+
+    def index(self) -> Index:
+        if self.name not in _built:
+            _built.clear()
+            _built[self.name] = Index(self.items.value, self.threshold)
+        return _built[self.name]
+
+
+def passes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Pass]:
+    """The items of a pass hold about INDEX_BYTES of text."""
+    lean(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(size / INDEX_BYTES))
-    for k in range(passes):
-        yield Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()], threshold)
+    count = max(1, math.ceil(size / INDEX_BYTES))
+    for k in range(count):
+        yield Pass(benchmark.sparkSession, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()], threshold)
 
 
 _HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -245,9 +293,10 @@ def hits(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     """One row for each (document row, item) that it contains."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in indexes(benchmark, threshold):
+    for sent in passes(benchmark, threshold):
 
-        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.index()
             for batch in batches:
                 for part in tv.slices(batch):
                     found = index.search(*tv.words(part.column(1)))
@@ -262,10 +311,11 @@ def hits(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents without the rows that contain an item; all columns pass through."""
-    for index in indexes(benchmark, threshold):
+    for sent in passes(benchmark, threshold):
         at = documents.columns.index("text")
 
-        def work(batches: Iterator[pa.RecordBatch], index=index, at=at) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
+            index = sent.index()
             for batch in batches:
                 for part in tv.slices(batch):
                     ok = np.ones(part.num_rows, bool)
