@@ -6,16 +6,17 @@ the shared folder. The driver only sees a count and a checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.session import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
+    """May repeat edges; an edge gives one at most."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -25,20 +26,28 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and checksums, which are taken while it is written."""
+    seen = Observation()
+    table = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")), "edges")
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; a component's id is its smallest node. Loops and repeated edges don't matter; null ends are no edge."""
+def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge but those that are the smallest of their component, as a table. Loops and repeated edges don't matter; null ends are no edge."""
     spark = edges.sparkSession
     low, high = F.least(a, b), F.greatest(a, b)
-    now = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high.cast("long").alias("u"), low.cast("long").alias("v")).where("u <> v").distinct(), "edges")
-    state = _state(now)
+    now, state = _kept(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high.cast("long").alias("u"), low.cast("long").alias("v")).where("u <> v").distinct())
     while state[0]:
-        new = stored(_small(_large(now)), "edges")
+        new, after = _kept(_small(_large(now)))
         discard(spark, now)
-        now, old, state = new, state, _state(new)
-        if state == old:
+        now, before, state = new, state, after
+        if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every node of an edge; a component's id is its smallest node."""
+    now = stars(edges, a, b)
+    return now.unionByName(now.select(F.col("component").alias("node"), "component").distinct())

@@ -29,11 +29,17 @@ similar pair are equal (all blocks, empty ones too, where too few are filled).
 
 Keys that are frequent within one task of the first step are dealt over the shards by
 task, with their smallest doc_id in the key's own shard, so a bucket's hubs form a tree
-and no shard gets the whole of a hot bucket.
+and no shard gets the whole of a hot bucket. The number of shards follows the number of
+shingles. The buckets of one hub are dealt to PLACES places, so that a large group isn't one
+task's, and a pair that meets in many buckets still is given a few times only.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing.
-Rows that repeat a doc_id count as one document. doc_id must not be null (such rows are
-returned unlinked). Other columns aren't read.
+Rows that repeat a doc_id are one document, which links by the texts of all of them; each
+row is returned with its own n_shingles. doc_id must not be null (such rows are returned
+unlinked). Ties: a component's id is its smallest doc_id, a hub is the smallest of its
+bucket, and of pairs equally close all are tried. A very long text's set is held whole by
+one task, some 150 bytes for each of its words while it is made. Other columns aren't
+read, so none can clash; `keep` passes them through.
 """
 
 from __future__ import annotations
@@ -49,8 +55,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textvec as tv
-from tidemark.llm.components import components
-from tidemark.llm.session import discard, partitions, stored
+from tidemark.llm.components import stars
+from tidemark.llm.session import discard, fresh, lean, named, partitions, stored
 
 WORDS = 5
 NUM, DEN = 80, 100
@@ -64,6 +70,10 @@ CLOSEST = 2
 SLOTS = 1 << 21
 FEWER = 1 << 30  # marks a set that has too few blocks to promise the T keys of its band
 FLUSH = 1_000_000
+SEEN = 200_000
+KEYS = 1_000_000
+PLACES = 4
+PAIR_WORDS = 1 << 21  # of sketches, compared at once
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -162,7 +172,7 @@ def sizes(documents: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def _packed(documents: DataFrame, k: int, shards: int, num: int, den: int) -> DataFrame:
-    """Keys of all sets, dealt to shards as packed arrays; of equal sets in one task only the first sends any."""
+    """Keys of all sets, dealt to shards as packed arrays; of equal sets in one task only the first sends any (as far as SEEN sets are remembered)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
@@ -195,6 +205,8 @@ def _packed(documents: DataFrame, k: int, shards: int, num: int, den: int) -> Da
                 for doc, s in _sets(part, k):
                     if not len(s) or doc is None or (p := (len(s), *_print(s))) in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(p)
                     keys, least = keys_of(s, bands)
                     held.append((keys, doc, least))
@@ -237,10 +249,13 @@ def _buckets(packed: DataFrame, shards: int) -> DataFrame:
         first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)) if len(a) else np.empty(0, np.int64)
         c = np.add.reduceat(weight, first) if len(first) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int8)), pa.nulls(len(first), pa.int64()), pa.array(a[first]), pa.array(b[first]), pa.array(c.astype(np.int32)), pa.array(t[first].astype(np.int32))], names=["kind", "key", "a", "b", "c", "t"])
-        for at in range(0, len(keys), 100_000):
-            x = slice(at, at + 100_000)
+        del got, order, new, hub, need, other, weight, a, b, c, t, first, many, size, begin
+        x = None
+        for at in range(0, len(keys), 20_000):
+            x = slice(at, at + 20_000)
             m = len(keys[x])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(keys[x].astype(np.int64)), pa.array(docs[x]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(least[x].astype(np.int32))], names=["kind", "key", "a", "b", "c", "t"])
+        del keys, docs, least, x
         tv.release()
 
     return packed.repartition(shards, "shard").mapInArrow(work, "kind byte, key long, a long, b long, c int, t int")
@@ -256,7 +271,7 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 def _verified(pairs: DataFrame, documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, by the sets themselves."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     sieve = _sieve(needed)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +309,12 @@ def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False
     """Pairs (a, b) of different components within a bucket whose sketches allow them to be similar, and the sketches' distance d.
 
     rows: key, size, hub (smallest a), a, component, n, sketch. closest: of each a only its closest b of a bucket; otherwise
-    a < b. Buckets of one hub go to one task where they are no larger than a tile; it doesn't repeat a pair that it has given.
+    a < b. Buckets of one hub that are no larger than a tile go to PLACES places; a task doesn't repeat a pair that it has given.
     """
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     tiled = rows.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    grouped = tiled.select(F.concat_ws("-", "key", low, high).alias("grp"), F.xxhash64("hub", low, high).alias("place"), "own", "other", "a", "component", "n", "sketch")
+    grouped = tiled.select(F.concat_ws("-", "key", low, high).alias("grp"), F.xxhash64("hub", low, high, F.pmod(F.shiftright("key", 8), F.lit(PLACES))).alias("place"), "own", "other", "a", "component", "n", "sketch")
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         own, other, a, component, n = (np.asarray(table.column(c)) for c in ("own", "other", "a", "component", "n"))
@@ -307,14 +322,16 @@ def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False
         left, right = np.flatnonzero(own <= other), np.flatnonzero(own >= other)
         out = []
         for x, y in ((left, right), (right, left)) if closest and not np.array_equal(left, right) else ((left, right),):
-            for at in range(0, len(x), 128):
-                i = x[at : at + 128]
+            step = max(1, min(128, PAIR_WORDS // max(1, len(y) * words.shape[1])))
+            for at in range(0, len(x), step):
+                i = x[at : at + step]
                 apart = component[i][:, None] != component[y]
                 if not apart.any():
                     continue
                 total = n[i][:, None] + n[y]
                 distance = np.bitwise_count(words[i][:, None, :] ^ words[y][None, :, :]).sum(axis=2, dtype=np.int64)
-                distance[~(apart & (distance * (den + num) <= total * (den - num)))] = 1 << 40
+                close = den * np.minimum(n[i][:, None], n[y]) >= num * np.maximum(n[i][:, None], n[y])
+                distance[~(apart & close & (distance * (den + num) <= total * (den - num)))] = 1 << 40
                 if closest:
                     q = distance.argmin(axis=1)
                     p = np.flatnonzero(distance[np.arange(len(i)), q] < 1 << 40)
@@ -357,27 +374,27 @@ def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False
 
 def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id for each row; links are pairs with 100 * intersection >= 100 * num/den * union."""
-    spark = documents.sparkSession
-    shards = partitions(spark)
+    spark = lean(documents.sparkSession)
+    made: list[DataFrame] = []  # tables that aren't needed any more at the end
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
     docs = stored(sizes(documents, k), "sizes")
     some = docs.where("n > 0 AND doc_id IS NOT NULL")
+    shards = max(partitions(spark), -(-(some.agg(F.sum("n")).first()[0] or 0) // KEYS))
     classes = some.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"))
     # Of each row its class representative; only rows that aren't one themselves are kept.
     copies = stored(some.join(classes, ["n", "f", "g"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     found = stored(_buckets(_packed(documents, k, shards, num, den), shards), "buckets")
-    size = some.groupBy("doc_id").agg(F.max("n").alias("n"))
-
-    def similar_size(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b")
-
     hubs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("t").alias("t")).where("c >= t")
     hubs = hubs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     hubs = _mapped(_mapped(hubs, "a", copies, "doc_id", "rep"), "b", copies, "doc_id", "rep").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_verified(stored(similar_size(hubs), "pairs"), documents, k, num, den), "links")
-    first = stored(components(links), "components")
+    links = kept(_verified(kept(hubs, "pairs"), documents, k, num, den), "links")
+    made.append(first := stars(links))
 
-    members = stored(_mapped(found.where("kind = 1").select("key", "a", "t"), "a", copies, "doc_id", "rep").groupBy("key", "a").agg(F.min("t").alias("t")), "members")
+    members = kept(_mapped(found.where("kind = 1").select("key", "a", "t"), "a", copies, "doc_id", "rep").groupBy("key", "a").agg(F.min("t").alias("t")), "members")
     discard(spark, found)
     sketches = some.groupBy("doc_id").agg(F.max_by("sketch", "n").alias("sketch"), F.max("n").alias("n")).withColumnRenamed("doc_id", "a")
 
@@ -386,7 +403,7 @@ def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -
         own = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.max("t").alias("_t"), F.min("a").alias("hub")).where("lo <> hi")
         rest = own.join(keys.select("key", "size", "hub", (F.col("_t") >= FEWER).alias("fewer")), "key")
-        rest = stored(rest.withColumn("t", F.col("t") % FEWER).withColumn("band", F.pmod("key", F.lit(256)).cast("int")), "rest")
+        rest = kept(rest.withColumn("t", F.col("t") % FEWER).withColumn("band", F.pmod("key", F.lit(256)).cast("int")), "rest")
         large = rest.where(F.col("size") > LARGE).groupBy("a", "band").agg(F.count(F.lit(1)).alias("large"))
         return rest.join(large, ["a", "band"], "left").withColumn("large", F.coalesce("large", F.lit(0)))
 
@@ -397,17 +414,21 @@ def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -
     def grown(parts: DataFrame, links: DataFrame) -> DataFrame:
         if links.isEmpty():
             return parts
-        return stored(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+        made.append(out := stars(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+        return out
 
     best = within_large(still_open(first), True).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, CLOSEST).alias("best")).select("a", F.explode("best.b").alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = grown(first, stored(_verified(stored(similar_size(best), "pairs"), documents, k, num, den), "links"))
+    second = grown(first, kept(_verified(kept(best, "pairs"), documents, k, num, den), "links"))
 
     rest = still_open(second)
     x, y = (rest.where(F.col("size") <= LARGE).select("key", "band", *(F.col(c).alias(f"{c}{i}") for c in ("a", "t", "component", "large"))) for i in (1, 2))
     counted = x.join(y.drop("band"), "key").where("a1 < a2 AND component1 <> component2").groupBy(F.col("a1").alias("a"), F.col("a2").alias("b"), "band").agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("least(t1, t2) - least(large1, large2)")).alias("t"))
     across = counted.where("c >= t").select("a", "b").unionByName(within_large(rest, False).select("a", "b")).distinct()
-    final = grown(second, stored(_verified(stored(similar_size(across), "pairs"), documents, k, num, den), "links"))
+    final = grown(second, kept(_verified(kept(across, "pairs"), documents, k, num, den), "links"))
+    for table in made:
+        if table is not final:
+            discard(spark, table)
     out = _mapped(docs.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")), "component_id", copies, "doc_id", "rep")
     return _mapped(out, "component_id", final, "node", "component").select("doc_id", "n_shingles", "component_id")
 
@@ -417,6 +438,15 @@ def run(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(spark, docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; unlinked documents all stay. Rows that repeat a kept doc_id go."""
-    chosen = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The document with the smallest doc_id of each component; unlinked documents all stay.
+
+    Of rows equal in doc_id and text one stays, the one with the smallest hash of all its columns; rows that give a kept doc_id
+    another text stay, too, as no text is a copy of them. Rows without a doc_id all stay.
+    """
+    chosen = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    ours = docs.where(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi")
+    name = fresh(docs.columns, "others")
+    others = named(docs, ("doc_id", "text"))
+    one = ours.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias(name)) if others else ours.dropDuplicates()
+    columns = [x if c in ("doc_id", "text") else F.col(name)[c].alias(c) for c, x in zip(docs.columns, named(docs), strict=True)]
+    return one.select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
