@@ -10,7 +10,6 @@ from compare import connect, spark_rows, sql_rows
 from pyspark.sql import functions as F
 from test_texts import prose
 
-import corpus_pipeline
 from tidemark.llm import jaccard, kneser, linededup, queries, urlfilter, vectors
 from tidemark.llm.components import components
 
@@ -65,47 +64,102 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.limit(0), twice).count() == 0
 
 
+def brute_kneser(train, order=3):
+    """P(w | context) of an interpolated modified Kneser-Ney model by counters, and the number of distinct tokens."""
+    grams = Counter()
+    for v in train:
+        v = ["<s>"] * (order - 1) + v
+        grams.update(zip(*(v[i:] for i in range(order)), strict=False))
+    levels = [grams]  # of shorter grams: how many different words stand before them, the count at the begin of a text
+    while len(next(iter(levels[-1]))) > 1:
+        below = Counter()
+        for g, n in levels[-1].items():
+            below[g[1:]] += n if len(g) > 2 and g[1] == "<s>" else 1
+        levels.append(below)
+    levels = levels[::-1]
+    size = len(levels[0])
+    models = []
+    for counts in levels:
+        m = Counter(counts.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
+        raw = [1 - 2 * y * m[2] / m[1] if m[1] else 0.5, 2 - 3 * y * m[3] / m[2] if m[2] else 1.0, 3 - 4 * y * m[4] / m[3] if m[3] else 1.5]
+        d = [0, *(min(max(x, 0.05), i) for i, x in enumerate(raw, 1))]
+        total, back = Counter(), defaultdict(float)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            back[g[:-1]] += d[min(n, 3)]
+        models.append((counts, d, total, back))
+
+    def p(w, context):
+        counts, d, total, back = models[len(context)]
+        low = p(w, context[1:]) if context else 1 / (size + 1)
+        if context not in total:
+            return low
+        n = counts[*context, w]
+        return max(n - d[min(n, 3)], 0) / total[context] + back[context] / total[context] * low
+
+    return p, size
+
+
+def log_score(p, tokens, order=3):
+    padded = ["<s>"] * (order - 1) + tokens
+    return sum(math.log10(p(w, tuple(padded[i : i + order - 1]))) for i, w in enumerate(tokens))
+
+
 def test_kneser_ney_equals_brute_force(spark, table, odd, empty, monkeypatch):
     rng = random.Random(1)
     vocab = prose(rng, 80).split()
     rows = [(i, " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(len(vocab))], k=rng.randint(0, 60)))) for i in range(150)] + [(200, None), (201, "")]
+    rows += [(210 + i, "the same Words again") for i in range(300)]  # counts of more than a byte
     docs = table(rows)
     monkeypatch.setattr(kneser, "FLUSH", 500)
+    monkeypatch.setattr(kneser, "STEP", 16)
     model = kneser.fit(docs, F.col("doc_id") % 7 != 2, shards=3)
     text = {i: (t or "").lower().split() + ["</s>"] for i, t in rows}
     train = [v for i, v in text.items() if i % 7 != 2]
-    c, b = Counter(w for v in train for w in v), Counter(x for v in train for x in zip(["<s>", *v[:-1]], v, strict=True))
-    n, v = sum(c.values()), len(c)
-    k = Counter(w for _, w in b)
-
-    def discounts(counts):
-        m = Counter(counts.values())
-        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
-        raw = [1 - 2 * y * m[2] / m[1] if m[1] else 0.5, 2 - 3 * y * m[3] / m[2] if m[2] else 1.0, 3 - 4 * y * m[4] / m[3] if m[3] else 1.5]
-        return [0, *(min(max(x, 0.05), i) for i, x in enumerate(raw, 1))]
-
-    d, e = discounts(b), discounts(k)
-    total, back = Counter(), defaultdict(float)
-    for (u, w), x in b.items():
-        total[u] += x
-        back[u] += d[min(x, 3)]
-
-    def low(w):
-        return max(k[w] - e[min(k[w], 3)], 0) / len(b) + sum(e[min(x, 3)] for x in k.values()) / len(b) / (v + 1)
-
-    def p(u, w):
-        return low(w) if u not in total else max(b[u, w] - d[min(b[u, w], 3)], 0) / total[u] + back[u] / total[u] * low(w)
-
-    assert abs(sum(p("<s>", w) for w in c) + p("<s>", "never seen") - 1) < 1e-9
+    c = Counter(w for v in train for w in v)
+    n = sum(c.values())
+    p, v = brute_kneser(train)
+    for context in (("<s>", "<s>"), ("<s>", train[0][0]), tuple(train[0][:2]), ("never", "seen")):
+        assert abs(sum(p(w, context) for w in c) + p("never seen", context) - 1) < 1e-9
+    held, short = 0.0, 0.0
+    two, _ = brute_kneser(train, 2)
     for r in kneser.score(docs, model).collect():
         own = text[r.doc_id]
-        assert abs(r.score - sum(math.log10(p(u, w)) for u, w in zip(["<s>", *own[:-1]], own, strict=True))) < 1e-6
+        assert abs(r.score - log_score(p, own)) < 1e-6
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in c for w in own), n)
+        if r.doc_id % 7 == 2:
+            held, short = held + r.score, short + log_score(two, own, 2)
+    assert held != short
     assert kneser.score(odd, model).count() == odd.count() and kneser.score(empty, model).count() == 0
+    model.remove()
     assert {r.score for r in kneser.score(docs.limit(3), kneser.fit(empty)).collect()} == {0.0}
 
 
+def test_kneser_ney_over_a_long_text(table, monkeypatch):
+    rng = random.Random(8)
+    long = " ".join(rng.choices(prose(rng, 500).split(), k=300_000))
+    docs = table([(0, long), (1, "a b c")])
+    model = kneser.fit(docs, shards=2)
+    whole = {r.doc_id: r.score for r in kneser.score(docs, model).collect()}
+    monkeypatch.setattr(kneser, "STEP", 1 << 22)
+    column = docs.select("text").toArrow().column(0).combine_chunks()
+    assert np.allclose(model.score(column)[3], [whole[0], whole[1]])
+    assert model.score(column)[0].tolist() == [300_001, 4]
+
+
+def test_hash_arrays_give_back_what_they_hold(tmp_path):
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 17, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        values = rng.integers(1, 400, (len(keys), 4))
+        kneser.save_table(str(tmp_path), f"t{n}", keys, values)
+        assert (kneser.find(str(tmp_path), f"t{n}", keys, 4) == values).all()
+        assert not kneser.find(str(tmp_path), f"t{n}", rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1), 4).any()
+    assert not kneser.find(str(tmp_path), "none", np.arange(3, dtype=np.uint64), 2).any()
+
+
 def brute_components(sets, links):
     parent = {d: d for d in sets}
 
@@ -203,6 +257,29 @@ def test_keys_of_very_large_sets():
             assert ((both & np.uint64(255)) == band).sum() >= least % jaccard.FEWER
 
 
+def spread(rng, n, d, mean):
+    """n vectors of d dimensions whose cosines are `mean` on average; a third of them have a partner at 0.95 to 0.97."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(mean) * unit(rng.normal(size=d)) + np.sqrt(1 - mean) * unit(rng.normal(size=(n, d))))
+    m = n // 3
+    away = rng.normal(size=(m, d))
+    away = unit(away - (away * x[:m]).sum(axis=1, keepdims=True) * x[:m])
+    c = rng.uniform(0.95, 0.97, (m, 1))
+    x[-m:] = c * x[:m] + np.sqrt(1 - c**2) * away
+    return x
+
+
+@pytest.mark.parametrize("d,mean", [(16, 0.0), (32, 0.5), (64, 0.0), (64, 0.5), (64, 0.8)])
+def test_vectors_recall(spark, d, mean):
+    x = spread(np.random.default_rng(d + int(10 * mean)), 2400, d, mean)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r for r in vectors.links(df).collect()}
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= near.sum(axis=1)).all() and n.sum() >= 0.95 * near.sum() > 0
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = []
@@ -211,13 +288,14 @@ def test_vectors(spark, monkeypatch):
         for _ in range(int(rng.choice([1, 2, 60]))):
             rows.append((len(rows), [float(np.float32(x)) for x in c + rng.normal(size=64) * rng.uniform(0.01, 0.2)]))
     rows += [(900 + i, [float(x) for x in rng.normal(size=64)]) for i in range(200)]
-    bad = [(2000, None), (2001, []), (2002, [0.0] * 64), (2003, [1.0] * 63 + [None]), (2004, [float("nan")] * 64), (2005, [float("inf")] * 64), (2006, rows[0][1][:32])]
+    rows += [(3000 + i, rows[5][1]) for i in range(70)] + [(4000, [x * 3 for x in rows[5][1]])]
+    bad = [(2000, None), (2001, []), (2002, [0.0] * 64), (2003, [1.0] * 63 + [None]), (2004, [float("nan")] * 64), (2005, [float("inf")] * 64), (2007, [float("inf")] * 64), (2006, rows[0][1][:32]), (None, rows[0][1])]
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     monkeypatch.setattr(vectors, "TILE", 20)
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("n", F.lit("clash")).withColumn("rep", F.lit(1)).withColumn("size", F.lit(2))
     got = {r.vec_id: r for r in vectors.links(df).collect()}
     assert len(got) == len(rows) + len(bad) and all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad)
     found = sum(got[i].n_links for i, _ in rows)
@@ -227,14 +305,64 @@ def test_vectors(spark, monkeypatch):
     assert vectors.links(df.limit(0)).count() == 0
 
 
-def test_pipeline_stage_by_stage(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id for r in docs.select("doc_id").collect()}
-        docs = stage(spark, docs, sf_dir)
-        assert docs.columns == columns, name
-        assert {r.doc_id for r in docs.select("doc_id").collect()} <= before, name
-    left = {r.doc_id for r in docs.select("doc_id").collect()}
-    out = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in out} == left and len(out) == len(left)
+def test_vectors_of_many_lengths_and_repeated_ids(spark):
+    rows = [(10 * d + k, [1.0] * d) for d in range(1, 30) for k in (0, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i - i % 10) for i, _ in rows}
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]), (5, [1e300, 1e300]), (6, [1e-310, 1e-310])]
+    got = sorted(tuple(r) for r in vectors.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "n_links", "component_id").collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 5)]
+
+
+def test_jaccard_join_of_very_long_texts(table):
+    rng = np.random.default_rng(11)
+    words = rng.integers(0, 1 << 40, 700_000).astype(str)
+    near = words.copy()
+    near[rng.integers(0, len(near), 5000)] = "x"
+    far = words.copy()
+    far[rng.integers(0, len(far), 60_000)] = "y"
+    docs = table([(3, " ".join(words)), (5, " ".join(near)), (7, " ".join(words)), (9, " ".join(far)), (1, "a b c")])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {3: 3, 5: 3, 7: 3, 9: 9, 1: 1} and got[3][0] == 700_000 - 4
+
+
+def test_jaccard_places_of_a_large_hub(table, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = prose(rng, 1)
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "SEEN", 10)
+    monkeypatch.setattr(jaccard, "KEYS", 500)
+    sets = shingle_sets(rows)
+    links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(sets, links)
+    assert {r.doc_id: r.component_id for r in jaccard.join(table(rows).repartition(3)).collect()} == want
+
+
+def test_jaccard_keep_of_repeated_ids(spark, table):
+    a, b = prose(random.Random(13), 30), prose(random.Random(14), 30)
+    docs = table([(1, a), (1, a), (1, b), (2, b), (3, a + " more"), (4, None), (4, None), (None, a), (None, a)]).withColumn("others", F.lit(5)).withColumn("rep", F.monotonically_increasing_id())
+    kept = jaccard.keep(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (0, a), (1, a), (1, b), (4, "")])
+
+
+@pytest.mark.parametrize("name", ["gone", "rest", "_gone", "Gone", "lines", "removed", "h", "salt", "site", "first_doc"])
+def test_line_dedup_bears_clashing_names(spark, table, name):
+    docs = table([(i, f"shared\nown {i}", "en", f"s{i}") for i in range(11)], extra=False).withColumn(name, F.lit("x"))
+    kept = linededup.keep(spark, docs)
+    assert kept.columns == docs.columns
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert rows[0].text == "shared\nown 0" and rows[10].text == "own 10" and all(r[name] == "x" for r in rows.values())
+
+
+def test_line_dedup_ties_and_long_texts(spark, table):
+    long = "\n".join(f"line {i}" for i in range(50_000))
+    rows = [(1, "same", "en", "a"), (1, "same\nsame", "en", "a")] + [(i, "same\nx", "en", f"s{i}") for i in range(2, 12)] + [(50, long + "\nsame", "en", "z")]
+    out = sorted((r.doc_id, r.n_removed, len(r.text)) for r in linededup.clean(table(rows)).collect())
+    assert [x[:2] for x in out if x[0] == 1] == [(1, 0), (1, 0)] and (50, 1, len(long)) in out
