@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontam, jaccard, linededup, quality
-from tidemark.llm.session import stored
+from tidemark.llm.session import discard, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,15 +45,16 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte-level BPE", encoding_stage),
 ]
 
-#: The trained classifier and the encoding have no SQL form; tests/llm holds the stages against brute force.
+#: The trained classifier and the encoding have no SQL form; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a table in the shared folder, read again by the next."""
+    """All stages over documents; each stage's rows are a table in the shared folder, read again by the next, which then takes its place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            discard(spark, docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
