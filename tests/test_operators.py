@@ -13,7 +13,7 @@ from tidemark import registry
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.functions.stats import incomplete_beta, student_two_sided
-from tidemark.operators import engagement, keyed, manifest, metrics, posts, quality, risk, sampling, series, simulate, tables, vision, webmeta
+from tidemark.operators import engagement, keyed, learn, manifest, metrics, posts, quality, ranking, risk, sampling, series, simulate, tables, vision, webmeta
 from tidemark.sources import readers, sinks
 from tidemark.sources.schemas import SNAPSHOTS
 from tidemark.streaming import snapshots
@@ -379,3 +379,122 @@ def test_stream_query_takes_late_rows_of_many_files(spark, sf_dir, tmp_path):
         pq.write_table(events.slice(k * step, step), tmp_path / "events.parquet" / f"{name:03}.parquet")
     got = sorted((r.user_id, r.event_id) for r in QUERIES["stream_snapshots_equals_batch"](spark, str(tmp_path)).collect())
     assert got == sorted(set(zip(events["user_id"].to_pylist()[: step * 250], events["event_id"].to_pylist()[: step * 250], strict=True)))
+
+
+def test_numbers_within_groups_equal_windows(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("abc"), rng.randint(0, 40), i) for i in range(600)] + [(None, 5, 900), ("a", None, 901)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    got = {r.i: r.n for r in ranking.numbered(df, ["g"], [F.col("x"), F.col("i")], "n").collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
+    ranks = {(r.g, r.x): r.r for r in ranking.mean_ranks(df.where("g IS NOT NULL AND x IS NOT NULL"), ["g"], "x", "r").collect()}
+    for g in "abc":
+        xs = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+        assert all(ranks[g, x] == np.mean([k + 1 for k, y in enumerate(xs) if y == x]) for x in set(xs))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 87, 1000])
+def test_quantiles_equal_numpy(spark, n):
+    x = np.round(np.random.default_rng(n).normal(size=n), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    shares = [0.0, 0.2, 0.5, 0.77, 1.0]
+    assert np.allclose(list(one(ranking.quantiles(df, "x", shares))), np.quantile(x, shares))
+    assert list(one(ranking.quantiles(df.where("x > 100"), "x", [0.5]))) == [None]
+
+
+def test_weighted_sample(spark):
+    df = spark.createDataFrame([(i, 5.0 if i < 50 else 0.01 if i < 99 else 0.0) for i in range(100)], "k int, w double")
+    got = [r.k for r in sampling.weighted_sample(df, "k", "w", 40).collect()]
+    assert len(set(got)) == 40 and sum(k < 50 for k in got) >= 38 and 99 not in got
+    assert got == [r.k for r in sampling.weighted_sample(df.repartition(5), "k", "w", 40).collect()]
+
+
+def test_layouts(spark):
+    def made(dataset, paths, **more):
+        df = spark.createDataFrame([(p,) for p in paths], "path string")
+        return sorted((r.label, r.split, r.compression, r.video, len(r.frames)) for r in manifest.by_layout(df, dataset, **more).collect())
+
+    tested = spark.createDataFrame([("v2",)], "video string")
+    celeb = ["/d/Celeb-DF-v1/YouTube-real/frames/v1/0.png", "/d/Celeb-DF-v1/Celeb-synthesis/frames/v2/0.png", "/d/Celeb-DF-v1/Celeb-synthesis/frames/v2/1.png", "/d/Celeb-DF-v1/List.txt"]
+    assert made("Celeb-DF-v1", celeb, tested=tested) == [("CelebDFv1_fake", s, None, "v2", 2) for s in ("test", "train", "val")] + [("CelebDFv1_real", "train", None, "v1", 1)]
+    splits = spark.createDataFrame([("000", "train"), ("000_003", "test")], "video string, split string")
+    ff = [f"/d/FaceForensics++/original_sequences/youtube/{c}/frames/000/1.png" for c in ("c23", "c40")] + ["/d/FaceForensics++/manipulated_sequences/Deepfakes/c23/frames/000_003/1.png"]
+    assert made("FaceForensics++", ff, splits=splits) == [("FF-DF", "test", "c23", "000_003", 1), ("FF-real", "train", "c23", "000", 1), ("FF-real", "train", "c40", "000", 1)]
+    with pytest.raises(Exception, match="no split for 9"):
+        made("FaceForensics++", ["/d/x/manipulated_sequences/FaceSwap/raw/frames/9/1.png"], splits=splits)
+    told = spark.createDataFrame([("a", "test", "DFDC_Fake"), ("b", "train", "DFDC_Real")], "video string, split string, label string")
+    assert made("DFDC", ["/d/DFDC/test/frames/a/0.png", "/d/DFDC/train/p1/frames/b/0.png"], splits=told) == [("DFDC_Fake", "test", None, "a", 1), ("DFDC_Real", "train", None, "b", 1)]
+
+
+def test_rows_of_several_files_in_order(spark, tmp_path):
+    for name, rows in (("a.csv", range(5)), ("b.csv", range(100, 3000))):  # Spark reads the larger file first
+        (tmp_path / name).write_text("image,v\n" + "".join(f"k{i % 3},{i}\n" for i in rows))
+    got = readers.keyed_csv(spark, str(tmp_path)).collect()
+    assert {r.image: r.v for r in got} == {"k0": "2997", "k1": "2998", "k2": "2999"}
+    turned = tmp_path / "turned"
+    turned.mkdir()
+    (turned / "a.csv").write_text("image,v\n" + "".join(f"k,{i}\n" for i in range(3000)))
+    (turned / "b.csv").write_text("image,v\nk,last\n")
+    assert one(readers.keyed_csv(spark, str(turned))).v == "last"
+
+
+def test_texts_are_read_whole(spark, tmp_path):
+    (tmp_path / "map.txt").write_text('item {\n  name: "walk"\n  id: 3\n}\nitem {\n  name: "run"\n  label_id: 5\n}\n')
+    assert sorted(map(tuple, readers.label_map(spark, str(tmp_path / "map.txt")).collect())) == [(3, "walk"), (5, "run")]
+    (tmp_path / "m.json").write_text('{"D":\n {"real": {"train": {"v": {"label": "real", "frames": ["1.png"]}}}}}\n')
+    assert one(manifest.videos(readers.manifest_text(spark, str(tmp_path / "m.json")))).video == "v"
+
+
+def test_polling():
+    now, slept, seen, failures = [0.0], [], [], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    assert snapshots.poll(seen.append, 10, 0, 3, sleep=sleep, clock=lambda: now[0]) == 3 and seen == [1, 2, 3] and slept == [10, 10]
+    assert snapshots.poll(seen.append, 0.1, 5, 50, sleep=sleep, clock=lambda: now[0]) == 50 and min(slept) >= 1
+    assert snapshots.poll(lambda n: None, 1, stop=lambda: True, sleep=sleep) == 1
+    del slept[:]
+
+    def work(x):
+        if x == 2:
+            raise OSError("refused")
+
+    assert snapshots.throttled(work, [1, 2, 3], 1.0, lambda x, e: failures.append(x), sleep) == 2 and failures == [2] and slept == [1.0] * 3
+
+
+def test_stream_reads_targets_anew(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"posting_id": f"p{k}", "score": float(i)}) for k in range(3)))
+    asked = []
+
+    def targets():
+        asked.append(1)
+        return spark.createDataFrame([(f"p{len(asked) - 1}",)], "posting_id string")
+
+    rows = snapshots.source(spark, str(tmp_path / "in"), SNAPSHOTS, files_per_batch=1)
+    snapshots.run_until(snapshots.following(rows, targets, "posting_id", str(tmp_path / "out"), str(tmp_path / "state")))
+    got = sorted((r.batch, r.posting_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [p for _, p in got] == ["p0", "p1"] and len({b for b, _ in got}) == 2
+
+
+def test_hold_out_and_cross_validation_leave_nothing_cached(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3) + 2 * (i % 2)], i % 2) for i in range(200)], "k int, v array<double>, y int")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    r = one(learn.held_out(df, "v", "y", "k"))
+    assert 50 <= r.rows <= 70 and r.auc > 0.9
+    with pytest.raises(KeyError):
+        learn.cross_validated(df, "v", "y", "k", "no such model", 2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_registrable_domains_by_rules(spark):
+    rules = spark.createDataFrame([("com",), ("co.uk",), ("uk",), ("*.ck",), ("!www.ck",)], "rule string")
+    hosts = {"a.b.com": "b.com", "com": None, "x.co.uk": "x.co.uk", "co.uk": None, "a.x.uk": "x.uk", "a.b.c.ck": "b.c.ck", "c.ck": None, "www.ck": "www.ck", "z.www.ck": "www.ck", "a.example": "a.example", "A.B.COM.": "b.com", None: None}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert {r.h: r.domain for r in X.registrable_domains(df, rules, "h").collect()} == hosts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import col
@@ -105,9 +105,33 @@ def normal_key(path: Column | str, anchors: list[str] | None = None) -> Column:
     return out
 
 
+def registrable_domains(df: DataFrame, rules: DataFrame, host_: str, to: str = "domain") -> DataFrame:
+    """df with the registrable domain of its hosts by a table `rules` of public suffixes (rule: co.uk, *.ck, !www.ck): one label more than the longest rule that fits, null of a suffix itself. Without a rule the last label is the suffix."""
+    parts = F.split(F.lower(F.regexp_replace(F.col("_h"), r"\.+$", "")), r"\.")
+    tail = lambda i: F.array_join(F.slice(F.col("_p"), i, 1000), ".")
+    hosts = df.select(F.col(host_).alias("_h")).where(F.col("_h").isNotNull()).distinct().withColumn("_p", parts)
+    tails = hosts.select("_h", "_p", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("_i")).withColumn("_t", tail(F.col("_i")))
+    # An exception names the domain itself, so its suffix is one label shorter; a wildcard's is one label longer.
+    exact = rules.where("rule NOT LIKE '*.%' AND rule NOT LIKE '!%'").select(F.col("rule").alias("_t"), F.lit(0).alias("_d"))
+    wild = rules.where("rule LIKE '*.%'").select(F.expr("substring(rule, 3)").alias("_t"), F.lit(-1).alias("_d"))
+    other = rules.where("rule LIKE '!%'").select(F.expr("substring(rule, 2)").alias("_t"), F.lit(1).alias("_d"))
+    hit = tails.join(exact.unionByName(wild).unionByName(other), "_t").withColumn("_at", F.col("_i") + F.col("_d"))
+    best = hit.groupBy("_h").agg(F.coalesce(F.min(F.when(F.col("_d") == 1, F.col("_at"))), F.min("_at")).alias("_at"))
+    named = hosts.join(best, "_h", "left").withColumn("_at", F.coalesce("_at", F.size("_p")))
+    domain = F.when(F.col("_at") > 1, tail(F.greatest(F.col("_at") - 1, F.lit(1))))
+    return df.join(named.select("_h", domain.alias(to)), F.col(host_) == F.col("_h"), "left").drop("_h")
+
+
 def clean_path(path: Column | str) -> Column:
-    """Forward slashes, no leading ./"""
-    return F.regexp_replace(F.replace(col(path), F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    """Forward slashes, one at a time, no leading ./ and none at the end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(col(path), F.lit("\\"), F.lit("/")), r"^(\./+)+", ""), "/+", "/"), "(?<=.)/$", "")
+
+
+def dataset_name(path: Column | str, root: str) -> Column:
+    """The first folder of a path below root; empty where root isn't in it."""
+    p, r = clean_path(path), root.rstrip("/")
+    below = F.regexp_replace(F.substring(p, F.instr(p, r) + len(r), F.length(p)), "^/+", "")
+    return F.when(F.instr(p, r) > 0, F.substring_index(below, "/", 1)).otherwise("")
 
 
 def parent_folder(path: Column | str) -> Column:

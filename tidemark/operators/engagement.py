@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 from tidemark.functions.text import posting_id
+from tidemark.operators.ranking import mean_ranks
 
 HOURS = (1, 6, 24)
 
@@ -62,10 +63,9 @@ def provenance_aggregate(rows: DataFrame) -> DataFrame:
     )
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value, of an even number the upper one of the two; nulls are left out."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(column: str) -> Column:
+    """The middle value of a column, of an even number the upper one of the two; nulls are left out. Values are counted before they are sorted."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def inventory_aggregate(rows: DataFrame) -> DataFrame:
@@ -73,8 +73,9 @@ def inventory_aggregate(rows: DataFrame) -> DataFrame:
     size, kind, n = N.parse_double("size_bytes", none_word=True), F.lower(F.trim(F.coalesce("kind", F.lit("")))), F.count(F.lit(1))
     errors = F.count_if(F.coalesce("errors", F.lit("")) != "")
     share = lambda k: (F.count_if(kind == k) / n)
-    return rows.where("posting_id IS NOT NULL AND posting_id <> ''").groupBy("posting_id").agg(
-        n.alias("media_item_count"), F.avg(size).alias("size_bytes_mean"), upper_median(size).alias("size_bytes_median"), F.max(size).alias("size_bytes_max"), F.min(size).alias("size_bytes_min"),
+    own = rows.where("posting_id IS NOT NULL AND posting_id <> ''").withColumn("_size", size)
+    return own.groupBy("posting_id").agg(
+        n.alias("media_item_count"), F.avg(size).alias("size_bytes_mean"), upper_median("_size").alias("size_bytes_median"), F.max(size).alias("size_bytes_max"), F.min(size).alias("size_bytes_min"),
         share("video_mp4").alias("share_video"), share("gif").alias("share_gif"), share("image").alias("share_image"), errors.alias("has_errors_sum"), (errors / n).alias("error_rate"),
     )
 
@@ -120,8 +121,7 @@ def correlations(df: DataFrame, features: list[str], metrics: list[str], least:
     long = long.where("f.x IS NOT NULL").select("f.*", F.explode("ms").alias("m")).where("m.y IS NOT NULL").select("feature", "x", "m.*").where("feature <> detector_metric")
     pair = ["feature", "detector_metric"]
     for v in ("x", "y"):
-        order = Window.partitionBy(*pair).orderBy(v)
-        long = long.withColumn(f"r{v}", F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*pair, v)) - 1) / 2)
+        long = long.join(mean_ranks(long, pair, v, f"r{v}"), [*pair, v])
     out = long.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_r")).where(F.col("n") >= least)
     return out
 

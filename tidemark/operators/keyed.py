@@ -50,3 +50,11 @@ def mapped(df: DataFrame, column: str, names: dict[str, object], to: str | None
     hit = F.try_element_at(pairs, F.col(column))
     miss = F.raise_error(F.concat(F.lit(f"{column} has no entry for "), F.coalesce(F.col(column), F.lit("null"))))
     return df.withColumn(to or column, F.when(hit.isNotNull(), hit).otherwise(miss.cast(df.select(hit.alias("x")).schema["x"].dataType)))
+
+
+def with_known(df: DataFrame, known: DataFrame, key: str, needed: list[str]) -> DataFrame:
+    """Rows of df whose key `known` has, with all of `needed` filled; the others are skipped."""
+    full = known
+    for c in needed:
+        full = full.where(F.col(c).isNotNull() & (F.col(c) != ""))
+    return df.join(full.select(key).distinct(), key, "left_semi")

@@ -18,23 +18,39 @@ MODELS = {
 }
 
 
-def cross_validated(df: DataFrame, features: str | list[str], label: str, key: str, model: str = "logistic", k: int = 5, seed: int = 418) -> DataFrame:
-    """fold, auc, acc of a model trained on the other folds (labels 0 and 1, features scaled on the training folds)."""
-    spark = df.sparkSession
-    data = folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed)
+def _prepared(df: DataFrame, features: str | list[str], label: str, key: str, more: list[str]) -> DataFrame:
+    data = df.where(F.col(label).isin(0, 1))
     data = data.withColumn("raw", array_to_vector(F.col(features).cast("array<double>"))) if isinstance(features, str) else VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip").transform(data)
-    data = data.select(key, F.col(label).cast("double").alias("label"), "fold", "raw").persist()
-    out = []
-    for i in range(k):
-        train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-        scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        fitted = MODELS[model]().fit(scale.transform(train))
-        scored = fitted.transform(scale.transform(test)).select("label", "prediction", F.element_at(vector_to_array("rawPrediction"), 2).alias("prob"))
-        auc = summary(curve(scored)).first()["auc"]
-        acc = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        out.append((i, auc, acc))
-    data.unpersist()
-    return spark.createDataFrame(out, "fold int, auc double, acc double")
+    return data.select(key, F.col(label).cast("double").alias("label"), "raw", *more)
+
+
+def _scored(train: DataFrame, test: DataFrame, model: str) -> tuple[float | None, float | None]:
+    """AUC and accuracy on test of a model trained on train, features scaled on train."""
+    scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+    fitted = MODELS[model]().fit(scale.transform(train))
+    out = fitted.transform(scale.transform(test)).select("label", "prediction", F.element_at(vector_to_array("rawPrediction"), 2).alias("prob"))
+    return summary(curve(out)).first()["auc"], out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+
+
+def cross_validated(df: DataFrame, features: str | list[str], label: str, key: str, model: str = "logistic", k: int = 5, seed: int = 418) -> DataFrame:
+    """fold, auc, acc of a model trained on the other folds (labels 0 and 1, features scaled on the training folds). Trains k models when it is called; the table is cached until then."""
+    data = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed), features, label, key, ["fold"]).persist()
+    try:
+        out = [(i, *_scored(data.where(F.col("fold") != i), data.where(F.col("fold") == i), model)) for i in range(k)]
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(out, "fold int, auc double, acc double")
+
+
+def held_out(df: DataFrame, features: str | list[str], label: str, key: str, model: str = "logistic", share: float = 0.3, seed: int = 418) -> DataFrame:
+    """One row: auc, acc, rows of a stratified part of the rows (share, in tenths) that the model wasn't trained on."""
+    data = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, 10, seed, "_part"), features, label, key, ["_part"]).persist()
+    try:
+        test = data.where(F.col("_part") < round(10 * share))
+        auc, acc = _scored(data.where(F.col("_part") >= round(10 * share)), test, model)
+        return df.sparkSession.createDataFrame([(auc, acc, test.count())], "auc double, acc double, rows long")
+    finally:
+        data.unpersist()
 
 
 def scores(df: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import quantiles
+
 RANGES = 64
 
 
@@ -150,3 +152,10 @@ def branches(df: DataFrame, scores: list[str], label: str = "label") -> DataFram
     long = df.select(label, F.explode(F.array(*(F.struct(F.lit(s).alias("branch"), F.col(s).cast("double").alias("prob")) for s in scores))).alias("b")).select(F.col(label).alias("label"), "b.*")
     ap = summary(curve(long, by=("branch",)), ("branch",)).select("branch", "ap")
     return ap.join(accuracy(long, by=("branch",)).select("branch", "acc"), "branch")
+
+
+def median_threshold(df: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
+    """threshold (the median score of label 0, as of a model of real items only) and the accuracy of `score >= threshold`; one row."""
+    middle = quantiles(df.where(F.col(label) == 0), score, [0.5]).select(F.col("q0").alias("threshold"))
+    hit = ((F.col(score) >= F.col("threshold")).cast("int") == F.col(label)).cast("double")
+    return df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull()).crossJoin(F.broadcast(middle)).agg(F.max("threshold").alias("threshold"), F.avg(hit).alias("acc"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 
 def rolling(df: DataFrame, by: list[str], order: str, value: str, width: int) -> DataFrame:
@@ -26,22 +28,23 @@ def early_stop(df: DataFrame, by: list[str], order: str, score: str, patience: i
     """df with counter, best and stop after each row.
 
     A score below best + delta counts up, any other becomes the best and sets the count to 0; with a negative delta
-    so does one slightly below the best. stop is true from the row on where the count has reached the patience.
+    so does one slightly below the best. A series is read by one task, in order. stop is true from the row on where the count has reached the patience.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s"))
-    state = "struct<o:{0},best:double,counter:int,stop:boolean>".format(df.schema[order].dataType.simpleString())
-    start = F.array().cast(f"array<{state}>")
-
-    def step(done, x):
-        was = F.try_element_at(done, F.lit(-1))
-        worse = F.coalesce(x["s"] < was["best"] + F.lit(delta), F.lit(False))
-        counter = F.when(worse, was["counter"] + 1).otherwise(F.lit(0))
-        row = F.struct(x["o"].alias("o"), F.when(worse, was["best"]).otherwise(x["s"]).alias("best"), counter.alias("counter"), (F.coalesce(was["stop"], F.lit(False)) | (counter >= patience)).alias("stop"))
-        return F.concat(done, F.array(row.cast(state)))
-
-    runs = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items")) if by else df.agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    rows = runs.select(*by, F.inline(F.aggregate("_items", start, step))).withColumnRenamed("o", order)
-    return df.join(rows, [*by, order])
+    schema = StructType([*df.schema, StructField("best", DoubleType()), StructField("counter", IntegerType()), StructField("stop", BooleanType())])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        best, counter, stop, out = None, 0, False, []
+        for x in frame[score].astype(float):
+            if best is not None and x < best + delta:
+                counter += 1
+            else:
+                best, counter = x, 0
+            stop = stop or counter >= patience
+            out.append((best, counter, stop))
+        return frame.assign(best=[x for x, _, _ in out], counter=[x for _, x, _ in out], stop=[x for _, _, x in out])
+
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def flushes(df: DataFrame, by: list[str], iteration: str, values: list[str], every: int = 300) -> DataFrame:

@@ -25,9 +25,9 @@ def pivoted(df: DataFrame, index: list[str], column: str, value: str, values: li
 
 
 def transposed(df: DataFrame, key: str, keys: list[str], name: str = "name") -> DataFrame:
-    """Columns to rows; keys: values of the column `key`, which become columns."""
+    """Columns to rows; keys: values of the column `key`, which become columns (of a key that repeats the largest value)."""
     cols = [c for c in df.columns if c != key]
-    return df.unpivot([key], cols, name, "_v").groupBy(name).pivot(key, keys).agg(F.first("_v"))
+    return df.unpivot([key], cols, name, "_v").groupBy(name).pivot(key, keys).agg(F.max("_v"))
 
 
 def baseline_delta(df: DataFrame, by: list[str], variant: str, baseline: str, value: str, name: str = "delta") -> DataFrame:
@@ -64,10 +64,18 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def scraped_log(lines: DataFrame, position: str = "position", text: str = "value", case_sensitive: bool = True) -> DataFrame:
-    """dataset, AUC, EER, ACC, AP of each `dataset: ...` block of a log. Case-sensitive, a log that writes auc: gives no AUC."""
+def scraped_log(lines: DataFrame, position: str = "position", text: str = "value", case_sensitive: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """dataset, AUC, EER, ACC, AP of each `dataset: ...` block of a log. Case-sensitive, a log that writes auc: gives no AUC. by: columns that tell several logs apart, each read in one task."""
     flag = "" if case_sensitive else "(?i)"
     name = F.nullif(F.regexp_extract(text, r"^\s*dataset:\s*(\S+)", 1), F.lit(""))
-    tagged = lines.withColumn("dataset", F.last(name, ignorenulls=True).over(Window.orderBy(position)))
+    tagged = lines.withColumn("dataset", F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(position)))
     get = lambda m: F.last(F.nullif(F.regexp_extract(text, rf"{flag}\b{m}:\s*([0-9.]+)", 1), F.lit("")).try_cast("double"), ignorenulls=True).alias(m)
-    return tagged.where("dataset IS NOT NULL").groupBy("dataset").agg(*(get(m) for m in ("AUC", "EER", "ACC", "AP")))
+    return tagged.where("dataset IS NOT NULL").groupBy(*by, "dataset").agg(*(get(m) for m in ("AUC", "EER", "ACC", "AP")))
+
+
+def zipped(parts: list[DataFrame], position: str) -> DataFrame:
+    """Lists of values brought together by an explicit position; positions that a list lacks are left out."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, position)
+    return out

@@ -39,15 +39,15 @@ def iou(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
 
 
 def detection_precision(truth: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """action_id, ap, positives by the usual rule: of detections in order of score each takes the best true box of its image and class if no better-scored one has; what takes none is false.
+    """action_id, ap, positives by the usual rule: of detections in order of score each takes the best true box of its image and class if no better-scored one has; what takes none is false. Of equals, boxes further left, then higher up, come first.
 
     truth: key, action_id, x1, y1, x2, y2; found: the same and score.
     """
     t = truth.select("key", "action_id", *(F.col(c).cast("double").alias(f"t{c}") for c in ("x1", "y1", "x2", "y2"))).withColumn("_t", F.monotonically_increasing_id())
     d = found.select("key", "action_id", "score", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).withColumn("_d", F.monotonically_increasing_id())
     overlap = d.join(t, ["key", "action_id"]).withColumn("iou", iou(("x1", "y1", "x2", "y2"), ("tx1", "ty1", "tx2", "ty2"))).where(F.col("iou") >= threshold)
-    best = overlap.groupBy("_d").agg(F.max_by("_t", F.struct("iou", (-F.col("_t")).alias("o"))).alias("_t"))
-    taken = d.select("_d", "score").join(best, "_d").withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "_d"))).where("_r = 1").select("_d", F.lit(1).alias("hit"))
+    best = overlap.groupBy("_d").agg(F.max_by("_t", F.struct("iou", *((-F.col(c)).alias(c) for c in ("tx1", "ty1", "tx2", "ty2", "_t")))).alias("_t"))
+    taken = d.drop("key", "action_id").join(best, "_d").withColumn("_r", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "x1", "y1", "x2", "y2", "_d"))).where("_r = 1").select("_d", F.lit(1).alias("hit"))
     labelled = d.join(taken, "_d", "left").select("action_id", F.col("score").alias("prob"), F.coalesce("hit", F.lit(0)).alias("label"))
     c = curve(labelled, by=("action_id",))
     # The curve's precision at each score, but recall by all true boxes, found or not.

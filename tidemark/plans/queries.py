@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.operators import engagement, keyed, learn, manifest, metrics, posts, quality, risk, sampling, series, simulate, tables, vision, webmeta
+from tidemark.plans import more
 from tidemark.plans import proxies as P
 from tidemark.plans.proxies import table, with_
+from tidemark.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
+from tidemark.plans.registered import rounded as _r
 from tidemark.streaming import snapshots
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def _r(*names: str, digits: int = 6) -> list:
-    return [F.round(n, digits).alias(n) for n in names]
-
 
 # Risk ------------------------------------------------------------------------------------------------------------------
 
@@ -106,12 +87,12 @@ def tracked_targets(spark, d):
     return posts.targets(a, b, c)
 
 
-@query("lookup_cascade", "SELECT d.doc_id, coalesce(a.doc_id, b.doc_id) AS value FROM (SELECT *, 'Root/' || source || '/' || doc_id AS key FROM documents WHERE doc_id % 2 = 0) d LEFT JOIN (SELECT doc_id, 'Root/' || source || '/' || doc_id AS key FROM documents WHERE doc_id % 3 = 0) a ON a.key = d.key LEFT JOIN (SELECT doc_id, lower('Root/' || source || '/' || doc_id) AS key FROM documents WHERE doc_id % 3 > 0) b ON b.key = lower(d.key)")
+@query("lookup_cascade", "SELECT d.doc_id, coalesce(a.doc_id, b.doc_id) AS value FROM (SELECT *, 'Root/' || source || '/' || doc_id AS key FROM documents) d LEFT JOIN (SELECT doc_id, 'Root/' || source || '/' || doc_id AS key FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 > 0) a ON a.key = d.key LEFT JOIN (SELECT doc_id, lower('Root/' || source || '/' || doc_id) AS key FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 > 0) b ON b.key = lower(d.key)")
 def lookup_cascade(spark, d):
     docs = table(spark, d, "documents")
     key = F.concat(F.lit("Root/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    store = docs.select(F.when(F.col("doc_id") % 3 == 0, key).otherwise(F.upper(key)).alias("key"), F.col("doc_id").alias("value"))
-    return keyed.lookup(docs.where("doc_id % 2 = 0").select("doc_id", key.alias("key")), store, "key", F.lower).select("doc_id", "value")
+    store = docs.where("doc_id % 5 > 0").select(F.when(F.col("doc_id") % 3 == 0, key).otherwise(F.upper(key)).alias("key"), F.col("doc_id").alias("value"))
+    return keyed.lookup(docs.select("doc_id", key.alias("key")), store, "key", F.lower).select("doc_id", "value")
 
 
 # Checks ----------------------------------------------------------------------------------------------------------------
@@ -228,10 +209,16 @@ def branch_metrics(spark, d):
     return metrics.branches(c, ["one", "two"]).select("branch", *_r("ap", "acc"))
 
 
-@query("mean_roc_grid")
+@query("mean_roc_grid", with_("content").rstrip() + """,
+t AS (SELECT doc_id % 3 AS k, content_score AS s, sum(label) AS tp, sum(1 - label) AS fp FROM content GROUP BY 1, 2),
+c AS (SELECT k, sum(tp) OVER w / sum(tp) OVER (PARTITION BY k) AS tpr, sum(fp) OVER w / sum(fp) OVER (PARTITION BY k) AS fpr FROM t WINDOW w AS (PARTITION BY k ORDER BY s DESC)),
+h AS (SELECT k, fpr, max(tpr) AS hi, min(tpr) AS lo FROM c GROUP BY 1, 2),
+p AS (SELECT k, fpr AS x1, lo AS y1, hi, coalesce(lag(fpr) OVER v, 0.0) AS x0, coalesce(lag(hi) OVER v, 0.0) AS y0 FROM h WINDOW v AS (PARTITION BY k ORDER BY fpr)),
+g AS (SELECT i, k, max(CASE WHEN i / 99.0::DOUBLE >= x1 THEN hi ELSE y0 + (y1 - y0) * (i / 99.0::DOUBLE - x0) / nullif(x1 - x0, 0) END) AS y FROM p, (SELECT unnest(range(100)) AS i) WHERE i / 99.0::DOUBLE BETWEEN x0 AND x1 GROUP BY 1, 2)
+SELECT round(i / 99.0::DOUBLE, 6) AS fpr, round(CASE i WHEN 0 THEN 0.0 WHEN 99 THEN 1.0 ELSE avg(y) END, 6) AS tpr FROM g GROUP BY i""")
 def mean_roc_grid(spark, d):
     c = metrics.curve(P.content(spark, d).withColumn("batch", F.col("doc_id") % 3), "content_score", "label", ("batch",))
-    return metrics.mean_roc(c, "batch")
+    return metrics.mean_roc(c, "batch").select(*_r("fpr", "tpr"))
 
 
 @query("histogram_50", "WITH e AS (SELECT min(value) a, max(value) b FROM events) SELECT least(floor((value - a) / ((b - a) / 50)) + 1, 50)::INT AS bin, count(*) AS n FROM events, e WHERE value IS NOT NULL GROUP BY 1")
@@ -249,9 +236,17 @@ def resample_global_ap(spark, d):
     return metrics.summary(metrics.curve(r, "content_score", "label")).select(*_r("ap"))
 
 
-@query("detection_precision")
+@query("detection_precision", """WITH b AS (SELECT l_orderkey AS key, l_linenumber AS ln, l_partkey % 4 AS act, (l_partkey % 10)::DOUBLE AS x1, (l_partkey % 7)::DOUBLE AS y1, (l_partkey % 101) / 101.0::DOUBLE AS score FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)),
+t AS (SELECT * FROM b WHERE ln % 2 = 1), f AS (SELECT * FROM b WHERE ln % 2 = 0),
+o AS (SELECT f.key, f.ln, f.act, f.score, f.x1, f.y1, t.ln AS tn, t.x1 AS tx, t.y1 AS ty, greatest(6 - abs(f.x1 - t.x1), 0) * greatest(6 - abs(f.y1 - t.y1), 0) AS i FROM f JOIN t ON f.key = t.key AND f.act = t.act),
+m AS (SELECT key, ln, act, score, x1, y1, arg_max((tx, ty), (i / (72 - i), -tx, -ty)) AS tn FROM o WHERE i / (72 - i) >= 0.5 GROUP BY 1, 2, 3, 4, 5, 6),
+h AS (SELECT key, ln FROM (SELECT *, row_number() OVER (PARTITION BY key, act, tn ORDER BY score DESC, x1, y1, ln) AS r FROM m) WHERE r = 1),
+s AS (SELECT act, score, sum((h.ln IS NOT NULL)::INT) AS tp, count(*) AS n FROM f LEFT JOIN h ON f.key = h.key AND f.ln = h.ln GROUP BY 1, 2),
+c AS (SELECT act, tp, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM s WINDOW w AS (PARTITION BY act ORDER BY score DESC)),
+a AS (SELECT act, sum(tp * ctp / cn) AS s FROM c GROUP BY 1)
+SELECT p.act::INT AS action_id, round(coalesce(a.s, 0) / p.n, 6) AS ap, p.n AS positives FROM (SELECT act, count(*) AS n FROM t GROUP BY 1) p LEFT JOIN a ON a.act = p.act""")
 def detection_precision(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     box = [(F.col("l_partkey") % 10).cast("double").alias("x1"), (F.col("l_partkey") % 7).cast("double").alias("y1"), (F.col("l_partkey") % 10 + 6).cast("double").alias("x2"), (F.col("l_partkey") % 7 + 6).cast("double").alias("y2")]
     truth = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 4).cast("int").alias("action_id"), *box)
     found = li.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 4).cast("int").alias("action_id"), *box, ((F.col("l_partkey") % 101) / 101.0).alias("score"))
@@ -470,7 +465,10 @@ def swap_within_class(spark, d):
     return sampling.swapped_within_class(table(spark, d, "labels"), "quality", "doc_id").select("doc_id", "partner")
 
 
-@query("random_pairs")
+_PICK = "('0x' || substr(md5('{0}:' || {1}), 1, {2}))::UBIGINT"
+
+
+@query("random_pairs", "WITH r AS (SELECT doc_id AS pair, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM labels WHERE quality = 0) SELECT f.doc_id, r.pair FROM (SELECT doc_id FROM labels WHERE quality <> 0) f LEFT JOIN r ON r.i = " + _PICK.format("0p", "f.doc_id", 12) + " % (SELECT count(*) FROM labels WHERE quality = 0)")
 def random_pairs(spark, d):
     labels = table(spark, d, "labels")
     return sampling.random_pairs(labels.where("quality <> 0").select("doc_id"), labels.where("quality = 0").select("doc_id"), "doc_id")
@@ -481,7 +479,7 @@ def limit_per_source(spark, d):
     return sampling.limited(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 60, 20)
 
 
-@query("group_frames")
+@query("group_frames", "SELECT a, b, (" + _PICK.format("0", "a || '_' || b", 8) + " % 32)::INT AS frame, slot, method FROM (SELECT DISTINCT conv_id AS a, conv_id + 1 AS b FROM conversations), (SELECT unnest([0, 1, 2, 3, 4])::INT AS slot, unnest(['real', 'df', 'f2f', 'fs', 'nt']) AS method)")
 def group_frames(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).distinct()
     return sampling.group_frames(c, ["df", "f2f", "fs", "nt"], 32)
@@ -548,7 +546,11 @@ def best_so_far(spark, d):
     return series.best_so_far(P.series(spark, d), ["detector", "dataset"], "step", "value").select("step", *_r("best_before"), "improved")
 
 
-@query("early_stop_state")
+@query("early_stop_state", with_("series").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+d AS (SELECT detector, step // 200 AS epoch, avg(value) AS score, row_number() OVER (PARTITION BY detector ORDER BY step // 200) AS i FROM series GROUP BY 1, 2),
+w AS (SELECT detector, epoch, i, score AS best, 0 AS counter, false AS stop FROM d WHERE i = 1
+  UNION ALL SELECT d.detector, d.epoch, d.i, CASE WHEN d.score < w.best - 0.001 THEN w.best ELSE d.score END, CASE WHEN d.score < w.best - 0.001 THEN w.counter + 1 ELSE 0 END, w.stop OR (d.score < w.best - 0.001 AND w.counter + 1 >= 5) FROM w JOIN d ON d.detector = w.detector AND d.i = w.i + 1)
+SELECT detector, epoch, round(best, 6) AS best, counter::INT AS counter, stop FROM w""")
 def early_stop_state(spark, d):
     daily = P.series(spark, d).groupBy("detector", (F.floor(F.col("step") / 200)).alias("epoch")).agg(F.avg("value").alias("score"))
     return series.early_stop(daily, ["detector"], "epoch", "score").select("detector", "epoch", *_r("best"), "counter", "stop")
@@ -646,8 +648,7 @@ def cascade_simulation(spark, d):
 @query("stream_snapshots_equals_batch", "SELECT user_id, event_id, round(value, 6) AS value FROM events")
 def stream_snapshots(spark, d):
     """The stream reads events, leaves out repeats, however late, and appends; what it wrote is the result."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    place = f"{top}/stream-{uuid.uuid4().hex}"
+    place = more.place(spark, "stream")
     schema = table(spark, d, "events").schema
     rows = snapshots.source(spark, f"{d}/events.parquet*", schema, "parquet")
     rows = snapshots.deduplicated(snapshots.with_event_time(rows, "ts"), ["user_id", "event_id"], delay=None).select("user_id", "event_id", F.round("value", 6).alias("value"))

@@ -14,7 +14,11 @@ def csv(spark: SparkSession, path: str | list[str], columns: list[str] | None =
     """A CSV with a header, all strings. columns: its header, if it should not be read from the file. position: name of a column with the order of rows (that of files and places in them)."""
     reader = spark.read.option("header", True).option("multiLine", False)
     df = (reader.schema(", ".join(f"`{c}` string" for c in columns)) if columns else reader).csv(path)
-    return df.withColumn(position, F.monotonically_increasing_id()) if position else df
+    if not position:
+        return df
+    # Numbers ascend with the file's name, the place of the split in the file and the row within the split, whatever order Spark reads splits in.
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return rows.withColumn(position, F.struct("_f", "_b", "_i")).drop("_f", "_b", "_i")
 
 
 def keyed_csv(spark: SparkSession, path: str, key: str = "image", columns: list[str] | None = None) -> DataFrame:
@@ -26,8 +30,11 @@ def keyed_csv(spark: SparkSession, path: str, key: str = "image", columns: list[
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One record a line; blank and malformed lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One record a line; blank lines and those that are no JSON object are left out. A field of another type than the schema's is null, the rest of its record stays."""
+    lines_ = spark.read.text(path).where(F.trim("value") != "")
+    whole = F.try_parse_json("value") if hasattr(F, "try_parse_json") else None
+    ok = F.schema_of_variant(whole).startswith("OBJECT") if whole is not None else strip("value").rlike(r"^\{.*\}$")
+    return lines_.where(F.coalesce(ok, F.lit(False))).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def webmeta(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +52,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_text(spark: SparkSession, path: str) -> DataFrame:
     """value: each file as one text."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def listing(spark: SparkSession, path: str, must_contain: str = "", extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "bmp"), second_token: bool = True) -> DataFrame:
@@ -65,10 +72,33 @@ def blobs(spark: SparkSession, path: str, root: str, skip_containing: str | None
     return (rows.where(~F.col("path").contains(skip_containing)) if skip_containing else rows).drop("path")
 
 
-def metric_series(spark: SparkSession, pattern: str) -> DataFrame:
-    """detector, dataset, Step, Value from files <detector>/test_<dataset>_auc.csv below a glob."""
+def single_level(spark: SparkSession, pattern: str, extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "bmp")) -> DataFrame:
+    """path, length of the files in the folders of a glob, not below them, in the order of their paths."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin([e.lower() for e in extensions])).orderBy("path")
+
+
+def file_list(spark: SparkSession, path: str, must_contain: str = "") -> DataFrame:
+    """path: the lines of a list of files (a text; never a pickle) that have must_contain in them."""
+    return lines(spark, path).where(F.col("value").contains(must_contain)).select(F.col("value").alias("path"))
+
+
+def ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A table in the order of its keys."""
+    return spark.read.parquet(path).orderBy(key)
+
+
+def csv_appended(spark: SparkSession, path: str) -> DataFrame:
+    """A table that sinks.csv_append wrote: all strings, the header from its file of its own."""
+    header = spark.read.text(f"{path}/header").first()[0].split(",")
+    return spark.read.schema(", ".join(f"`{c}` string" for c in header)).csv(f"{path}/rows/*")
+
+
+def metric_series(spark: SparkSession, pattern: str, folders: bool = False) -> DataFrame:
+    """detector, dataset, Step, Value from files <detector>/test_<dataset>_auc.csv below a glob. folders: what is named so are folders of part files."""
     df = spark.read.option("header", True).schema("Step int, Value double").csv(pattern).withColumn("_path", F.col("_metadata.file_path"))
     parts = F.split("_path", "/")
+    parts = F.slice(parts, 1, F.size(parts) - 1) if folders else parts
     return df.select(F.element_at(parts, -2).alias("detector"), F.regexp_extract(F.element_at(parts, -1), r"^test_(.*)_[^_]*\.csv$", 1).alias("dataset"), "Step", "Value")
 
 
@@ -81,7 +111,7 @@ def boxes(spark: SparkSession, path: str, whitelist: list[int] | None = None) ->
 
 def label_map(spark: SparkSession, path: str) -> DataFrame:
     """id, name of a text of blocks with a name: line and an id: or label_id: line each."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pattern = r'name:\s*"([^"]*)"\s*(?:label_)?id:\s*(\d+)'
     pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), F.lit(2)).alias("id"), F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("name"))
     return text.select(F.inline(pairs)).select(F.col("id").cast("int").alias("id"), "name")

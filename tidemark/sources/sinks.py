@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,23 @@ def csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "
     df.select(*cols).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
+def all_columns(tables: list[DataFrame]) -> DataFrame:
+    """The rows of all tables with the columns of any; what a table lacks is null."""
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def csv_append(df: DataFrame, path: str) -> None:
+    """Appends rows to a table whose header is written once, into a file of its own, by the first append. Read it with readers.csv_appended."""
+    spark = df.sparkSession
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    if not home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home):
+        spark.createDataFrame([(",".join(df.columns),)], "value string").coalesce(1).write.text(f"{path}/header")
+    df.write.option("emptyValue", "").csv(f"{path}/rows/{uuid.uuid4().hex}")
+
+
 def features_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Numbers with six decimals, without trailing zeros; nothing is quoted."""
     cols = [fixed6(c).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]

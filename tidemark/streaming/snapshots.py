@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,44 @@ def each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def following(df: DataFrame, targets: Callable[[], DataFrame], key: str, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Appends the rows of tracked keys, the table of targets being read anew for each batch; a batch that comes again replaces what it wrote."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        of_targets(batch, targets, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each_batch(df, work, checkpoint, interval)
+
+
+def poll(cycle: Callable[[int], None], interval: float, jitter: float = 0.0, cycles: int = 0, stop: Callable[[], bool] | None = None, seed: int = 0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Calls cycle(number) every `interval` seconds, give or take `jitter`, a second apart at least, `cycles` times (0: without end) or until stop() is true after a cycle. Returns the number of cycles."""
+    rng = random.Random(seed)
+    done = 0
+    while not cycles or done < cycles:
+        began = clock()
+        done += 1
+        cycle(done)
+        if (stop and stop()) or done == cycles:
+            break
+        sleep(max(1.0, max(interval - (clock() - began), 1.0) + rng.uniform(-jitter, jitter)))
+    return done
+
+
+def throttled(work: Callable[[object], None], items: list, pause: float = 1.0, failed: Callable[[object, Exception], None] | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Calls work(item) with a pause after each; one that fails is reported and doesn't stop the rest. Returns how many succeeded."""
+    ok = 0
+    for item in items:
+        try:
+            work(item)
+            ok += 1
+        except Exception as e:  # any failure of a single request
+            if failed:
+                failed(item, e)
+        finally:
+            sleep(pause)
+    return ok
+
+
 def run_until(query: StreamingQuery, stop: Callable[[], bool] | None = None, poll: float = 1.0) -> None:
     """Waits for the query; where stop() says so it ends after the current batch. The query is stopped in any case."""
     try:
