@@ -366,3 +366,13 @@ def test_line_dedup_ties_and_long_texts(spark, table):
     rows = [(1, "same", "en", "a"), (1, "same\nsame", "en", "a")] + [(i, "same\nx", "en", f"s{i}") for i in range(2, 12)] + [(50, long + "\nsame", "en", "z")]
     out = sorted((r.doc_id, r.n_removed, len(r.text)) for r in linededup.clean(table(rows)).collect())
     assert [x[:2] for x in out if x[0] == 1] == [(1, 0), (1, 0)] and (50, 1, len(long)) in out
+
+
+def test_models_of_mllib_still_work_afterwards(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
+    df = spark.createDataFrame([([float(i), 1.0], i % 2) for i in range(20)], "x array<double>, label int").select(array_to_vector("x").alias("features"), "label")
+    assert LogisticRegression(maxIter=2).fit(df).transform(df).select("prediction").count() == 20
+    assert len(LogisticRegression(maxIter=2).fit(df).transform(df).groupBy("prediction").count().collect()) >= 1

@@ -6,7 +6,7 @@ the shared folder. The driver only sees a count and a checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.session import discard, stored
@@ -27,10 +27,9 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, and their number and checksums, which are taken while it is written."""
-    seen = Observation()
-    table = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")), "edges")
-    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
+    """The edges as a table, and their number and checksums. (Not by an Observation: a session that has had one can't be serialised, which models of MLlib need.)"""
+    table = stored(edges, "edges")
+    return table, tuple(table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
 
 
 def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
