@@ -338,6 +338,7 @@ def test_jaccard_places_of_a_large_hub(table, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 16)
     monkeypatch.setattr(jaccard, "SEEN", 10)
     monkeypatch.setattr(jaccard, "KEYS", 500)
+    monkeypatch.setattr(jaccard, "PLACE_ROWS", 50)
     sets = shingle_sets(rows)
     links = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = brute_components(sets, links)

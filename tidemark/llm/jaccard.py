@@ -30,8 +30,9 @@ similar pair are equal (all blocks, empty ones too, where too few are filled).
 Keys that are frequent within one task of the first step are dealt over the shards by
 task, with their smallest doc_id in the key's own shard, so a bucket's hubs form a tree
 and no shard gets the whole of a hot bucket. The number of shards follows the number of
-shingles. The buckets of one hub are dealt to PLACES places, so that a large group isn't one
-task's, and a pair that meets in many buckets still is given a few times only.
+shingles. The buckets of one hub are dealt to as many places as it has PLACE_ROWS rows in
+them, so that a large group isn't one task's however it grows, and a pair that meets in
+many buckets of a hub still is given once for each place at most.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing.
 Rows that repeat a doc_id are one document, which links by the texts of all of them; each
@@ -72,7 +73,7 @@ FEWER = 1 << 30  # marks a set that has too few blocks to promise the T keys of
 FLUSH = 1_000_000
 SEEN = 200_000
 KEYS = 1_000_000
-PLACES = 4
+PLACE_ROWS = 8192
 PAIR_WORDS = 1 << 21  # of sketches, compared at once
 _C = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -308,13 +309,13 @@ def _mapped(df: DataFrame, column: str, table: DataFrame, node: str, to: str) ->
 def _near(rows: DataFrame, parts: int, num: int, den: int, closest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components within a bucket whose sketches allow them to be similar, and the sketches' distance d.
 
-    rows: key, size, hub (smallest a), a, component, n, sketch. closest: of each a only its closest b of a bucket; otherwise
-    a < b. Buckets of one hub that are no larger than a tile go to PLACES places; a task doesn't repeat a pair that it has given.
+    rows: key, size, hub (smallest a), places (of the hub), a, component, n, sketch. closest: of each a only its closest b of a
+    bucket; otherwise a < b. A hub's buckets are dealt over its places; a task doesn't repeat a pair that it has given.
     """
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     tiled = rows.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    grouped = tiled.select(F.concat_ws("-", "key", low, high).alias("grp"), F.xxhash64("hub", low, high, F.pmod(F.shiftright("key", 8), F.lit(PLACES))).alias("place"), "own", "other", "a", "component", "n", "sketch")
+    grouped = tiled.select(F.concat_ws("-", "key", low, high).alias("grp"), F.xxhash64("hub", low, high, F.pmod(F.shiftright("key", 8), F.col("places"))).alias("place"), "own", "other", "a", "component", "n", "sketch")
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         own, other, a, component, n = (np.asarray(table.column(c)) for c in ("own", "other", "a", "component", "n"))
@@ -398,18 +399,20 @@ def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -
     discard(spark, found)
     sketches = some.groupBy("doc_id").agg(F.max_by("sketch", "n").alias("sketch"), F.max("n").alias("n")).withColumnRenamed("doc_id", "a")
 
-    def still_open(parts: DataFrame) -> DataFrame:
-        """Members of the buckets with several components, with the number of large ones among their buckets of the band."""
+    def still_open(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets with several components, with the number of large ones among their buckets of the band; and the places of the hubs that need several."""
         own = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.max("t").alias("_t"), F.min("a").alias("hub")).where("lo <> hi")
         rest = own.join(keys.select("key", "size", "hub", (F.col("_t") >= FEWER).alias("fewer")), "key")
         rest = kept(rest.withColumn("t", F.col("t") % FEWER).withColumn("band", F.pmod("key", F.lit(256)).cast("int")), "rest")
         large = rest.where(F.col("size") > LARGE).groupBy("a", "band").agg(F.count(F.lit(1)).alias("large"))
-        return rest.join(large, ["a", "band"], "left").withColumn("large", F.coalesce("large", F.lit(0)))
+        places = rest.where(F.col("size") > LARGE).groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PLACE_ROWS).alias("places")).where("places > 1")
+        return rest.join(large, ["a", "band"], "left").withColumn("large", F.coalesce("large", F.lit(0))), places
 
-    def within_large(rest: DataFrame, closest: bool) -> DataFrame:
-        wide = rest.where((F.col("size") > LARGE) & (F.col("fewer") | (F.col("large") >= F.col("t")))).join(sketches, "a")
-        return _near(wide.select("key", "size", "hub", "a", "component", "n", "sketch"), shards, num, den, closest)
+    def within_large(rest: DataFrame, places: DataFrame, closest: bool) -> DataFrame:
+        wide = rest.where((F.col("size") > LARGE) & (F.col("fewer") | (F.col("large") >= F.col("t"))))
+        wide = wide.join(places, "hub", "left").withColumn("places", F.coalesce("places", F.lit(1))).join(sketches, "a")
+        return _near(wide.select("key", "size", "hub", "places", "a", "component", "n", "sketch"), shards, num, den, closest)
 
     def grown(parts: DataFrame, links: DataFrame) -> DataFrame:
         if links.isEmpty():
@@ -417,14 +420,14 @@ def join(documents: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -
         made.append(out := stars(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
         return out
 
-    best = within_large(still_open(first), True).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, CLOSEST).alias("best")).select("a", F.explode("best.b").alias("b"))
+    best = within_large(*still_open(first), True).groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, CLOSEST).alias("best")).select("a", F.explode("best.b").alias("b"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = grown(first, kept(_verified(kept(best, "pairs"), documents, k, num, den), "links"))
 
-    rest = still_open(second)
+    rest, places = still_open(second)
     x, y = (rest.where(F.col("size") <= LARGE).select("key", "band", *(F.col(c).alias(f"{c}{i}") for c in ("a", "t", "component", "large"))) for i in (1, 2))
     counted = x.join(y.drop("band"), "key").where("a1 < a2 AND component1 <> component2").groupBy(F.col("a1").alias("a"), F.col("a2").alias("b"), "band").agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("least(t1, t2) - least(large1, large2)")).alias("t"))
-    across = counted.where("c >= t").select("a", "b").unionByName(within_large(rest, False).select("a", "b")).distinct()
+    across = counted.where("c >= t").select("a", "b").unionByName(within_large(rest, places, False).select("a", "b")).distinct()
     final = grown(second, kept(_verified(kept(across, "pairs"), documents, k, num, den), "links"))
     for table in made:
         if table is not final:
