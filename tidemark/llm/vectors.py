@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import whole_groups
 from tidemark.llm.components import components
 from tidemark.llm.session import discard, lean, partitions, stored
 
@@ -189,7 +190,7 @@ def _compare(ids: np.ndarray, weight: np.ndarray, codes: np.ndarray, x: np.ndarr
 
 
 def models(classes: DataFrame, threshold: float) -> dict[int, Codes]:
-    """Codes of each length, from at most SAMPLE vectors of each (of all, where there are few lengths) by a hash of their ids."""
+    """Codes of each length, from at most SAMPLE vectors of each (of all, where there are few lengths) by a hash of the vectors, so that ids have no part in it."""
     counts = {r.size: r["count"] for r in classes.groupBy("size").count().collect()}  # a row for each length
     each = max(64, SAMPLE // max(1, len(counts)))
     out = {}
@@ -199,10 +200,11 @@ def models(classes: DataFrame, threshold: float) -> dict[int, Codes]:
             continue
         own = classes.where(F.col("size") == size)
         share = min(1.0, 3 * each / count)  # few enough rows to sort
-        picked = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)) if count > 4 * each else 1 << 20))
-        sample = _matrix(picked.orderBy(F.xxhash64(F.lit(1), "rep"), "rep").limit(each).select("v").toArrow().column("v"), size)[1]
-        if len(sample):
-            out[size] = Codes(sample, count, threshold)
+        picked = own.where(F.pmod("f", F.lit(1 << 40)) < int(share * (1 << 40))) if count > 4 * each else own
+        sample = _matrix(picked.orderBy("g", "f").limit(each).select("v").toArrow().column("v"), size)[1]
+        if not len(sample):
+            raise ValueError(f"no sample of {count} vectors of length {size}")  # thousands are expected; without codes their links would be lost
+        out[size] = Codes(sample, count, threshold)
     return out
 
 
@@ -239,8 +241,6 @@ def _found(classes: DataFrame, known: dict[int, Codes], threshold: float, parts:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 for size in np.unique(np.asarray(part.column(1))).tolist():
-                    if size not in known:
-                        continue
                     own, x = _matrix(part.column(2), size)
                     c = known[size].codes(_unit(x))
                     keys = (np.int64(size) << 34) | (np.arange(c.shape[1], dtype=np.int64) << 24) | c.astype(np.int64)
@@ -258,7 +258,7 @@ def _found(classes: DataFrame, known: dict[int, Codes], threshold: float, parts:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that some other row of their group is near enough to by its code, in the first table where the two meet."""
-        for table in _groups(batches, 3):
+        for table in whole_groups(batches, 3):
             bucket, low, high, own = (np.asarray(table.column(i)) for i in range(4))
             group = np.cumsum(np.any([np.diff(x, prepend=x[:1]) != 0 for x in (bucket, low, high)], axis=0))
             size, at = bucket >> 34, (bucket >> 24) & 1023
@@ -284,7 +284,7 @@ def _found(classes: DataFrame, known: dict[int, Codes], threshold: float, parts:
     sent = sent.select("bucket", "low", "high", "own", "rep", "code", "weight", "v", "cls").repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3, alone=True):
+        for table in whole_groups(batches, 3, alone=True):
             bucket, low, high = (table.column(i)[0].as_py() for i in range(3))
             rows, x = _matrix(table.column(7), bucket >> 34)
             table = table.take(pa.array(rows))
@@ -300,31 +300,5 @@ def _found(classes: DataFrame, known: dict[int, Codes], threshold: float, parts:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False, most: int = 1 << 16) -> Iterator[pa.Table]:
-    """Rows of whole groups (of equal values in the first `keys` columns, sorted): about `most` rows, or each group by itself."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.asarray(batch.column(i)) for i in range(keys)]
-        begins = np.any([np.diff(x, prepend=~x[:1]) != 0 for x in columns], axis=0)
-        if held:
-            last = [held[-1].column(i)[-1].as_py() for i in range(keys)]
-            begins[0] = any(x[0] != y for x, y in zip(columns, last, strict=True))
-        cuts = np.flatnonzero(begins)
-        at = 0
-        for k in [*cuts.tolist(), batch.num_rows]:
-            if k > at:
-                held.append(batch.slice(at, k - at))
-                count += k - at
-                at = k
-            if k < batch.num_rows and held and (alone or count >= most):
-                yield pa.Table.from_batches(held)
-                held, count = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def run(spark, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
