@@ -24,25 +24,34 @@ def best_so_far(df: DataFrame, by: list[str], order: str, value: str, smaller: b
     return out.withColumn("improved", F.col("best_before").isNull() | better)
 
 
+def stop_after(scores: list[float], patience: int, delta: float, before: tuple[float, int, bool] | None = None) -> list[tuple[float, int, bool]]:
+    """Best, counter and stop after each score; before: those of the scores so far."""
+    best, counter, stop = before or (None, 0, False)
+    out = []
+    for x in scores:
+        if best is not None and x < best + delta:
+            counter += 1
+        else:
+            best, counter = x, 0
+        stop = stop or counter >= patience
+        out.append((best, counter, stop))
+    return out
+
+
 def early_stop(df: DataFrame, by: list[str], order: str, score: str, patience: int = 5, delta: float = -0.001) -> DataFrame:
     """df with counter, best and stop after each row.
 
     A score below best + delta counts up, any other becomes the best and sets the count to 0; with a negative delta
-    so does one slightly below the best. A series is read by one task, in order. stop is true from the row on where the count has reached the patience.
+    so does one slightly below the best. stop is true from the row on where the count has reached the patience. A series is
+    read by one task, in order, and held in its memory: for series of some millions of rows at most. `streaming.keyed.early_stop`
+    keeps three values a series instead.
     """
     schema = StructType([*df.schema, StructField("best", DoubleType()), StructField("counter", IntegerType()), StructField("stop", BooleanType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        best, counter, stop, out = None, 0, False, []
-        for x in frame[score].astype(float):
-            if best is not None and x < best + delta:
-                counter += 1
-            else:
-                best, counter = x, 0
-            stop = stop or counter >= patience
-            out.append((best, counter, stop))
-        return frame.assign(best=[x for x, _, _ in out], counter=[x for _, x, _ in out], stop=[x for _, _, x in out])
+        steps = stop_after(frame[score].astype(float).tolist(), patience, delta)
+        return frame.assign(best=[x for x, _, _ in steps], counter=[x for _, x, _ in steps], stop=[x for _, _, x in steps])
 
     return df.groupBy(*by).applyInPandas(run, schema)
 

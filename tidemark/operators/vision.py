@@ -1,18 +1,12 @@
-"""Predictions of clips, boxes and vectors, as tables: ensembles, detection precision, nearest neighbours, curve fits."""
+"""Predictions of clips and boxes, as tables: ensembles, detection precision, curve fits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import curve, summary
 
-BLOCK_BYTES = 64 << 20
-
 
 def ensemble(df: DataFrame, clip: str, preds: str, num_clips: int, how: str = "sum", multi_label: bool = False) -> DataFrame:
     """video, preds, clips: predictions of all clips of a video by class, summed or at their largest. video = clip // num_clips.
@@ -65,41 +59,6 @@ def without_excluded(df: DataFrame, excluded: DataFrame, key: str = "key") -> Da
     return df.join(excluded.select(key).distinct(), key, "left_anti")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 100, include_self: bool = False) -> DataFrame:
-    """key, neighbour, distance, rank: the k nearest other rows of each row by Euclidean distance, of equals the smaller key.
-
-    Exact. The vectors are sent to the tasks in blocks of at most BLOCK_BYTES, one pass over the table for each block, and
-    each pass keeps its k nearest; a window then keeps the k nearest of all passes. Rows with a null vector take no part.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    shape = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    passes = max(1, -(-(shape[0] * (shape[1] or 1) * 8) // BLOCK_BYTES))
-    out = None
-    for p in range(passes):
-        block = rows.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p).orderBy("key").toPandas()  # at most about BLOCK_BYTES
-        sent = spark.sparkContext.broadcast((block["key"].to_numpy(np.int64), np.array(block["v"].tolist(), np.float64).reshape(len(block), -1)))
-
-        def work(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, m = sent.value
-            for f in frames:
-                for at in range(0, len(f), 256):
-                    part = f.iloc[at : at + 256]
-                    own, x = part["key"].to_numpy(np.int64), np.array(part["v"].tolist(), np.float64)
-                    d = np.sqrt(np.maximum(((x[:, None, :] - m[None, :, :]) ** 2).sum(axis=2), 0)) if len(m) * x.size < 1 << 25 else np.stack([np.sqrt(((m - r) ** 2).sum(axis=1)) for r in x])
-                    if not include_self:
-                        d[own[:, None] == ids[None, :]] = np.inf
-                    top = np.argsort(d, axis=1, kind="stable")[:, :k]  # ids ascend, so equals keep their order
-                    dist = np.take_along_axis(d, top, axis=1)
-                    ok = np.isfinite(dist)
-                    yield pd.DataFrame({"key": np.repeat(own, ok.sum(axis=1)), "neighbour": ids[top][ok], "distance": dist[ok]})
-
-        one = rows.mapInPandas(work, "key long, neighbour long, distance double")
-        out = one if out is None else out.unionByName(one)
-    order = Window.partitionBy("key").orderBy("distance", "neighbour")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def quadratic_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, a, b, c, r2 of the least-squares parabola a x^2 + b x + c by normal equations; with fewer than three different x a line (a = 0), with one a constant."""
     x_, y_ = F.col(x).cast("double"), F.col(y).cast("double")

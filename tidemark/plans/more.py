@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import registry
+from tidemark import registry, shared
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.operators import engagement, keyed, learn, manifest, metrics, posts, quality, risk, sampling, tables, vision
@@ -19,14 +16,7 @@ from tidemark.sources import readers, sinks
 from tidemark.streaming import snapshots
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder inside the shared one, for what a query writes and reads again."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+place = shared.folder
 
 
 # Writers and readers ---------------------------------------------------------------------------------------------------

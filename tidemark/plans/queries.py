@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
-from tidemark.operators import engagement, keyed, learn, manifest, metrics, posts, quality, risk, sampling, series, simulate, tables, vision, webmeta
-from tidemark.plans import more
+from tidemark.operators import engagement, keyed, learn, manifest, metrics, neighbours, posts, quality, risk, sampling, series, simulate, tables, vision, webmeta
+from tidemark.plans import more, studies  # noqa: F401
 from tidemark.plans import proxies as P
 from tidemark.plans.proxies import table, with_
 from tidemark.plans.registered import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -598,7 +598,7 @@ def quadratic_fit(spark, d):
 
 @query("knn_top10", "WITH p AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, sqrt(list_sum([power(x[1]::DOUBLE - x[2]::DOUBLE, 2) for x in list_zip(a.embedding, b.embedding)])) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist, neighbour) AS rank FROM p) SELECT key, neighbour, round(dist, 5) AS distance, rank FROM r WHERE rank <= 10")
 def knn_top10(spark, d):
-    return vision.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 10).select("key", "neighbour", *_r("distance", digits=5), "rank")
+    return neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 10).select("key", "neighbour", *_r("distance", digits=5), "rank")
 
 
 @query("hamming_similarity", "SELECT doc_id, round(1 - bit_count(xor(h, h2)) / 64.0, 6) AS similarity FROM (SELECT doc_id, doc_id * 2654435761 % 4294967296 AS h, n_chars * 40503 % 4294967296 AS h2 FROM documents)")
