@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
+from tidemark.functions.stats import two_sided
 from tidemark.functions.text import posting_id
 from tidemark.operators.ranking import mean_ranks
 
@@ -128,17 +126,8 @@ def correlations(df: DataFrame, features: list[str], metrics: list[str], least:
 
 def p_values(df: DataFrame) -> DataFrame:
     """df of `correlations` with two-sided p-values, by Student's t with n - 2 degrees of freedom, and absolute values."""
-    from tidemark.functions.stats import student_two_sided
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r, p in (("pearson_r", "pearson_p"), ("spearman_r", "spearman_p")):
-                f[p] = [student_two_sided(a, n) for a, n in zip(f[r], f["n"], strict=True)]
-            yield f
-
-    names = ["feature", "detector_metric", "n", "pearson_r", "spearman_r"]
-    out = df.select(*names).mapInPandas(work, "feature string, detector_metric string, n long, pearson_r double, spearman_r double, pearson_p double, spearman_p double")
-    return out.select("feature", "detector_metric", "n", "pearson_r", "pearson_p", "spearman_r", "spearman_p", F.abs("pearson_r").alias("abs_pearson"), F.abs("spearman_r").alias("abs_spearman"))
+    p = {r: two_sided(F.col(r), F.col("n")) for r in ("pearson_r", "spearman_r")}
+    return df.select("feature", "detector_metric", "n", "pearson_r", p["pearson_r"].alias("pearson_p"), "spearman_r", p["spearman_r"].alias("spearman_p"), F.abs("pearson_r").alias("abs_pearson"), F.abs("spearman_r").alias("abs_spearman"))
 
 
 def top_correlations(df: DataFrame, k: int = 20) -> DataFrame:

@@ -126,7 +126,7 @@ def resolved_paths(items: DataFrame, there: DataFrame, given: str, root: str, to
 
     base = root.strip("/") if not root.startswith("/") else root.rstrip("/")
     p = clean_path("_g")
-    again = F.when(p.startswith(base), F.concat(F.lit(f"{base}/"), F.regexp_replace(F.substring(p, len(base) + 1, 10_000), "^/+", "")))
+    again = F.when(p.startswith(base), F.concat(F.lit(f"{base}/"), F.regexp_replace(p.substr(F.lit(len(base) + 1), F.length(p)), "^/+", "")))
     tries = F.filter(F.array(F.struct(F.lit(0).alias("o"), p.alias("t")), F.struct(F.lit(1).alias("o"), F.concat(F.lit(f"{base}/"), p).alias("t")), F.struct(F.lit(2).alias("o"), again.alias("t"))), lambda x: x["t"].isNotNull())
     asked = items.select(F.col(given).alias("_g")).distinct().select("_g", F.inline(tries))
     found = asked.join(there.select(F.col("path").alias("t")).distinct(), "t").groupBy("_g").agg(F.min_by("t", "o").alias(to))

@@ -53,25 +53,32 @@ def mean_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame
 def quantiles(df: DataFrame, value: str, shares: list[float], accuracy: int = 100_000) -> DataFrame:
     """One row q0, q1, ..: the values at these shares of the sorted rows, between two rows in proportion; null without rows.
 
-    Exact: an approximation (off by one in `accuracy` ranks at most) brackets the rank and the next one, and the values
-    within the brackets alone are counted and sorted. The rows are counted when the plan is made.
+    Exact, in two passes over the rows, however many shares: an approximation (off by one in `accuracy` ranks at most) brackets
+    each rank; then values within brackets are counted one by one, those between brackets together with their least and
+    greatest, as a rank can be one beside its bracket. The counts are summed in slices.
     """
     rows = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    slack = 4 / accuracy + 2 / max(1, rows.count())
+    slack = 4 / accuracy
     ends = F.array(*(F.lit(min(1.0, max(0.0, q + d))) for q in shares for d in (-slack, slack)))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", ends, F.lit(accuracy)).alias("e"))
-    near = rows.crossJoin(F.broadcast(stats))
-    out = None
+    inside, below = F.lit(False), F.lit(0)
+    for i in range(len(shares)):
+        inside = inside | F.col("x").between(F.col("e")[2 * i], F.col("e")[2 * i + 1])
+        below = below + (F.col("x") > F.col("e")[2 * i + 1]).cast("int")
+    near = rows.crossJoin(F.broadcast(stats)).select("x", "n", F.when(inside, F.col("x")).alias("at"), below.alias("below"))
+    counts = near.groupBy("at", "below").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("n"))
+    sliced = value_slice(counts, "lo")
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # of SLICES rows
+    totals = sliced.groupBy("_s").agg(F.sum("c").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    upto = F.col("_before") + F.sum("c").over(Window.partitionBy("_s").orderBy("lo"))
+    summed = sliced.join(F.broadcast(totals), "_s").withColumn("upto", upto)
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= rank, F.struct("upto", F.when(F.col("upto") == rank, F.col("hi")).otherwise(F.col("lo")).alias("x"))))["x"]
+
+    out = []
     for i, q in enumerate(shares):
-        low, high = F.col("e")[2 * i], F.col("e")[2 * i + 1]
-        less = near.agg(F.count_if(F.col("x") < low).alias("less"), F.max("n").alias("n"))
-        counts = near.where(F.col("x").between(low, high)).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.withColumn("upto", F.sum("c").over(Window.orderBy("x")))  # of the bracket's values only
         place = (F.col("n") - 1) * F.lit(float(q))
-        ranked = sums.crossJoin(F.broadcast(less)).withColumn("upto", F.col("upto") + F.col("less"))
-        lower = F.min(F.when(F.col("upto") > F.floor(place), F.col("x")))
-        upper = F.min(F.when(F.col("upto") > F.ceil(place), F.col("x")))
-        share = F.max(place - F.floor(place))
-        one = ranked.agg((lower + (upper - lower) * share).alias(f"q{i}"))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+        lower, upper = at_rank(F.floor(place) + 1), at_rank(F.ceil(place) + 1)
+        out.append((lower + (upper - lower) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    return summed.agg(*out)

@@ -84,14 +84,15 @@ def union_csv(spark, d):
     return readers.csv(spark, at).select("a", empty("b"), empty("c"))
 
 
-@query("csv_appended", "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id FROM events")
+@query("csv_appended", "SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 3 < 2 THEN user_id::VARCHAR END AS \"user, id\" FROM events")
 def csv_appended(spark, d):
-    """Two appends to one table; its header is written once, and no header is read as a row."""
+    """Appends to one table that any CSV reader takes: the columns are those of the first, in its order, whatever the others have more or less."""
     at = place(spark, "appended")
-    e = table(spark, d, "events").select("event_id", "user_id")
-    sinks.csv_append(e.where("event_id % 2 = 0"), at)
-    sinks.csv_append(e.where("event_id % 2 = 1"), at)
-    return readers.csv_appended(spark, at)
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("user, id"), "value")
+    sinks.csv_append(e.where("event_id % 3 = 0").drop("value"), at)
+    sinks.csv_append(e.where("event_id % 3 = 1").select("value", "user, id", "event_id"), at)
+    sinks.csv_append(e.where("event_id % 3 = 2").select("event_id"), at)
+    return spark.read.csv(at, header=True)
 
 
 @query("predictions_by_dataset", with_("content") + "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, image, label, round(content_score, 6) AS prob FROM content")
@@ -153,13 +154,12 @@ def file_listing(spark, d):
     return both.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("folder")).agg(F.count_distinct(F.regexp_extract("path", "lang=([^/]*)", 1)).alias("files"))
 
 
-@query("file_list", "SELECT 'Root/' || source || '/' || doc_id AS path FROM documents WHERE source LIKE '%1%'")
+@query("file_list", "SELECT 'Root/' || source || '/' || doc_id AS path FROM documents WHERE position('1/' IN 'Root/' || source || '/' || doc_id) > 0")
 def file_list(spark, d):
     at = place(spark, "list")
     key = F.concat(F.lit("Root/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     table(spark, d, "documents").where("source IS NOT NULL").select(key.alias("value")).write.text(at)
-    part = table(spark, d, "documents").where("source LIKE '%1%'").select(key.alias("path"))
-    return readers.file_list(spark, at, "1").where(F.element_at(F.split("path", "/"), 2).contains("1")).join(part, "path", "left_semi")
+    return readers.file_list(spark, at, "1/")
 
 
 @query("boxes_and_labels", "SELECT 'v' || (l_orderkey % 50) || ',' || lpad((l_partkey % 1000)::VARCHAR, 4, '0') AS key, (l_linenumber % 4)::INT AS action_id, 'act' || (l_linenumber % 4) AS name, l_linenumber::DOUBLE AS x1, (l_linenumber + 2)::DOUBLE AS x2, CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM lineitem WHERE l_linenumber % 4 IN (1, 2)")
@@ -410,10 +410,14 @@ def layout_with_split_list(spark, d):
 # Correlation, validation, plugins, streams ------------------------------------------------------------------------------
 
 
-@query("best_propagation_feature", "SELECT 'score_rate_per_hour' AS feature, 'toxic' AS detector_metric")
+@query("best_propagation_feature", with_("posts").rstrip() + """,
+l AS (SELECT f.feature, f.x, m.metric AS detector_metric, m.y FROM posts, LATERAL (SELECT unnest(['age_hours', 'engagement_total', 'score']) AS feature, unnest([created_utc / 3600, score + num_comments, score]) AS x) f, LATERAL (SELECT unnest(['upvote_ratio', 'num_comments']) AS metric, unnest([upvote_ratio, num_comments]) AS y) m),
+k AS (SELECT *, rank() OVER (PARTITION BY feature, detector_metric ORDER BY x) + (count(*) OVER (PARTITION BY feature, detector_metric, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature, detector_metric ORDER BY y) + (count(*) OVER (PARTITION BY feature, detector_metric, y) - 1) / 2 AS ry FROM l)
+SELECT feature, detector_metric, round(corr(rx, ry), 6) AS spearman_r FROM k WHERE feature LIKE 'age\\_hours%' ESCAPE '\\' OR feature LIKE 'engagement%' GROUP BY 1, 2 ORDER BY abs(corr(rx, ry)) DESC, abs(corr(x, y)) DESC, 1, 2 LIMIT 1""")
 def best_propagation_feature(spark, d):
-    rows = spark.createDataFrame([("score_rate_per_hour", "toxic", 0.7, 0.2), ("n_chars", "toxic", 0.9, 0.9), ("hawkes_base_mu", "toxic", -0.6, 0.9), ("logistic_growth_rate", "toxic", float("nan"), 0.1)], "feature string, detector_metric string, spearman_r double, pearson_r double")
-    return engagement.best_propagation_feature(rows).select("feature", "detector_metric")
+    """Of the features whose names begin as those of propagation, the one that goes with a metric best."""
+    f = P.posts(spark, d).withColumn("age_hours", F.col("created_utc") / 3600).withColumn("engagement_total", F.col("score") + F.col("num_comments"))
+    return engagement.best_propagation_feature(engagement.correlations(f, ["age_hours", "engagement_total", "score"], ["upvote_ratio", "num_comments"])).select("feature", "detector_metric", *rounded("spearman_r"))
 
 
 @query("plugins_by_name", with_("content", "provenance", "propagation", "assembled", "risk") + "SELECT image, CASE WHEN raw > 0.7 THEN 'limit' WHEN raw > 0.6 THEN 'label' ELSE 'none' END AS policy FROM risk")

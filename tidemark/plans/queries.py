@@ -184,9 +184,9 @@ def class_accuracy(spark, d):
     return metrics.accuracy(P.content(spark, d), "content_score").select(*_r("acc", "r_acc", "f_acc"))
 
 
-@query("topk_accuracy", "WITH s AS (SELECT embedding[1:5] AS v, vec_id % 5 AS y FROM embeddings), h AS (SELECT (len(list_filter(v, lambda x: x > v[y + 1])) < 2)::INT AS hit FROM s) SELECT sum(hit)::BIGINT AS hits, count(*) AS rows, round(avg(hit), 6) AS accuracy, round(1 - avg(hit), 6) AS error FROM h")
+@query("topk_accuracy", "WITH s AS (SELECT embedding AS v, vec_id % 64 AS y FROM embeddings), h AS (SELECT (len(list_filter(v, lambda x: x > v[y + 1])) < 2)::INT AS hit FROM s) SELECT sum(hit)::BIGINT AS hits, count(*) AS rows, round(avg(hit), 6) AS accuracy, round(1 - avg(hit), 6) AS error FROM h")
 def topk_accuracy(spark, d):
-    e = table(spark, d, "embeddings").select(F.slice("embedding", 1, 5).alias("v"), (F.col("vec_id") % 5).cast("int").alias("y"))
+    e = table(spark, d, "embeddings").select(F.col("embedding").alias("v"), (F.col("vec_id") % 64).cast("int").alias("y"))
     return metrics.top_k(e, "v", "y", 2).select("hits", "rows", *_r("accuracy", "error"))
 
 
@@ -338,9 +338,16 @@ def spearman_pairs(spark, d):
     return _pairs(spark, d).select("feature", "detector_metric", "n", *_r("spearman_r"))
 
 
-@query("correlation_pvalues")
+def _student_sql(r: str) -> str:
+    """The two-sided p-value by the finite series for whole degrees of freedom."""
+    even = f"abs({r}) * list_sum([exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + k * ln(1 - {r} * {r})) for k in range((n - 2) // 2)])"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum([exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(1 - {r} * {r})) for k in range((n - 3) // 2)]), 0))"
+    return f"round(1 - CASE WHEN abs({r}) > 1 - 1e-12 THEN 1.0 WHEN n % 2 = 0 THEN {even} ELSE {odd} END, 6)"
+
+
+@query("correlation_pvalues", _LONG + f"SELECT feature, detector_metric, n, round(pr, 6) AS pearson_r, {_student_sql('pr')} AS pearson_p, round(sr, 6) AS spearman_r, {_student_sql('sr')} AS spearman_p, round(abs(pr), 6) AS abs_pearson, round(abs(sr), 6) AS abs_spearman FROM c")
 def correlation_pvalues(spark, d):
-    return engagement.p_values(_pairs(spark, d))
+    return engagement.p_values(_pairs(spark, d)).select("feature", "detector_metric", "n", *_r("pearson_r", "pearson_p", "spearman_r", "spearman_p", "abs_pearson", "abs_spearman"))
 
 
 @query("top_correlations", _LONG + "SELECT feature, detector_metric, round(sr, 6) AS spearman_r FROM c ORDER BY abs(sr) DESC, abs(pr) DESC, feature, detector_metric LIMIT 3")
@@ -563,12 +570,12 @@ def metric_flush(spark, d):
 
 # Vectors, curves, spread, streams --------------------------------------------------------------------------------------
 
-_ENS = "WITH p AS (SELECT vec_id // 4 AS video, unnest(range(3)) AS c, unnest(embedding[1:3])::DOUBLE AS v FROM embeddings), g AS (SELECT video, c, {0} AS v, count(*) AS n FROM p GROUP BY 1, 2) SELECT video, round(max(v) FILTER (c = 0), 5) AS p0, round(max(v) FILTER (c = 1), 5) AS p1, round(max(v) FILTER (c = 2), 5) AS p2, max(n) AS clips FROM g GROUP BY 1"
+_ENS = "WITH p AS (SELECT vec_id // 4 AS video, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT video, c, {0} AS v, count(*) AS n FROM p GROUP BY 1, 2) SELECT video, round(max(v) FILTER (c = 0), 5) AS p0, round(max(v) FILTER (c = 1), 5) AS p1, round(max(v) FILTER (c = 2), 5) AS p2, round(max(v), 5) AS highest, max(n) AS clips FROM g GROUP BY 1"
 
 
 def _ensemble(spark, d, how):
-    e = vision.ensemble(table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("v")), "vec_id", "v", 4, how)
-    return e.select("video", *(F.round(F.element_at("preds", i + 1), 5).alias(f"p{i}") for i in range(3)), "clips")
+    e = vision.ensemble(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v", 4, how)
+    return e.select("video", *(F.round(F.element_at("preds", i + 1), 5).alias(f"p{i}") for i in range(3)), F.round(F.array_max("preds"), 5).alias("highest"), "clips")
 
 
 @query("ensemble_clip_sum", _ENS.format("sum(v)"))
@@ -583,7 +590,7 @@ def ensemble_max(spark, d):
 
 @query("incomplete_videos", "SELECT vec_id // 4 AS video, count(*) AS clips FROM embeddings WHERE vec_id % 11 <> 0 GROUP BY 1 HAVING count(*) <> 4")
 def incomplete_videos(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 11 <> 0").select("vec_id", F.slice("embedding", 1, 2).alias("v"))
+    e = table(spark, d, "embeddings").where("vec_id % 11 <> 0").select("vec_id", F.col("embedding").alias("v"))
     return vision.incomplete(vision.ensemble(e, "vec_id", "v", 4), 4).select("video", "clips")
 
 
@@ -618,9 +625,9 @@ def vector_distances(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(N.l2_norm("embedding"), 5).alias("norm"), F.round(N.cosine(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), 5).alias("cosine"))
 
 
-@query("softmax_scores", "SELECT vec_id, round(exp(embedding[2]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 5) AS prob FROM embeddings")
+@query("softmax_scores", "SELECT vec_id, round(exp(embedding[2]::DOUBLE) / list_sum([exp(x::DOUBLE) for x in embedding]), 5) AS prob FROM embeddings")
 def softmax_scores(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.element_at(N.softmax(F.slice("embedding", 1, 2).cast("array<double>")), 2), 5).alias("prob"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.element_at(N.softmax(F.col("embedding").cast("array<double>")), 2), 5).alias("prob"))
 
 
 @query("infection_probability", with_("content") + "SELECT image, round(least(greatest(0.05 + 0.6 * content_score * (1 - (doc_id % 10) / 10.0) + 0.3 * (doc_id % 3), 0.0), 1.0), 6) AS p FROM content")
@@ -629,10 +636,12 @@ def infection_probability(spark, d):
     return P.content(spark, d).select("image", F.round(N.infection_probability(F.col("content_score"), (i % 10) / 10.0, 0.05, 0.6, F.lit(0.3) * (i % 3)), 6).alias("p"))
 
 
-@query("rate_schedules", "SELECT s AS step, round(0.1 * (cos(pi() * s / 50.0) + 1) / 2, 6) AS cosine, CASE WHEN s >= 30 THEN 0.001 WHEN s >= 10 THEN 0.01 ELSE 0.1 END::DOUBLE AS stepped, round(CASE WHEN s <= 20 THEN 0.1 ELSE greatest(0.1 * (1 - (s - 20) / 30.0), 0.0) END, 6) AS linear FROM (SELECT unnest(range(60)) AS s)")
+@query("rate_schedules", "SELECT s AS step, count(*) AS events, round(0.1 * (cos(pi() * s / 50.0) + 1) / 2, 6) AS cosine, CASE WHEN s >= 30 THEN 0.001 WHEN s >= 10 THEN 0.01 ELSE 0.1 END::DOUBLE AS stepped, round(CASE WHEN s <= 20 THEN 0.1 ELSE greatest(0.1 * (1 - (s - 20) / 30.0), 0.0) END, 6) AS linear FROM (SELECT event_id % 60 AS s FROM events) GROUP BY s")
 def rate_schedules(spark, d):
-    s = F.col("id")
-    return spark.range(60).select(s.alias("step"), F.round(N.cosine_rate(s, 50, 0.1), 6).alias("cosine"), N.step_rate(s, [0, 10, 30], [0.1, 0.01, 0.001]).alias("stepped"), F.round(N.linear_decay(s, 50, 20, 0.1), 6).alias("linear"))
+    """Rates of the steps that events fall into."""
+    s = F.col("step")
+    steps = table(spark, d, "events").groupBy((F.col("event_id") % 60).alias("step")).agg(F.count(F.lit(1)).alias("events"))
+    return steps.select("step", "events", F.round(N.cosine_rate(s, 50, 0.1), 6).alias("cosine"), N.step_rate(s, [0, 10, 30], [0.1, 0.01, 0.001]).alias("stepped"), F.round(N.linear_decay(s, 50, 20, 0.1), 6).alias("linear"))
 
 
 @query("props_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

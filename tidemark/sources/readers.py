@@ -88,12 +88,6 @@ def ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(key)
 
 
-def csv_appended(spark: SparkSession, path: str) -> DataFrame:
-    """A table that sinks.csv_append wrote: all strings, the header from its file of its own."""
-    header = spark.read.text(f"{path}/header").first()[0].split(",")
-    return spark.read.schema(", ".join(f"`{c}` string" for c in header)).csv(f"{path}/rows/*")
-
-
 def metric_series(spark: SparkSession, pattern: str, folders: bool = False) -> DataFrame:
     """detector, dataset, Step, Value from files <detector>/test_<dataset>_auc.csv below a glob. folders: what is named so are folders of part files."""
     df = spark.read.option("header", True).schema("Step int, Value double").csv(pattern).withColumn("_path", F.col("_metadata.file_path"))

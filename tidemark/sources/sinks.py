@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +23,18 @@ def all_columns(tables: list[DataFrame]) -> DataFrame:
 
 
 def csv_append(df: DataFrame, path: str) -> None:
-    """Appends rows to a table whose header is written once, into a file of its own, by the first append. Read it with readers.csv_appended."""
+    """Appends rows to a CSV table that plain readers take with header=True: every file has the header of the table.
+
+    The first append fixes the columns and their order; later ones are brought into it by name, columns that the table hasn't are
+    dropped and those that the rows haven't are empty. Spark's commit makes an append's files appear together, and one that
+    fails leaves none.
+    """
     spark = df.sparkSession
-    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
-    if not home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home):
-        spark.createDataFrame([(",".join(df.columns),)], "value string").coalesce(1).write.text(f"{path}/header")
-    df.write.option("emptyValue", "").csv(f"{path}/rows/{uuid.uuid4().hex}")
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home):
+        name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+        df = df.select(*(name(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in spark.read.csv(path, header=True).columns))
+    df.write.mode("append").option("header", True).csv(path)
 
 
 def features_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
