@@ -1,12 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause (words up to . ! ? ; or a line end) is read as a string of symbols: insult,
-violent verb, intensifier, intent, target, negation, reported speech, quotation mark,
-other. Transducers composed over it rewrite the insults and violent verbs. The insult
+violent verb, intensifier, intent, target, negation, verb of opinion, reported speech,
+quotation mark, other. A quotation goes on over clauses until its mark closes or the line ends. Transducers composed over it rewrite the insults and violent verbs. The insult
 machine marks an insult that follows an intensifier or another insult as heaped; the
 threat machine marks a violent verb that follows a word of intent as a threat; one
-machine marks those within NEGATION words after a negation, one those after a verb of
-speech or between quotation marks, two (left to right, right to left) those within
+machine marks those within NEGATION words after a negation (twice as many after a negated
+verb of opinion), one those after a verb of speech or between quotation marks, two (left to right, right to left) those within
 TARGET words of a target. What comes out of a clause is its strongest symbol, which
 stands for a path through the machines and counts for the PATHS that it took; a
 document's score is a logistic function of how many clauses took each path. A violent
@@ -20,13 +20,14 @@ copies count once in that. Weights start from the grammar's own and are fitted b
 gradient descent, all in one task of an executor. Scoring reads whole texts.
 
 Words are runs of letters, with one exception: the `t` after an apostrophe and an n
-(don't, isn't) is read as a negation.
+(don't, isn't) is read as a negation. Single quotation marks, curled or straight, count in pairs
+within a line, an opening one before and a closing one not before a letter; others are apostrophes.
 
 Defined results: a null or empty text has no clause and gets the bias's score. Without
 labels the grammar's own weights and fixed words decide. Ids whose labels differ don't
 train; of texts that repeat an id the smallest trains; all rows are scored. Ties: of words
 that as many toxic documents hold, whole words come first, then longer beginnings, then
-the smaller hash. A very long text is cut at clause ends and read in windows. Only doc_id
+the smaller hash. A very long text is cut at clause ends and read in windows, where a quotation ends, too. Only doc_id
 and text are read (of labels doc_id and toxic), so other columns can't clash.
 """
 
@@ -52,7 +53,7 @@ NEGATION, TARGET, HEAPED, INTENT = 3, 4, 2, 4
 BEGINNINGS = (4, 5, 6)
 ENDS = b".!?;\n"
 
-# The grammar's own words by symbol: insults, violent verbs, targets, negations, verbs of speech, intensifiers, intent.
+# The grammar's own words by symbol: insults, violent verbs, targets, negations, verbs of speech, intensifiers, intent, verbs of opinion.
 WORDS = {
     "I": "bastard clown creep cretin dimwit disgusting dumb dumbass fool freak garbage idiot idiotic imbecile jerk loser lunatic moron moronic pathetic pig rat scum stupid trash vermin worthless "
     "arschloch blödmann depp dreckig dummkopf trottel abschaum connard crétin débile imbécile salaud ordure basura cabrón estúpido gilipollas idiota imbécil inútil",
@@ -62,8 +63,9 @@ WORDS = {
     "R": "said says say claims claimed wrote writes reported quoted called alleged sagte sagt behauptet schrieb dit disait affirme dijo dice afirma",
     "E": "such total complete utter absolute fucking bloody damn so völlig total absolut verdammt tellement complètement sacré tan completo maldito",
     "M": "will ll gonna going shall should must want hope werde werden soll muss vais va doit faut voy vas debe quiero",
+    "K": "think believe feel suppose consider mean suggest imply denke glaube finde meine pense crois trouve pienso creo considero",
 }
-_SYMBOLS = "IVGNREM"  # an earlier symbol wins over a later one
+_SYMBOLS = "IVGNREMK"  # an earlier symbol wins over a later one
 
 # The paths that clauses are counted for, and the weight of log(1 + clauses) for each before any fitting.
 PATHS = {"insult": 4.0, "insult at target": 1.0, "insult heaped": 0.5, "insult negated": 0.5, "insult reported": 1.0, "violence at target": 3.0, "violence intended": 1.0, "violence negated or reported": 0.5}
@@ -86,13 +88,13 @@ def threat(state: int, symbol: str) -> tuple[int, str]:
 
 def negation(state: int, symbol: str) -> tuple[int, str]:
     out = {"I": "i", "S": "i", "V": "t", "T": "t"}.get(symbol, symbol) if state else symbol
-    return (NEGATION if symbol == "N" else max(0, state - 1)), out
+    return (max(NEGATION, state - 1) if symbol == "N" else 2 * NEGATION if symbol == "K" and state else max(0, state - 1)), out
 
 
 def reported(state: int, symbol: str) -> tuple[int, str]:
-    """State bit 1: after a verb of speech; bit 0: between quotation marks."""
+    """State bit 1: after a verb of speech; bits 0 and 2: between double and single quotation marks."""
     out = {"I": "J", "S": "J", "V": "t", "T": "t"}.get(symbol, symbol) if state else symbol
-    return (state | 2 if symbol == "R" else state ^ 1 if symbol == "Q" else state), out
+    return (state | 2 if symbol == "R" else state ^ 1 if symbol == "Q" else state ^ 4 if symbol == "q" else state), out
 
 
 def target(state: int, symbol: str) -> tuple[int, str]:
@@ -148,6 +150,7 @@ class Text:
     def __init__(self, column: pa.Array):
         data, offsets = tv.buffers(column)
         data = data.copy()
+        self.curled = np.zeros(len(data), bool)
         for mark, plain in _CURLED.items():
             n = len(mark)
             at = np.flatnonzero(data[: max(0, len(data) - n + 1)] == mark[0])
@@ -155,11 +158,34 @@ class Text:
                 at = at[data[at + k] == mark[k]]
             for k in range(n):
                 data[at + k] = plain if k == n - 1 else 32
+            self.curled[at + n - 1] = True
         self.clean = grams.letters(data)
         self.starts, self.ends = tv.spans(self.clean, offsets)
         self.hashes = tv.hash_spans(self.clean, self.starts, self.ends)
         self.bounds = tv.rows_of(self.starts, offsets)
         self.data, self.offsets = data, offsets
+        self.single = self._single()
+
+    def _single(self) -> np.ndarray:
+        """Where single quotation marks stand in pairs: an opening mark whose next mark in its line is a closing one, and that one."""
+        out = np.zeros(len(self.data), bool)
+        at = np.flatnonzero(self.data == 39)
+        if not len(at):
+            return out
+        spaced = np.append(self.clean, 32)  # no letter behind the end
+        last = self.offsets[np.searchsorted(self.offsets, at, "right") - 1]
+        back = at - 1
+        for _ in range(2):  # a curled mark has spaces of its own before it
+            back = np.where((back >= last) & (self.data[np.maximum(back, 0)] == 32) & self.curled[at], back - 1, back)
+        before = np.where(back >= last, spaced[back], 32) != 32
+        after = (spaced[at + 1] != 32) & ~np.isin(at + 1, self.offsets)
+        opens, closes = ~before & after, ~after
+        kept = opens | closes
+        at, opens = at[kept], opens[kept]
+        line = np.cumsum(self.data == 10)[at] + np.searchsorted(self.offsets, at, "right")
+        first = np.flatnonzero(opens[:-1] & ~opens[1:] & (line[1:] == line[:-1]))
+        out[at[first]] = out[at[first + 1]] = True
+        return out
 
     def contracted(self) -> np.ndarray:
         """Whether each word is the t of a negation such as don't."""
@@ -227,21 +253,24 @@ class Grammar:
         row = np.repeat(np.arange(len(column)), np.diff(text.bounds))
         clause = clause + row.astype(np.int64)  # a new row begins a new clause, and both numbers ascend
         fresh = np.flatnonzero(np.diff(clause, prepend=-1) | np.diff(row, prepend=-1))
-        quotes = np.concatenate([[0], np.cumsum(text.data == 34)])
-        # Where each clause begins: behind the last stop, or with its row.
-        stops = np.flatnonzero(stop)
-        before = np.searchsorted(stops, text.starts[fresh])
-        opened = quotes[np.maximum(np.append(stops, -1)[before - 1] + 1, text.offsets[row[fresh]])]
-        quotes = quotes[text.starts]
+        # Marks since the line of each clause began, or its row, so that a quotation goes on over clauses.
+        lines = np.flatnonzero(text.data == 10)
+        before = np.searchsorted(lines, text.starts[fresh])
+        begin = np.maximum(np.append(lines, -1)[before - 1] + 1, text.offsets[row[fresh]])
+        marks = {}
+        for symbol, where in (("Q", text.data == 34), ("q", text.single)):
+            total = np.concatenate([[0], np.cumsum(where)])
+            marks[symbol] = total[begin].tolist(), total[text.starts]
         first = np.unique(np.searchsorted(fresh, hits, "right") - 1)
         ends = np.append(fresh[1:], len(clause))
         read = reader(self.without)
         for c in first.tolist():
             a, b = int(fresh[c]), int(ends[c])
-            symbols, q = [], opened[c]
-            for x, z in zip(code[a:b].tolist(), quotes[a:b].tolist(), strict=True):
-                symbols += ["Q"] * min(2, z - q)
-                q = z
+            symbols = []
+            double, single = marks["Q"][0][c], marks["q"][0][c]
+            for x, two, one in zip(code[a:b].tolist(), marks["Q"][1][a:b].tolist(), marks["q"][1][a:b].tolist(), strict=True):
+                symbols += ["Q"] * ((two - double) % 2) + ["q"] * ((one - single) % 2)
+                double, single = two, one
                 symbols.append(_SYMBOLS[x] if x >= 0 else ".")
             out[row[a], list(read("".join(symbols)))] += 1
         return out
