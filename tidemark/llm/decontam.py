@@ -16,9 +16,10 @@ around the passage (share of word 3-grams; of a question or answer of fewer word
 whether the text has that run of words).
 
 The index is small by construction: items are dealt over as many passes as it takes
-to keep each one's text below INDEX_BYTES, and each pass goes over all documents. The
-driver sends a pass's items on and keeps none; each Python worker builds the index, once
-a pass.
+to keep each one's text below INDEX_BYTES, and each pass goes over all documents. How many
+items there are, their mean length and how many have a term is counted over all items, so
+scores don't depend on the passes. The driver sends a pass's items and its terms'
+frequencies on and keeps none; each Python worker builds the index, once a pass.
 
 Defined results: documents or items without words (null, empty) match nothing; two
 equal items are both reported, and so are all rows that repeat a document; no items, no
@@ -106,8 +107,19 @@ class Level:
             self.heavy[t] = False
 
 
+class Statistics:
+    """Of all items with words: how many there are, their mean length, and how many have each term (of a pass's terms, ascending)."""
+
+    def __init__(self, items: int, length: float, terms: np.ndarray, frequency: np.ndarray):
+        self.items, self.length, self.terms, self.frequency = items, length, terms, frequency
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.frequency[np.searchsorted(self.terms, terms)]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, all_items: Statistics | None = None):
+        """all_items: statistics of all items, if these are a part of them."""
         own = [(i, t, w) for i, t in items if len(w := _words(t))]
         level = levels_of(np.array([len(w) for _, _, w in own]))
         order = np.argsort(level, kind="stable")
@@ -121,9 +133,10 @@ class Index:
         item = np.repeat(np.arange(n), lengths.astype(int))
         pairs, tf = np.unique(flat.astype(np.int64) * max(n, 1) + item, return_counts=True)
         self.post_term, self.post_item = pairs // max(n, 1), pairs % max(n, 1)
-        df = np.bincount(self.post_term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - BETA + BETA * lengths / max(lengths.mean() if n else 1, 1))
+        known = all_items or Statistics(n, lengths.mean() if n else 1, self.terms, np.bincount(self.post_term, minlength=len(self.terms)))
+        df = known.of(self.terms) if n else np.empty(0)
+        idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - BETA + BETA * lengths / max(known.length, 1))
         weight = idf[self.post_term] * tf * (K1 + 1) / (tf + norm[self.post_item])
         self.impact = weight / np.maximum(np.bincount(self.post_item, weight, n)[self.post_item], 1e-12)
         self.begin = np.searchsorted(self.post_term, np.arange(len(self.terms) + 1))
@@ -265,25 +278,51 @@ _built: dict[str, Index] = {}
 class Pass:
     """The items of one pass, on their way to the workers; the index is built where it is first asked for."""
 
-    def __init__(self, spark, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, spark, items: list[tuple[int, str]], threshold: float, all_items: Statistics):
         self.name, self.threshold = uuid.uuid4().hex, threshold
-        self.items = spark.sparkContext.broadcast(items)  # INDEX_BYTES of text at most
+        self.items = spark.sparkContext.broadcast((items, all_items))  # INDEX_BYTES of text at most, and its terms
 
     def index(self) -> Index:
         if self.name not in _built:
             _built.clear()
-            _built[self.name] = Index(self.items.value, self.threshold)
+            items, all_items = self.items.value
+            _built[self.name] = Index(items, self.threshold, all_items)
         return _built[self.name]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different terms of each item (pass, text), and a row without a term that has its number of words."""
+    for batch in batches:
+        for part in tv.slices(batch):
+            h, bounds = tv.words(part.column(1))
+            size = np.diff(bounds)
+            row = np.repeat(np.arange(part.num_rows), size)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            row = row[new]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(h[new].view(np.int64)), pa.array(np.ones(len(row), np.int64))], names=["pass", "term", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(part.num_rows, pa.int64()), pa.array(size)], names=["pass", "term", "words"])
+
+
 def passes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Pass]:
     """The items of a pass hold about INDEX_BYTES of text."""
     lean(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(size / INDEX_BYTES))
+    dealt = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int"))
+    terms = dealt.select("pass", "text").mapInArrow(_terms, "pass int, term long, words long")
+    items_, words = terms.where("term IS NULL").agg(F.count_if(F.col("words") > 0), F.coalesce(F.sum("words"), F.lit(0))).first()
+    have = terms.where("term IS NOT NULL")
+    frequency = have.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     for k in range(count):
-        yield Pass(benchmark.sparkSession, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text").collect()], threshold)
+        own = frequency.join(have.where(F.col("pass") == k).select("term"), "term", "left_semi").toArrow()  # the terms of INDEX_BYTES of text
+        term, n = (np.asarray(own.column(c).combine_chunks()) for c in ("term", "n"))
+        order = np.argsort(term.view(np.uint64))
+        known = Statistics(items_, words / max(1, items_), term.view(np.uint64)[order], n[order])
+        yield Pass(benchmark.sparkSession, [tuple(r) for r in dealt.where(F.col("pass") == k).select("item_id", "text").orderBy("item_id", "text").collect()], threshold, known)
 
 
 _HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
