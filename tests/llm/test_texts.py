@@ -251,9 +251,34 @@ def test_grammar():
     assert g.counts(pa.array(["so \N{LEFT DOUBLE QUOTATION MARK}you idiot\N{RIGHT DOUBLE QUOTATION MARK}", "\N{LEFT-POINTING DOUBLE ANGLE QUOTATION MARK}idiot\N{RIGHT-POINTING DOUBLE ANGLE QUOTATION MARK} fool"])).tolist() == [[0, 0, 0, 0, 1, 0, 0, 0], [1, 0, 1, 0, 0, 0, 0, 0]]
 
 
+def test_quotations_and_negations_that_reach_far():
+    g = toxicity.Grammar()
+    told, at_target, negated = [0, 0, 0, 0, 1, 0, 0, 0], [1, 1, 0, 0, 0, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0, 0]
+    left, right = "\N{LEFT SINGLE QUOTATION MARK}", "\N{RIGHT SINGLE QUOTATION MARK}"
+    want = {
+        'She said: "You are dumb. You are an idiot" and left': [2 * x for x in told],  # the quotation goes on over the clause
+        'He wrote "nice. fine" you idiot': at_target,  # and has ended here
+        f"{left}you are an idiot{right} is what he was told": told,
+        "'you are an idiot' is what he was told": told,
+        f"he didn{right}t know that you are an idiot": at_target,
+        "the dogs' owner, you idiot, isn't here": at_target,
+        '"he is \'an idiot\'" it read': told,
+        "I do not think that you are an idiot": negated,
+        "I think that you are an idiot": at_target,
+        '6" long\nyou idiot': at_target,  # a mark that isn't closed ends with its line
+        "'twas you idiot": at_target,
+    }
+    assert {t: g.counts(pa.array([t]))[0].tolist() for t in want} == want
+    assert g.counts(pa.array(list(want))).tolist() == list(want.values())  # no row reaches into the next
+
+
 def brute_paths(words):
     """Of a clause's (word, kind of word or None, whether it is between quotation marks), which paths it takes: by looking around each insult and violent verb."""
     found = []
+
+    def denied(i):
+        return any(words[j][0] == "N" and i - j <= 3 or words[j][0] == "K" and i - j <= 6 and denied(j) for j in range(max(0, i - 6), i))
+
     for i, (kind, quoted) in enumerate(words):
         near = lambda k, what, i=i: any((words[j][0] or "-") in what for j in range(max(0, i - k), i))
         if kind not in ("I", "V"):
@@ -261,7 +286,7 @@ def brute_paths(words):
         told = quoted or any(x == "R" for x, _ in words[:i])
         target = near(4, "G") or any(x == "G" for x, _ in words[i + 1 : i + 5])
         strong = near(2, "IE") if kind == "I" else near(4, "M")
-        if near(3, "N"):
+        if denied(i):
             found.append((7, (3,)) if kind == "I" else (8, (7,)))
         elif told:
             found.append((6, (4,)) if kind == "I" else (8, (7,)))
@@ -466,3 +491,18 @@ def test_long_items_are_found():
     assert found == {(i, i) for i in range(len(items))}
     alone = {(r, i) for r, i, *_ in index.search(*tv.words(pa.array(items)))}
     assert alone == {(i, i) for i in range(len(items))}
+
+
+def test_scores_do_not_depend_on_the_passes(spark, table, monkeypatch):
+    rng = random.Random(31)
+    items = [(i, prose(rng, 25) + "? " + prose(rng, 8)) for i in range(60)]
+
+    def altered(text):
+        return " ".join(w if rng.random() < 0.85 else prose(rng, 1) for w in text.split())
+
+    docs = table([(i, prose(rng, 20) + " " + altered(t) + " " + prose(rng, 20)) for i, t in items] + [(100 + i, prose(rng, 60)) for i in range(20)])
+    bench = spark.createDataFrame([*items, (60, None), (61, " ")], "item_id long, text string")
+    one = {(r.doc_id, r.item_id): round(r.score, 12) for r in decontam.hits(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
+    assert len(list(decontam.passes(bench))) > 5
+    assert {(r.doc_id, r.item_id): round(r.score, 12) for r in decontam.hits(docs, bench).collect()} == one and len(one) > 30
