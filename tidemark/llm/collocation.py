@@ -70,10 +70,10 @@ class Tokens:
         self.words = coded.dictionary
 
 
-def _long(data: np.ndarray, row: int, ahead: int) -> Iterator[Tokens]:
+def _long(data: np.ndarray, row: int, ahead: int, segment: int) -> Iterator[Tokens]:
     """A long text in windows that reach `ahead` whole words beyond those that are counted."""
-    for at in range(0, len(data), SEGMENT):
-        to, begin, look = min(len(data), at + SEGMENT), max(0, at - 1), 1 << 16
+    for at in range(0, len(data), segment):
+        to, begin, look = min(len(data), at + segment), max(0, at - 1), max(16, segment >> 6)
         while True:
             stop = min(len(data), to + look)
             part = tv.lower_ascii(data[begin:stop])
@@ -85,14 +85,15 @@ def _long(data: np.ndarray, row: int, ahead: int) -> Iterator[Tokens]:
         yield Tokens(part, offsets, row, at - begin, to - begin, (starts, ends))
 
 
-def tokens(column: pa.Array, ahead: int) -> Iterator[Tokens]:
+def tokens(column: pa.Array, ahead: int, segment: int) -> Iterator[Tokens]:
+    """The words of texts, those of about `segment` bytes at once, with `ahead` words more where a text goes on."""
     data, offsets = tv.buffers(column)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SEGMENT, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + segment, "right")) - 1)
         part = data[offsets[at] : offsets[to]]
-        if len(part) > SEGMENT:
-            yield from _long(part, at, ahead)
+        if len(part) > segment:
+            yield from _long(part, at, ahead, segment)
         else:
             yield Tokens(tv.lower_ascii(part), offsets[at : to + 1] - offsets[at], at, 0, len(part))
         at = to
@@ -132,11 +133,12 @@ def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n, key of every word."""
+    segment = SEGMENT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, names = _languages(batch)
-            for t in tokens(batch.column(1), 1):
+            for t in tokens(batch.column(1), 1, segment):
                 word, lang = t.word[t.own], langs[t.row[t.own]]
                 first, n = _counted([lang, word])
                 word, lang = word[first], lang[first]
@@ -149,13 +151,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def suffixes(docs: DataFrame, max_n: int, known: Filter) -> DataFrame:
     """lang, w1 to w<max_n> (null beyond the suffix's end), n: suffixes, counted in each map task, that begin with a word of the filter and end before the first that isn't of it."""
-    names = [f"w{i + 1}" for i in range(max_n)]
+    names, segment = [f"w{i + 1}" for i in range(max_n)], SEGMENT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, languages = _languages(batch)
             own_hash = _hashes(languages)
-            for t in tokens(batch.column(1), max(1, max_n - 1)):
+            for t in tokens(batch.column(1), max(1, max_n - 1), segment):
                 lang = langs[t.row]
                 frequent = known.has(_keys(own_hash[lang], _hashes(t.words)[t.word])) if len(lang) else np.empty(0, bool)
                 at = np.flatnonzero(frequent & t.own)

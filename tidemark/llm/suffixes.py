@@ -224,7 +224,7 @@ def _valid(offsets: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(step[:n])[: max(0, n - least + 1)] == 0
 
 
-def _pieces(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batch: pa.RecordBatch, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes, row bounds, row numbers and places of the rows' begin in their texts. Rows ascend by document, so what stands first is earlier; equal rows come once; long texts in pieces that overlap by less than a window."""
     order = pc.sort_indices(pa.Table.from_batches([batch]), sort_keys=[(batch.schema.names[0], "ascending"), (batch.schema.names[1], "ascending")])
     doc, mark = (np.asarray(batch.column(i).take(order)) for i in (0, 1))
@@ -232,11 +232,11 @@ def _pieces(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.
     data, offsets = tv.buffers(batch.column(2).take(order))
     rows, at = np.asarray(order), 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         part = data[offsets[at] : offsets[to]]
         if to == at + 1:
-            for begin in range(0, max(1, len(part) - least + 1), PIECE):
-                piece = part[begin : begin + PIECE + least - 1]
+            for begin in range(0, max(1, len(part) - least + 1), most):
+                piece = part[begin : begin + most + least - 1]
                 yield piece, np.array([0, len(piece)]), rows[at:to], np.array([begin])
         else:
             yield part, offsets[at : to + 1] - offsets[at], rows[at:to], np.zeros(to - at, np.int64)
@@ -278,11 +278,11 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _counts(keyed: DataFrame, least: int, grams: tuple[int, ...], hot: list[np.ndarray]) -> DataFrame:
     """(key, n): anchors of the level after the hot ones that more than one row would hold."""
-    level = len(hot)
+    level, piece = len(hot), PIECE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, offsets, _, _ in _pieces(batch, least):
+            for data, offsets, _, _ in _pieces(batch, least, piece):
                 for at, text, runs in _levels(data, offsets, least, grams[: level + 1], hot):
                     if at == level:
                         keys, n = np.unique(runs.key[~runs.repeats(text, least)], return_counts=True)
@@ -293,11 +293,12 @@ def _counts(keyed: DataFrame, least: int, grams: tuple[int, ...], hot: list[np.n
 
 def contexts(keyed: DataFrame, least: int, grams: tuple[int, ...], hot: list[np.ndarray], known: Filter) -> DataFrame:
     """key, doc, mark, place, anchor, size, bytes: contexts by anchor (place: where they begin, anchor: where in them), and spans of known repeats (without bytes)."""
+    piece = PIECE
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, mark = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for data, offsets, rows, begin in _pieces(batch, least):
+            for data, offsets, rows, begin in _pieces(batch, least, piece):
                 spans = []
                 for level, text, runs in _levels(data, offsets, least, grams, hot):
                     again = runs.repeats(text, least)
@@ -363,23 +364,24 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
     """doc, mark, begins, ends: spans of bytes to remove of each document that has any; they may overlap. A table in the shared folder."""
     spark = lean(docs.sparkSession)
     grams = grams or tuple(min(k, least) for k in GRAMS)
-    parts = partitions(spark)
+    parts, at_once = partitions(spark), ROWS
     keyed = _keyed(docs, key, text)
     hot: list[np.ndarray] = []
     known = None
-    while len(hot) < len(grams) - 1:
+    for level in range(max(1, len(grams) - 1)):
         counts = stored(_counts(keyed, least, grams, hot), "anchors")
         share = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
         over = counts.where(F.col("n") > share).select("key").toArrow().column("key")  # fewer than 4 a partition
         known = known or filter_of(counts)
-        hot.append(np.sort(np.asarray(over.combine_chunks(), np.int64)))
         discard(spark, counts)
+        if level + 1 < len(grams):
+            hot.append(np.sort(np.asarray(over.combine_chunks(), np.int64)))
         if not len(over):
             break
     sent = contexts(keyed, least, grams, hot, known).repartition(parts, "key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1, most=ROWS):
+        for table in whole_groups(batches, 1, most=at_once):
             told = pc.is_null(table.column(6))
             ready = table.filter(told)
             if ready.num_rows:
