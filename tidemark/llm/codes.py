@@ -61,6 +61,11 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=-1)
 
 
+def _whole(x: np.ndarray) -> bool:
+    """Whether all sums that make up squared distances of such vectors are below 2^53, and so are exact in doubles, too."""
+    return x.dtype != object and x.shape[-1] * (2 * int(np.abs(x).max(initial=0))) ** 2 < 1 << 53
+
+
 class Ball:
     """A centre that is an entry, a radius, and either two balls or the entries themselves."""
 
@@ -92,12 +97,18 @@ class Search:
         self.entries = entries
         self.top = Ball(entries, np.arange(len(entries)))
         self.met = 0
+        self.whole = _whole(entries)
+        self.doubles = entries.astype(np.float64) if self.whole else entries
+        self.lengths = (self.doubles**2).sum(axis=1) if self.whole else None
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance, exact; the lower index of equally near ones."""
         self.q, self.at = q, np.full(len(q), -1)
         self.best = np.zeros(len(q), object if q.dtype == object else np.int64)
         self.reach = np.full(len(q), np.inf)
+        self.products = self.whole and _whole(q)  # then matrix products give the distances as exactly
+        self.q_doubles = q.astype(np.float64) if self.products else q
+        self.q_lengths = (self.q_doubles**2).sum(axis=1) if self.products else None
         self._visit(self.top, np.arange(len(q)))
         return self.at, self.best
 
@@ -120,7 +131,10 @@ class Search:
 
     def _leaf(self, members: np.ndarray, rows: np.ndarray) -> None:
         self.met += len(rows) * len(members)
-        squares = _squares(self.q[rows][:, None, :], self.entries[members][None])
+        if self.products:
+            squares = (self.q_lengths[rows, None] + self.lengths[members] - 2 * (self.q_doubles[rows] @ self.doubles[members].T)).astype(np.int64)
+        else:
+            squares = _squares(self.q[rows][:, None, :], self.entries[members][None])
         k = squares.argmin(axis=1)  # members ascend, so the lowest index of equal ones
         found, index = squares[np.arange(len(rows)), k], members[k]
         at, best = self.at[rows], self.best[rows]
