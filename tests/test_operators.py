@@ -13,7 +13,7 @@ from tidemark import registry
 from tidemark.functions import numbers as N
 from tidemark.functions import text as X
 from tidemark.functions.stats import incomplete_beta, student_two_sided
-from tidemark.operators import engagement, keyed, learn, manifest, metrics, posts, quality, ranking, risk, sampling, series, simulate, tables, vision, webmeta
+from tidemark.operators import engagement, keyed, learn, manifest, metrics, neighbours, posts, quality, ranking, risk, sampling, series, simulate, tables, vision, webmeta
 from tidemark.sources import readers, sinks
 from tidemark.sources.schemas import SNAPSHOTS
 from tidemark.streaming import snapshots
@@ -282,9 +282,11 @@ def test_nearest_in_several_passes(spark, monkeypatch):
     x = rng.random((60, 3))
     x[7] = x[3]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
-    monkeypatch.setattr(vision, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(neighbours, "TILE", 7)
+    monkeypatch.setattr(neighbours, "PIVOTS", 5)
+    monkeypatch.setattr(neighbours, "VISITS", 20)
     got = {}
-    for r in vision.nearest(df, "id", "v", 4).orderBy("rank").collect():
+    for r in neighbours.nearest(df, "id", "v", 4).orderBy("rank").collect():
         got.setdefault(r.key, []).append(r.neighbour)
     d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
     for i in range(60):
@@ -302,10 +304,13 @@ def test_cascade_bounds(spark):
     assert (near == near.T).all() and near.sum() // 2 == 3 + 296 * 3
     df = spark.createDataFrame([("a", 0.0, 1.0), ("b", 1.0, 0.0)], "image string, content_score double, cred_score double")
     assert {r.early_risk for r in simulate.cascade(df, base=0, coefficient=0, noise=0).collect()} == {1 / 300}
-    ball = np.linalg.matrix_power(near.astype(int) + np.eye(300, dtype=int), 2)[0] > 0
-    assert {r.early_risk for r in simulate.cascade(df, base=1, steps=2).collect()} == {ball.sum() / 300}
-    got = {r.image: r.early_risk for r in simulate.cascade(df).collect()}
-    assert 1 / 300 <= got["a"] < got["b"] <= 1
+    ball = np.linalg.matrix_power(near.astype(int) + np.eye(300, dtype=int), 2) > 0
+    many = spark.createDataFrame([(f"i{i}", 1.0, 0.0) for i in range(200)], "image string, content_score double, cred_score double")
+    sure = simulate.cascade(many, base=1, steps=2).collect()
+    assert all(r.early_risk == ball[r.start].sum() / 300 for r in sure) and len({r.start for r in sure}) > 100
+    low = many.withColumn("content_score", F.lit(0.0))
+    mean = {k: one(simulate.cascade(x).agg(F.avg("early_risk").alias("m"))).m for k, x in (("low", low), ("high", many))}
+    assert 1 / 300 <= mean["low"] < mean["high"] <= 1
 
 
 def test_checks(spark):

@@ -24,10 +24,17 @@ def test_entry_gives_policies(spark):
 
 
 def test_queries_without_sql_run(spark, sf_dir):
-    for name in sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL) - {"cv_logreg_auc"}):
+    for name in sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL) - {"cv_logreg_auc", "rbf_machine_nested", "one_class_machine"}):
         assert Q.QUERIES[name](spark, sf_dir).count() > 0, name
 
 
 def test_cross_validation_tells_classes_apart(spark, sf_dir):
     row = Q.QUERIES["cv_logreg_auc"](spark, sf_dir).first()
     assert row.auc_mean > 0.95 and row.acc_mean > 0.85
+
+
+def test_machines_on_random_features(spark, sf_dir):
+    row = Q.QUERIES["rbf_machine_nested"](spark, sf_dir).first()
+    assert row.rows == 500 and row.auc > 0.95 and row.acc > 0.85 and row.ece < 0.15
+    row = Q.QUERIES["one_class_machine"](spark, sf_dir).first()
+    assert row.auc > 0.95 and abs(row.beyond - 0.1) < 0.01 and row.acc >= 0.7

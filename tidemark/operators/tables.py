@@ -48,6 +48,13 @@ def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), column)
 
 
+def places(df: DataFrame, column: str, order: list[str], name: str = "place") -> DataFrame:
+    """The different values of a column with their place: those of a list in its order, then the others by name. Of a table of categories, which a task can hold."""
+    listed = F.array_position(F.array(*(F.lit(x) for x in order)), F.col(column))
+    first = F.when(listed > 0, listed).otherwise(len(order) + 1)
+    return df.select(column).distinct().withColumn(name, F.row_number().over(Window.orderBy(first, column)).cast("long"))
+
+
 def mean_by_frames(df: DataFrame, path: str = "path", value: str = "Value") -> DataFrame:
     """frames, mean: per file named ..._<number>frames, in the order of that number."""
     frames = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"_(\d+)frames", 1).try_cast("int")
@@ -64,13 +71,29 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def scraped_log(lines: DataFrame, position: str = "position", text: str = "value", case_sensitive: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """dataset, AUC, EER, ACC, AP of each `dataset: ...` block of a log. Case-sensitive, a log that writes auc: gives no AUC. by: columns that tell several logs apart, each read in one task."""
+def scraped_log(lines: DataFrame, position: str = "position", text: str = "value", case_sensitive: bool = True, by: tuple[str, ...] = (), slice_lines: int = 100_000) -> DataFrame:
+    """dataset, AUC, EER, ACC, AP of each `dataset: ...` block of a log; what is said last counts. Case-sensitive, a log that writes auc: gives no AUC. by: columns that tell several logs apart.
+
+    position is a line's number. A log is read in slices of `slice_lines` numbers: the last header of each slice is carried into the
+    next ones, within a slice each line takes the header before it. So a task holds a slice at most, and one row for each slice.
+    """
     flag = "" if case_sensitive else "(?i)"
     name = F.nullif(F.regexp_extract(text, r"^\s*dataset:\s*(\S+)", 1), F.lit(""))
-    tagged = lines.withColumn("dataset", F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(position)))
-    get = lambda m: F.last(F.nullif(F.regexp_extract(text, rf"{flag}\b{m}:\s*([0-9.]+)", 1), F.lit("")).try_cast("double"), ignorenulls=True).alias(m)
-    return tagged.where("dataset IS NOT NULL").groupBy(*by, "dataset").agg(*(get(m) for m in ("AUC", "EER", "ACC", "AP")))
+    named = lines.select(*by, F.col(position).alias("_at"), F.col(text).alias("_text"), name.alias("_name"), F.floor(F.col(position) / slice_lines).alias("_slice"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = named.groupBy(*by, "_slice").agg(F.max_by("_name", F.when(F.col("_name").isNotNull(), F.col("_at"))).alias("_last"))
+    heads = heads.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_slice").alias("_slice2"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    same = F.col("_slice") == F.col("_slice2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    own = F.last("_name", ignorenulls=True).over(Window.partitionBy(*by, "_slice").orderBy("_at"))
+    tagged = named.withColumn("_own", own).join(heads, same).withColumn("dataset", F.coalesce("_own", "_carried"))
+
+    def last(m: str) -> Column:
+        value = F.nullif(F.regexp_extract("_text", rf"{flag}\b{m}:\s*([0-9.]+)", 1), F.lit("")).try_cast("double")
+        return F.max_by(value, F.when(value.isNotNull(), F.col("_at"))).alias(m)
+
+    return tagged.where("dataset IS NOT NULL").groupBy(*by, "dataset").agg(*(last(m) for m in ("AUC", "EER", "ACC", "AP")))
 
 
 def zipped(parts: list[DataFrame], position: str) -> DataFrame:

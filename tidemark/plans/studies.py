@@ -9,6 +9,7 @@ from tidemark.operators import learn, metrics, risk, simulate
 from tidemark.plans import proxies as P
 from tidemark.plans.proxies import table, with_
 from tidemark.plans.registered import query, rounded
+from tidemark.sources import ordered
 from tidemark.streaming import keyed, polling, snapshots
 
 # Spreads over a graph -------------------------------------------------------------------------------------------------
@@ -135,3 +136,27 @@ def one_class_machine(spark, d):
     auc = metrics.summary(metrics.curve(scored.select("label", F.col("score").alias("prob")))).select("auc")
     beyond = scored.where("label = 0").agg(F.avg((F.col("score") > 0).cast("double")).alias("beyond"))
     return auc.crossJoin(F.broadcast(metrics.median_threshold(scored, "score"))).crossJoin(F.broadcast(beyond))
+
+
+# Ordered stores -------------------------------------------------------------------------------------------------------
+
+_KEYED = "SELECT 'Root/' || coalesce(source, '') || '/' || lpad(doc_id::VARCHAR, 12, '0') AS key, n_chars FROM documents"
+
+
+def _store(spark, d):
+    at = shared.folder(spark, "ordered")
+    key = F.concat(F.lit("Root/"), F.coalesce("source", F.lit("")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    ordered.put(table(spark, d, "documents").select(key.alias("key"), "n_chars"), "key", at)
+    return at
+
+
+@query("store_cursor", f"SELECT key, n_chars, row_number() OVER (ORDER BY key) AS place FROM ({_KEYED})")
+def store_cursor(spark, d):
+    """A scan of a key-value store in the order of its keys, which each row's place proves."""
+    return ordered.cursor(spark, _store(spark, d), "key")
+
+
+@query("store_prefix", f"SELECT key, n_chars FROM ({_KEYED}) WHERE starts_with(key, 'Root/src1')")
+def store_prefix(spark, d):
+    """Keys with a prefix, from the files that may have any."""
+    return ordered.with_prefix(spark, _store(spark, d), "key", "Root/src1")
