@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import curve, summary
+from tidemark.operators.metrics import curve
 
 
 def ensemble(df: DataFrame, clip: str, preds: str, num_clips: int, how: str = "sum", multi_label: bool = False) -> DataFrame:
