@@ -394,12 +394,28 @@ def test_numbers_within_groups_equal_windows(spark):
     for g in ("a", "b", "c", None):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
         assert [got[r[2]] for r in own] == list(range(1, len(own) + 1))
-    ranks = {(r.g, r.x): r.r for r in ranking.mean_ranks(df.where("g IS NOT NULL AND x IS NOT NULL"), ["g"], "x", "r").collect()}
+    ranks = {(r.g, r.x): r.r for r in ranking.mean_ranks(df.where("g IS NOT NULL AND x IS NOT NULL"), ["g"], {"x": "r"}).collect()}
     for g in "abc":
         xs = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
         assert all(ranks[g, x] == np.mean([k + 1 for k, y in enumerate(xs) if y == x]) for x in set(xs))
 
 
+def test_mean_ranks_with_a_hot_value_nulls_and_nan(spark):
+    rng = random.Random(2)
+    nan = float("nan")
+    rows = [(rng.choice(["a", None]), rng.choice([5.0, rng.random() * 9, -0.0, 0.0]), rng.choice([nan, None, float(i), 7.0]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, i int").repartition(5)
+    got = {r.i: (r.rx, r.ry) for r in ranking.mean_ranks(df, ["g"], {"x": "rx", "y": "ry"}, slices=8).collect()}
+    assert len(got) == len(rows)
+    for g in ("a", None):
+        for at in (1, 2):
+            keys = [float("inf") if r[at] != r[at] else r[at] for r in rows if r[0] == g and r[at] is not None]
+            for r in rows:
+                if r[0] == g:
+                    v = float("inf") if r[at] is not None and r[at] != r[at] else r[at]
+                    assert got[r[3]][at - 1] == (None if v is None else sum(k < v for k in keys) + (sum(k == v for k in keys) + 1) / 2)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 87, 1000])
 def test_quantiles_equal_numpy(spark, n):
     x = np.round(np.random.default_rng(n).normal(size=n), 1)

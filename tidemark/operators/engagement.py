@@ -118,10 +118,8 @@ def correlations(df: DataFrame, features: list[str], metrics: list[str], least:
     long = df.select(F.explode(F.array(*(entry(c, "feature", "x") for c in features))).alias("f"), F.array(*(entry(c, "detector_metric", "y") for c in metrics)).alias("ms"))
     long = long.where("f.x IS NOT NULL").select("f.*", F.explode("ms").alias("m")).where("m.y IS NOT NULL").select("feature", "x", "m.*").where("feature <> detector_metric")
     pair = ["feature", "detector_metric"]
-    for v in ("x", "y"):
-        long = long.join(mean_ranks(long, pair, v, f"r{v}"), [*pair, v])
-    out = long.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_r")).where(F.col("n") >= least)
-    return out
+    ranked = mean_ranks(long, pair, {"x": "rx", "y": "ry"})
+    return ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_r")).where(F.col("n") >= least)
 
 
 def p_values(df: DataFrame) -> DataFrame:

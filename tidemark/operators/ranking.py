@@ -19,12 +19,27 @@ def shuffle_slice(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
+def _cuts(value: Column | str, slices: int) -> Column:
+    """Ascending, without repeats: approximate quantiles of a column's numbers (among which a NaN would disturb the order), then NaN."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    at = F.percentile_approx(F.when(~F.isnan(v), v), F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(10 * slices))
+    return F.concat(F.coalesce(F.array_distinct(at), F.expr("array()").cast("array<double>")), F.array(F.lit(float("nan"))))
+
+
+def _less(df: DataFrame, value: str, cuts: Column | str, to: str, slices: int) -> DataFrame:
+    """df with the number of cuts below a value, by halving: some eight comparisons a row in generated code, each step a projection of its own."""
+    df, step = df.withColumn(to, F.lit(0)), 1 << ((slices - 1).bit_length() - 1)
+    while step:
+        df = df.withColumn(to, F.col(to) + F.when(F.get(cuts, F.col(to) + (step - 1)) < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
+
+
 def value_slice(df: DataFrame, value: Column | str, slices: int = SLICES) -> DataFrame:
     """df with _s, the slice of a numeric value among approximate quantiles of the table; a null is in slice -1."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    cuts = df.agg(F.array_distinct(F.percentile_approx(v, F.array(*(F.lit(i / slices) for i in range(1, slices))), F.lit(10 * slices))).alias("_cuts"))
-    place = F.when(v.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.coalesce("_cuts", F.expr("array()").cast("array<double>")), lambda c: c < v)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("_s", place.cast("int")).drop("_cuts")
+    placed = _less(df.crossJoin(F.broadcast(df.agg(_cuts(v, slices).alias("_cuts")))).withColumn("_v", v), "_v", "_cuts", "_s", slices)
+    return placed.withColumn("_s", F.when(F.col("_v").isNull(), F.lit(-1)).otherwise(F.col("_s"))).drop("_cuts", "_v")
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, slices: Column | str | None = None) -> DataFrame:
@@ -40,14 +55,42 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, slice
     return own.join(counts, same).withColumn(name, F.col("_before") + F.col("_i")).select(*df.columns, name)
 
 
-def mean_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """by, value and the mean rank (from 1) of the rows that have this value in the group: one row for each different value."""
-    counted = value_slice(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), value)
-    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counted.groupBy(*by, "_s").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    within = Window.partitionBy(*by, "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    own = counted.withColumn("_less", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    return own.join(totals, [*by, "_s"]).select(*by, value, (F.col("_before") + F.col("_less") + (F.col("_n") + 1) / 2).alias(name))
+def mean_ranks(df: DataFrame, by: list[str], names: dict[str, str], slices: int = SLICES) -> DataFrame:
+    """df with the mean rank (from 1) of each row's value within its group, for each column of numbers in `names`, under the name given there.
+
+    Values are cut at quantiles of the table. Rows between two cuts are ranked by a window over the slice; rows equal to a cut
+    share one rank, which takes their number only, so they are dealt freely: a value that a third of the rows share isn't one
+    task's, and no row is joined with its value. The counts of slices, 2 * slices a group at most, are broadcast; groups are
+    few by contract. NaN is the greatest number; a row whose value is null has no rank. The cuts are found by a job of their own
+    when this is called, as approximate quantiles may come out differently when they are found again, and the counts and the
+    rows need the same ones.
+    """
+    columns = df.columns
+    found = df.agg(*(_cuts(v, slices).alias(f"_cuts{i}") for i, v in enumerate(names))).first()
+    out = df
+    for i, v in enumerate(names):
+        cuts = F.lit(found[i])
+        out = _less(out.withColumn(f"_v{i}", F.col(v).cast("double")), f"_v{i}", cuts, f"_s{i}", slices)
+        equal = F.coalesce(F.get(cuts, F.col(f"_s{i}")) == F.col(f"_v{i}"), F.lit(False))
+        out = out.withColumn(f"_s{i}", F.when(F.col(f"_v{i}").isNull(), F.lit(-1)).otherwise(2 * F.col(f"_s{i}") + equal.cast("int")))
+    sliced = out
+    out = sliced
+    for i, name in enumerate(names.values()):
+        s, v = f"_s{i}", f"_v{i}"
+        before = Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+        counts = sliced.where(F.col(v).isNotNull()).groupBy(*by, s).agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        counts = counts.select(*(F.col(c).alias(f"_by{j}") for j, c in enumerate(by)), F.col(s).alias("_s"), "_n", "_before")
+        same = F.col(s) == F.col("_s")
+        for j, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_by{j}"))
+        tied = F.col(s) % 2 != 0  # equal to a cut, or null
+        dealt = out.withColumn("_deal", F.when(tied, F.spark_partition_id()).otherwise(F.lit(-1)))
+        within = Window.partitionBy(*by, s, "_deal").orderBy(v)
+        placed = dealt.withColumn("_mean", (F.rank().over(within) + F.count(F.lit(1)).over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2)
+        rank = F.col("_before") + F.when(tied, (F.col("_n") + 1) / 2).otherwise(F.col("_mean"))
+        out = placed.join(F.broadcast(counts), same, "left").withColumn(name, rank).drop("_deal", "_mean", "_s", "_n", "_before", *(f"_by{j}" for j in range(len(by))))
+    return out.select(*columns, *names.values())
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], accuracy: int = 100_000) -> DataFrame:
