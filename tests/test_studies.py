@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry
 from tidemark.functions.stats import student_two_sided, two_sided
-from tidemark.operators import engagement, learn, metrics, neighbours, ranking, series, simulate, tables
+from tidemark.operators import charts, engagement, learn, metrics, neighbours, ranking, series, simulate, tables
 from tidemark.shared import Tables
 from tidemark.sources import ordered, sinks
 from tidemark.streaming import keyed, polling
@@ -263,3 +263,26 @@ def test_tables_are_removed(spark):
     path = t.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
     made.drop(t)
     assert not glob.glob(f"/{path.lstrip('/')}/*")
+
+
+def test_plane_keeps_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 4
+    v = centres[np.arange(240) % 8] + rng.normal(size=(240, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [float("nan")] * 16)], "k long, v array<double>")
+    got = charts.plane(df, "k", "v", perplexity=10.0, iterations=250).toPandas().sort_values("key")
+    assert got.key.tolist() == list(range(240))
+    y = got[["x", "y"]].to_numpy()
+    near = lambda m: np.argsort(((m[:, None] - m[None]) ** 2).sum(axis=2) + np.diag(np.full(240, np.inf)), axis=1)[:, :10]
+    high, low = near(v), near(y)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(high, low, strict=True)]) > 0.4  # 0.04 by chance
+    assert np.mean(low % 8 == np.arange(240)[:, None] % 8) > 0.95
+    assert len(charts.plane(df.where("k = 3"), "k", "v").collect()) == 1 and not charts.plane(df.where("k > 400"), "k", "v").collect()
+
+
+def test_charts_of_odd_rows(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("b", "y", 2.0), (None, "x", 9.0), ("a", None, 9.0), ("b", "x", None), ("b", "x", float("nan"))], "s string, g string, v double")
+    assert sorted((r.g, r.s, r.v, round(r.at, 6), r.width) for r in charts.bars(df, "g", "s", "v").collect()) == [("x", "a", 2.0, 0.8, 0.4), ("y", "b", 2.0, 2.2, 0.4)]
+    assert {r.shade for r in charts.heatmap(df, "s", "g", "v").collect()} == {0.0}
+    assert sorted((r.s, r.g, r.point) for r in charts.radar(df, "s", "g", "v").collect()) == [("a", "x", 1), ("a", "x", 3), ("b", "y", 2)]
+    assert not charts.heatmap(df.where("v > 99"), "s", "g", "v").collect()

@@ -1,11 +1,11 @@
-"""Named queries of spreads over graphs, machines on random features, keyed stream state and ordered stores, with their SQL."""
+"""Named queries of spreads over graphs, machines on random features, keyed stream state, ordered stores, data of charts and split lists, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidemark import shared
-from tidemark.operators import learn, metrics, risk, simulate
+from tidemark.operators import charts, learn, manifest, metrics, risk, simulate
 from tidemark.plans import proxies as P
 from tidemark.plans.proxies import table, with_
 from tidemark.plans.registered import query, rounded
@@ -160,3 +160,69 @@ def store_cursor(spark, d):
 def store_prefix(spark, d):
     """Keys with a prefix, from the files that may have any."""
     return ordered.with_prefix(spark, _store(spark, d), "key", "Root/src1")
+
+
+# Data of charts -------------------------------------------------------------------------------------------------------
+
+
+@query("chart_bars", with_("series").rstrip() + """,
+m AS (SELECT dataset, detector, avg(value) AS v FROM series WHERE value IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT dataset, row_number() OVER (ORDER BY dataset) AS g FROM (SELECT DISTINCT dataset FROM m)), s AS (SELECT detector, row_number() OVER (ORDER BY detector) AS s, count(*) OVER () AS n FROM (SELECT DISTINCT detector FROM m))
+SELECT dataset, detector, round(v, 6) AS value, round(g + (s - (n + 1) / 2) * 0.8::DOUBLE / n, 6) AS at, round(0.8::DOUBLE / n, 6) AS width FROM m JOIN g USING (dataset) JOIN s USING (detector)""")
+def chart_bars(spark, d):
+    """Mean value of each detector, side by side for each dataset."""
+    return charts.bars(P.series(spark, d), "dataset", "detector", "value").select("dataset", "detector", *rounded("value", "at", "width"))
+
+
+@query("chart_radar", with_("series").rstrip() + """,
+m AS (SELECT dataset, detector, avg(value) AS v FROM series WHERE value IS NOT NULL GROUP BY 1, 2), c AS (SELECT dataset, row_number() OVER (ORDER BY dataset) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT dataset FROM m)),
+p AS (SELECT detector, dataset, v, i AS point, n FROM m JOIN c USING (dataset) UNION ALL SELECT detector, dataset, v, n + 1, n FROM m JOIN c USING (dataset) WHERE i = 1),
+k AS (SELECT detector, dataset, point, 2 * pi() * (point - 1) / n AS angle, v FROM p)
+SELECT detector, dataset, point, round(angle, 6) AS angle, CASE WHEN abs(v * cos(angle)) < 5e-7 THEN 0 ELSE round(v * cos(angle), 6) END AS x, CASE WHEN abs(v * sin(angle)) < 5e-7 THEN 0 ELSE round(v * sin(angle), 6) END AS y FROM k""")
+def chart_radar(spark, d):
+    """A closed line for each detector over the datasets as axes."""
+    return charts.radar(P.series(spark, d), "detector", "dataset", "value").select("detector", "dataset", "point", *rounded("angle", "x", "y"))
+
+
+@query("chart_heatmap", with_("series").rstrip() + """,
+m AS (SELECT dataset, detector, avg(value) AS v FROM series WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT detector, dataset, dense_rank() OVER (ORDER BY detector) AS i, dense_rank() OVER (ORDER BY dataset) AS j, round(v, 6) AS value, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS shade FROM m""")
+def chart_heatmap(spark, d):
+    """Cells of detectors by datasets with their places and shades."""
+    return charts.heatmap(P.series(spark, d), "detector", "dataset", "value").select("detector", "dataset", "i", "j", *rounded("value", "shade"))
+
+
+@query("chart_plane")
+def chart_plane(spark, d):
+    """A layout in the plane of a sample of the vectors, neighbours beside each other."""
+    return charts.plane(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+# Folders with lists of splits -----------------------------------------------------------------------------------------
+
+_SPLIT = "CASE WHEN doc_id % 7 < 4 THEN 'train' WHEN doc_id % 7 < 6 THEN 'val' ELSE 'test' END"
+_FOLDERS = ["original_sequences/youtube", "manipulated_sequences/Deepfakes", "manipulated_sequences/Face2Face", "manipulated_sequences/FaceSwap", "manipulated_sequences/NeuralTextures"]
+
+
+@query("layout_compressed", f"""SELECT label, split, compression, doc_id::VARCHAR AS video, frames FROM (SELECT doc_id, {_SPLIT} AS own, doc_id % 10 = 0 AS unlisted, 1 + coalesce(n_chars, 0) % 3 AS frames,
+  CASE doc_id % 5 WHEN 0 THEN 'FF-real' WHEN 1 THEN 'FF-DF' WHEN 2 THEN 'FF-F2F' WHEN 3 THEN 'FF-FS' ELSE 'FF-NT' END AS label, CASE doc_id % 3 WHEN 0 THEN 'c23' WHEN 1 THEN 'c40' ELSE 'raw' END AS compression FROM documents)
+JOIN (SELECT unnest(['train', 'val', 'test']) AS split) ON unlisted OR split = own""")
+def layout_compressed(spark, d):
+    """Frames below folders of a manipulation and a compression, with a list of splits; real videos that it leaves out are in all of them."""
+    docs = table(spark, d, "documents")
+    at = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("doc_id") % n).cast("int"))
+    video = F.col("doc_id").cast("string")
+    frame = F.explode(F.sequence(F.lit(1), (1 + F.coalesce("n_chars", F.lit(0)) % 3).cast("int")))
+    paths = docs.select(at(_FOLDERS, 5).alias("f"), at(["c23", "c40", "raw"], 3).alias("c"), video.alias("v"), frame.alias("i")).select(F.concat_ws("/", F.lit("/d/FaceForensics++"), "f", "c", F.lit("frames"), "v", F.concat(F.col("i").cast("string"), F.lit(".png"))).alias("path"))
+    splits = docs.where("doc_id % 10 <> 0").select(video.alias("video"), F.expr(_SPLIT).alias("split"))
+    return manifest.by_layout(paths, "FaceForensics++", splits=splits).select("label", "split", "compression", "video", F.size("frames").cast("long").alias("frames"))
+
+
+@query("layout_labels_listed", f"SELECT CASE WHEN toxic = 1 THEN 'DFDC_Fake' ELSE 'DFDC_Real' END AS label, {_SPLIT} AS split, doc_id::VARCHAR AS video FROM (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1)")
+def layout_labels_listed(spark, d):
+    """Folders that don't tell the label, which the list of splits does."""
+    rows = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    video = F.col("doc_id").cast("string")
+    paths = rows.select(F.concat(F.lit("/d/DFDC/test/frames/"), video, F.lit("/0.png")).alias("path"))
+    splits = rows.select(video.alias("video"), F.expr(_SPLIT).alias("split"), F.when(F.col("toxic") == 1, "DFDC_Fake").otherwise("DFDC_Real").alias("label"))
+    return manifest.by_layout(paths, "DFDC", splits=splits).select("label", "split", "video")
