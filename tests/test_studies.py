@@ -286,3 +286,10 @@ def test_charts_of_odd_rows(spark):
     assert {r.shade for r in charts.heatmap(df, "s", "g", "v").collect()} == {0.0}
     assert sorted((r.s, r.g, r.point) for r in charts.radar(df, "s", "g", "v").collect()) == [("a", "x", 1), ("a", "x", 3), ("b", "y", 2)]
     assert not charts.heatmap(df.where("v > 99"), "s", "g", "v").collect()
+
+
+def test_quantiles_of_many_partitions(spark):
+    x = np.random.default_rng(4).normal(size=40_000).round(2)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(16)
+    got = ranking.quantiles(df, "x", [0.0, 0.2, 0.5, 0.8, 1.0], accuracy=100).first()
+    assert np.allclose(list(got), np.quantile(x, [0.0, 0.2, 0.5, 0.8, 1.0]), atol=1e-12)

@@ -98,17 +98,19 @@ def quantiles(df: DataFrame, value: str, shares: list[float], accuracy: int = 10
 
     Exact, in two passes over the rows, however many shares: an approximation (off by one in `accuracy` ranks at most) brackets
     each rank; then values within brackets are counted one by one, those between brackets together with their least and
-    greatest, as a rank can be one beside its bracket. The counts are summed in slices.
+    greatest, as a rank can be one beside its bracket. The counts are summed in slices. Approximations found twice can differ, so
+    this needs spark.sql.exchange.reuse, which is on unless it is turned off.
     """
     rows = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
     slack = 4 / accuracy
     ends = F.array(*(F.lit(min(1.0, max(0.0, q + d))) for q in shares for d in (-slack, slack)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", ends, F.lit(accuracy)).alias("e"))
+    # One column, the count first, so that no branch of the plan needs less of it than another and all read the same broadcast.
+    stats = rows.agg(F.concat(F.array(F.count(F.lit(1)).cast("double")), F.percentile_approx("x", ends, F.lit(accuracy))).alias("e"))
     inside, below = F.lit(False), F.lit(0)
     for i in range(len(shares)):
-        inside = inside | F.col("x").between(F.col("e")[2 * i], F.col("e")[2 * i + 1])
-        below = below + (F.col("x") > F.col("e")[2 * i + 1]).cast("int")
-    near = rows.crossJoin(F.broadcast(stats)).select("x", "n", F.when(inside, F.col("x")).alias("at"), below.alias("below"))
+        inside = inside | F.col("x").between(F.col("e")[2 * i + 1], F.col("e")[2 * i + 2])
+        below = below + (F.col("x") > F.col("e")[2 * i + 2]).cast("int")
+    near = rows.crossJoin(F.broadcast(stats)).select("x", F.col("e")[0].alias("n"), F.when(inside, F.col("x")).alias("at"), below.alias("below"))
     counts = near.groupBy("at", "below").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("n").alias("n"))
     sliced = value_slice(counts, "lo")
     before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # of SLICES rows
