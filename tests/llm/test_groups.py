@@ -353,7 +353,7 @@ def test_jaccard_keep_of_repeated_ids(spark, table):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (0, a), (1, a), (1, b), (4, "")])
 
 
-@pytest.mark.parametrize("name", ["gone", "rest", "_gone", "Gone", "lines", "removed", "h", "salt", "site", "first_doc"])
+@pytest.mark.parametrize("name", ["gone", "own", "every", "place", "_gone", "Gone", "lines", "removed", "h", "salt", "site", "first_doc"])
 def test_line_dedup_bears_clashing_names(spark, table, name):
     docs = table([(i, f"shared\nown {i}", "en", f"s{i}") for i in range(11)], extra=False).withColumn(name, F.lit("x"))
     kept = linededup.keep(spark, docs)
@@ -369,6 +369,15 @@ def test_line_dedup_ties_and_long_texts(spark, table):
     assert [x[:2] for x in out if x[0] == 1] == [(1, 0), (1, 0)] and (50, 1, len(long)) in out
 
 
+def test_line_dedup_of_repeated_ids_and_many_shared_lines(table):
+    shared = [f"shared {i}" for i in range(5000)]
+    rows = [(i, "\n".join(shared), "en", f"s{i}") for i in range(12)]
+    rows += [(50, "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}", "")), "en", "s0")] * 2 + [(50, "shared 1\nnothing else\nshared 1", "en", "s1"), (50, None, "en", "s1"), (50, "", "en", "s1")]
+    out = sorted((r.n_lines, r.n_removed, r.text) for r in linededup.clean(table(rows)).where("doc_id = 50").collect() if r.text is not None)
+    own = "\n".join(x for i in range(5000) for x in (f"own {i}", ""))
+    assert out == [(1, 0, ""), (3, 2, "nothing else"), (15000, 5000, own), (15000, 5000, own)]
+
+
 def test_models_of_mllib_still_work_afterwards(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector

@@ -43,7 +43,9 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, before, state = new, state, after
         if state == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found.stored_at = now.stored_at
+    return found
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -9,7 +9,9 @@ on at least SITES distinct sites is boilerplate: it stays in the document with t
 smallest doc_id that carries it and goes from all others.
 
 The hot side of the join back to the documents' lines is salted, so one line that a
-third of all documents share is dealt over SALTS groups.
+third of all documents share is dealt over SALTS groups. The join gives the places of
+the lines that go, by both hashes (96 bits); what is left is picked by place, so the work
+on a text is linear in its lines, however many of them are boilerplate.
 
 Defined results: a null site counts as one site without a name; a null text has no
 lines and stays null; an empty text has one empty line. Repeated rows (the same
@@ -56,22 +58,21 @@ def spread(docs: DataFrame, sites: int = SITES, site: str = "source", least: int
 def clean(docs: DataFrame, sites: int = SITES, site: str = "source", least: int = LEAST, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with boilerplate lines taken out of text, and the numbers of lines and of those taken out, which replace columns of these names."""
     boiler = spread(docs, sites, site, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    own, taken, every = fresh(docs.columns, "own"), fresh(docs.columns, "gone"), fresh(docs.columns, "every")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias(own))  # hashed below the explosion, not for each line
+    lines = texts.select("doc_id", own, F.posexplode(F.split("text", "\n")).alias("place", "line"))
     h, g = _hash(F.col("line"))
-    lines = lines.where(F.length("line") >= least).select("doc_id", h.alias("h"), g.alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    taken, rest = fresh(docs.columns, "gone"), fresh(docs.columns, "rest")
-    gone = lines.join(boiler, ["h", "g", "salt"]).where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("h").alias(taken))
-    joined = docs.join(gone, "doc_id", "left")
-    every = F.split("text", "\n")
-    left = F.when(F.col(taken).isNotNull(), F.filter(every, lambda x: (F.length(x) < least) | ~F.array_contains(F.col(taken), F.xxhash64(x)))).otherwise(every)
-    out = joined.withColumn(rest, left)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    lines = lines.where(F.length("line") >= least).select("doc_id", own, "place", h.alias("h"), g.alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    gone = lines.join(boiler, ["h", "g", "salt"]).where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id", own).agg(F.collect_set("place").alias(taken))
+    out = docs.withColumn(own, F.xxhash64("text")).join(gone, ["doc_id", own], "left").withColumn(every, F.split("text", "\n"))
     changed = F.col(taken).isNotNull() & F.col("text").isNotNull()
-    text = F.when(changed, F.array_join(rest, "\n")).otherwise(F.col("text"))
+    # `every` stands here twice, so the optimizer keeps it as a column and doesn't split the text anew for each place.
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(taken)), lambda i: F.get(F.col(every), i))
+    text = F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text"))
     columns = {c: x for c, x in zip(docs.columns, named(docs), strict=True) if c not in counts} | {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    numbers = (size(every), size(every) - size(F.col(rest)))
+    numbers = (F.size(every), F.when(changed, F.size(taken)).otherwise(F.lit(0)))
     return out.select(*(v.alias(k) for k, v in columns.items()), *(F.when(F.col("text").isNull(), 0).otherwise(x).cast("long").alias(c) for c, x in zip(counts, numbers, strict=True)))
 
 

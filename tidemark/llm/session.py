@@ -38,11 +38,13 @@ def lean(spark: SparkSession) -> SparkSession:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+    """df as a Parquet table in the shared folder, read again; its folder is kept as `stored_at`."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def mounted(spark: SparkSession, name: str) -> str:
@@ -58,10 +60,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table that `stored` wrote."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes the folder of a table that `stored` gave."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(columns: list[str], name: str) -> str:
