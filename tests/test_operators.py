@@ -134,6 +134,12 @@ def test_mean_roc(spark):
     assert [round(r.tpr, 6) for r in got] == [0.0, 0.5, 1.0, 1.0, 1.0] and one(metrics.trapezoid(metrics.mean_roc(metrics.curve(df, by=("batch",)), "batch", 5))).area > 0.7
 
 
+def test_mean_roc_has_zero_where_every_score_has_false_positives(spark):
+    df = spark.createDataFrame([(b, p, y) for b in (0, 1) for p in (0.9, 0.5) for y in (0, 1)], "batch int, prob double, label int")
+    got = metrics.mean_roc(metrics.curve(df, by=("batch",)), "batch", 5).orderBy("fpr").collect()
+    assert [(r.fpr, round(r.tpr, 6)) for r in got] == [(0.0, 0.0), (0.25, 0.25), (0.5, 0.5), (0.75, 0.75), (1.0, 1.0)]
+
+
 def test_histogram_puts_the_maximum_in_the_last_bin(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
     got = {r.bin: r.n for r in metrics.histogram(df, "x").collect()}

@@ -124,8 +124,8 @@ def mean_roc(c: DataFrame, by: str, points: int = 100) -> DataFrame:
     # The curve begins at (0, 0); between two rates it goes from the highest value at the lower to the lowest value at the upper one.
     spans = steps.select(by, F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("x0"), F.coalesce(F.lag("hi").over(w), F.lit(0.0)).alias("y0"), F.col("fpr").alias("x1"), F.col("lo").alias("y1"), F.col("hi").alias("top"))
     last = points - 1
-    first = F.when(F.col("x0") == F.col("x1"), F.ceil(F.col("x1") * last)).otherwise(F.floor(F.col("x0") * last) + 1)
-    grid = spans.withColumn("i", F.explode(F.when(first <= F.floor(F.col("x1") * last), F.sequence(first, F.floor(F.col("x1") * last)))))
+    # Both ends count, so that 0 has a value where every score has false positives; where spans meet, the higher value is taken below.
+    grid = spans.withColumn("i", F.explode(F.filter(F.sequence(F.floor(F.col("x0") * last), F.ceil(F.col("x1") * last)), lambda i: (i / last).between(F.col("x0"), F.col("x1")))))
     x = F.col("i") / last
     at = F.when(x >= F.col("x1"), F.col("top")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (x - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)))
     mean = grid.groupBy(by, "i").agg(F.max(at).alias("y")).groupBy("i").agg(F.avg("y").alias("y"))
