@@ -293,3 +293,11 @@ def test_quantiles_of_many_partitions(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(16)
     got = ranking.quantiles(df, "x", [0.0, 0.2, 0.5, 0.8, 1.0], accuracy=100).first()
     assert np.allclose(list(got), np.quantile(x, [0.0, 0.2, 0.5, 0.8, 1.0]), atol=1e-12)
+
+
+def test_file_list_takes_every_folder_with_the_text_in_its_name(spark, tmp_path):
+    from tidemark.plans import queries
+
+    rows = [(1, "src1"), (2, "src10"), (3, "1/a"), (10, "src2"), (4, None), (5, "x/1y")]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.path for r in queries.QUERIES["file_list"](spark, str(tmp_path)).collect()} == {"Root/src1/1", "Root/src10/2", "Root/1/a/3", "Root/x/1y/5"}
