@@ -86,6 +86,24 @@ def test_spread_equals_brute_force(spark):
     assert simulate.spread(df, graph.limit(0), 2).count() == 0
 
 
+def test_spread_within_packed_components_equals_spread_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(simulate, "POOL", 40)
+    monkeypatch.setattr(simulate, "SHARE", 8)
+    rng = random.Random(5)
+    edges = [(f"c{c}n{rng.randrange(12)}", f"c{c}n{rng.randrange(12)}") for c in range(6) for _ in range(9 + 6 * c)] + [(f"chain{i}", f"chain{i + 1}") for i in range(40)]
+    graph = spark.createDataFrame(edges, "u string, v string")
+    df = spark.createDataFrame([(f"é{i}" * (1 + i % 30), rng.random(), rng.random()) for i in range(120)], "image string, content_score double, cred_score double")
+    found = [{tuple(r) for r in simulate.spread(df, graph, 4, base, bin_edges=most).collect()} for base in (0.1, 1.0) for most in (0, 60, 1 << 20)]
+    assert len(found[0]) == 120 and found[0] == found[1] == found[2] and found[3] == found[4] == found[5] != found[0]
+
+
+def test_md5_of_many_texts(spark):
+    digits = np.random.default_rng(0).integers(48, 58, (4, 9)).astype(np.uint8)
+    for n in range(0, 130, 3):
+        start = ("é:" * 70).encode()[:n]
+        assert simulate.hashed(start, digits).tolist() == [int(hashlib.md5(start + bytes(r)).hexdigest()[:13], 16) / (1 << 52) for r in digits]
+
+
 def ring(spark, n, seed, share=0.5):
     """label 1 outside a ring, which no linear boundary tells."""
     rng = np.random.default_rng(seed)
