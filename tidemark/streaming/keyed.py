@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tidemark.operators.series import stop_after
@@ -20,73 +21,48 @@ def on_disk(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class EarlyStop(StatefulProcessor):
-    """Best value, count and whether to stop, of each series. A row's result is given once, in the order within each micro-batch."""
-
-    def __init__(self, order: str, score: str, patience: int, delta: float):
-        self.order, self.score, self.patience, self.delta = order, score, patience, delta
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("best", "best double, counter int, stop boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")  # of one key and one micro-batch
-        before = self.state.get() if self.state.exists() else None
-        steps = stop_after(frame[self.score].astype(float).tolist(), self.patience, self.delta, before)
-        self.state.update(steps[-1])
-        out = frame.assign(best=[x for x, _, _ in steps], counter=[x for _, x, _ in steps], stop=[x for _, _, x in steps])
-        yield out.astype({"counter": "int32"})
-
-    def close(self) -> None:
-        pass
-
-
 def early_stop(stream: DataFrame, by: list[str], order: str, score: str, patience: int = 5, delta: float = -0.001) -> DataFrame:
     """A stream of metrics with best, counter and stop after each row, as `series.early_stop` has for a table; the state is three values a series, however long that is.
 
-    Rows of a series must come in order from batch to batch; within a batch they are sorted.
+    Rows of a series must come in order from batch to batch; within a batch they are sorted. State comes and goes with the rows of many keys at once.
     """
     on_disk(stream.sparkSession)
     schema = StructType([*stream.schema, *_parse_datatype_string("best double, counter int, stop boolean")])
-    return stream.groupBy(*by).transformWithStateInPandas(EarlyStop(order, score, patience, delta), schema, "Append", "None")
 
+    def work(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frame = _sorted(rows, order)
+        steps = stop_after(frame[score].astype(float).tolist(), patience, delta, state.getOption)
+        state.update(steps[-1])
+        yield frame.assign(best=[x for x, _, _ in steps], counter=np.array([x for _, x, _ in steps], np.int32), stop=[x for _, _, x in steps])
 
-class FirstWithin(StatefulProcessor):
-    """The first row of a key; the key is forgotten `keep` milliseconds of event time after it."""
+    return stream.groupBy(*by).applyInPandasWithState(work, schema, "best double, counter int, stop boolean", "append", GroupStateTimeout.NoTimeout)
 
-    def __init__(self, at: str, keep: int):
-        self.at, self.keep = at, keep
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("until", "until long")
+def first_within(stream: DataFrame, keys: list[str], at: str = "at", keep_seconds: int = 86_400, delay: str = "1 hour") -> DataFrame:
+    """The first row of equal keys and each that comes `keep_seconds` or more of event time after the one given last. A key's state goes when the watermark has passed that time; rows later than the watermark are left out."""
+    on_disk(stream.sparkSession)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        frame = pd.concat(list(rows)).sort_values(self.at, kind="stable")
-        until = self.state.get()[0] if self.state.exists() else None
+    def work(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame = _sorted(rows, at)
+        until = state.get[0] if state.exists else None
         keep = []
-        for i, at in enumerate(frame[self.at]):
-            now = int(at.timestamp() * 1000)
+        for i, moment in enumerate(frame[at]):
+            now = int(moment.timestamp() * 1000)
             if until is None or now >= until:
-                if until is not None:
-                    self.handle.deleteTimer(until)
-                until = now + self.keep
+                until = now + keep_seconds * 1000
                 keep.append(i)
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if keep:
-            self.state.update((until,))
-            self.handle.registerTimer(until)
             yield frame.iloc[keep]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        self.state.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
+    return stream.withWatermark(at, delay).groupBy(*keys).applyInPandasWithState(work, stream.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_within(stream: DataFrame, keys: list[str], at: str = "at", keep_seconds: int = 86_400, delay: str = "1 hour") -> DataFrame:
-    """The first row of equal keys and each that comes `keep_seconds` or more of event time after the one given last. A key's state goes when the watermark has passed that time; rows later than the watermark are left out."""
-    on_disk(stream.sparkSession)
-    timed = stream.withWatermark(at, delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(FirstWithin(at, keep_seconds * 1000), stream.schema, "Append", "EventTime")
+def _sorted(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """The rows of one key and one micro-batch."""
+    frames = list(rows)
+    return (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(by, kind="stable")
