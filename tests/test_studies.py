@@ -56,6 +56,31 @@ def test_neighbours_take_fewer_distances_than_all_pairs(spark, monkeypatch):
     assert share[1] < share[0] / 2 and share[1] < 0.25
 
 
+def test_neighbours_send_a_vector_once_a_group_not_once_a_visit(spark, monkeypatch):
+    rows = {}
+
+    class Counted(neighbours.Tables):
+        def stored(self, df, name):
+            table = super().stored(df, name)
+            rows[name] = table.count()
+            return table
+
+    monkeypatch.setattr(neighbours, "Tables", Counted)
+    x = np.random.default_rng(4).normal(size=(600, 32))  # nothing to skip
+    assert lists(neighbours.nearest(vectors(spark, x), "id", "v", 3).collect()) == brute_neighbours(x, 3)
+    assert rows["visits"] <= 600 and rows["answers"] <= 600 * 4
+
+
+def test_neighbours_where_single_precision_is_too_coarse(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for name, value in (("TILE", 16), ("VISITS", 40), ("SHARE", 30), ("BLOCK", 256)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    far = 1e6 * rng.integers(0, 3, (90, 4)) + rng.normal(size=(90, 4)) * 1e-3
+    x = np.concatenate([far, far[:20], rng.normal(size=(30, 4)) * 1e-30, np.full((12, 4), 1e200) * rng.integers(1, 3, (12, 1))])
+    with np.errstate(over="ignore"):
+        assert lists(neighbours.nearest(vectors(spark, x), "id", "v", 4).collect()) == brute_neighbours(x, 4)
+
+
 def draw(*names):
     return int(hashlib.md5(":".join(map(str, names)).encode()).hexdigest()[:13], 16) / (1 << 52)
 

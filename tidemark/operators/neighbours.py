@@ -5,13 +5,17 @@ class lies in the cell of its nearest pivot. A first round compares the classes
 a cell, which gives every class a distance within which its neighbours lie. By the triangle
 inequality no vector of a cell is nearer than the distance to its pivot less the cell's radius,
 and by the cell's border (its vectors are no nearer to another pivot) no nearer than
-(d(x, other)^2 - d(x, own)^2) / (2 d(own, other)). A second round sends each class to the cells whose
-bounds are within its distance, tile by tile, and keeps the best k + 1. Nothing depends on the
-pivots but the number of distances.
+(d(x, other)^2 - d(x, own)^2) / (2 d(own, other)). In a second round classes of cells beside each other
+ask as a group. A task compares a group with a share of the cells that any of it visits, each class
+with the cells whose bounds are within the distance that it has by then, and keeps its best k + 1.
+So a vector is sent once for each group or share, not for each visit. Products of matrices in single
+precision, with a bound of their rounding, leave few pairs, whose distances are found from the
+differences in double precision. Nothing depends on the pivots but the number of distances.
 
 The pivots (PIVOTS at most, about the square root of the number of classes) and a line of statistics
-for each are all that the driver and every task hold. Tiles have TILE rows, and so many visitors of
-one tile that they pass VISITS are dealt to several tasks, each with the tile.
+for each are all that the driver and every task hold. Tiles have about TILE rows, groups about VISITS and
+shares about SHARE; smaller tables have smaller ones, so that there is work for all cores. Where vectors are
+spread evenly in many dimensions the work is the square of the table's rows, in more tasks, not larger ones.
 """
 
 from __future__ import annotations
@@ -28,20 +32,29 @@ from tidemark.shared import Tables
 
 PIVOTS = 2048
 TILE = 1024
-VISITS = 1 << 16
-#: Doubles of one block of differences.
-BLOCK = 1 << 21
+VISITS = 1 << 15
+SHARE = 1 << 16
+#: Numbers of one block of products.
+BLOCK = 1 << 19
 #: By how much rounding can move a distance, with room to spare.
 SLACK = 1e-9
 
 
+def _off(x: np.ndarray, y: np.ndarray | float, size: int, kind: type = np.float64) -> np.ndarray:
+    """By how much squared distances found from products of vectors of these norms may be off, with room to spare."""
+    return (4 * size + 16) * np.finfo(kind).eps * (x + y) ** 2 + 1e-35 * (1 + x + y)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of rows of x by rows of y, and by how much they may be off."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        return xx[:, None] + yy - 2 * (x @ y.T), _off(np.sqrt(xx)[:, None], np.sqrt(yy), x.shape[1])
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rows of x by rows of y."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, BLOCK // max(1, y.size))
-    for at in range(0, len(x), step):
-        out[at : at + step] = np.sqrt(((x[at : at + step, None, :] - y[None]) ** 2).sum(axis=2))
-    return out
+    """Of each row of x to that of y."""
+    return np.sqrt(((x - y) ** 2).sum(axis=1))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -67,52 +80,132 @@ class Pivots:
             own = [i for i, v in enumerate(vectors) if len(v) == d]
             self.by_size[d] = np.array(own), np.array([vectors[i] for i in own], np.float64)
         self.radius: dict[int, float] = {}
-        self.tiles: dict[int, int] = {}
+        self._between: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_between": {}}  # as large as the square of the pivots; each task finds it again
+
+    def between(self, size: int) -> np.ndarray:
+        """Distances of the pivots, none too short."""
+        if size not in self._between:
+            d, off = _squares(self.by_size[size][1], self.by_size[size][1])
+            self._between[size] = np.sqrt(np.maximum(d, 0) + off)
+        return self._between[size]
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell of each vector, and its distance to the pivot."""
         if x.shape[1] not in self.by_size:
             return np.full(len(x), -x.shape[1]), np.zeros(len(x))
         number, pivots = self.by_size[x.shape[1]]
-        d = distances(x, pivots)
-        at = d.argmin(axis=1)
-        return number[at], d[np.arange(len(x)), at]
+        at = np.empty(len(x), np.int64)
+        step = max(1, BLOCK // len(pivots))
+        for i in range(0, len(x), step):
+            at[i : i + step] = np.nan_to_num(_squares(x[i : i + step], pivots)[0], nan=np.inf).argmin(axis=1)
+        return number[at], distances(x, pivots[at])
 
-    def visits(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and the cells that may hold a vector within reach."""
-        if x.shape[1] not in self.by_size:
-            return np.arange(len(x)), np.full(len(x), -x.shape[1])
-        number, pivots = self.by_size[x.shape[1]]
-        d = distances(x, pivots)
-        at = d.argmin(axis=1)
-        own, between = d[np.arange(len(x)), at], distances(pivots, pivots)[at]
-        low = d - np.array([self.radius.get(int(i), -np.inf) for i in number])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            border = np.where(between > 0, (d**2 - own[:, None] ** 2) / (2 * between), 0)
-        near = np.maximum(low, border) <= (reach + SLACK * (1 + reach))[:, None]
-        near &= np.isin(number, list(self.radius))
-        row, cell = np.nonzero(near)
-        return row, number[cell]
-
-
-def _best(d: np.ndarray, keys: list[list[int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of distances the k nearest keys, of equals the smaller ones; a column stands for several keys."""
-    count = np.array([len(x) for x in keys])
-    flat = np.concatenate([np.array(x, np.int64) for x in keys])
-    column = np.repeat(np.arange(len(keys)), count)
-    out = []
-    for row in d:
-        if len(row) > 2 * k:  # every column has a key at least
-            limit = np.partition(row, k - 1)[k - 1]
-            near = row[column] <= limit
-            c, f = column[near], flat[near]
-        else:
-            c, f = column, flat
-        order = np.lexsort((f, row[c]))[:k]
-        out.append((f[order], row[c][order]))
+    def visits(self, x: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and the cells (all, or one of these) that may hold a vector within reach of a row, whose own cell is given."""
+        size = x.shape[1]
+        if size not in self.by_size:
+            return np.arange(len(x)), np.full(len(x), -size)
+        number, pivots = self.by_size[size]
+        used = np.flatnonzero(np.isin(number, list(self.radius) if cells is None else cells))
+        home = np.searchsorted(number, own)
+        radius, norm = np.array([self.radius[i] for i in number[used].tolist()]), np.sqrt(np.einsum("ij,ij->i", pivots, pivots))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            d, off = _squares(x, pivots[used])
+            low = np.sqrt(np.maximum(d - off, 0)) - radius
+            # rounding may have put a vector of the cell beyond its border, too
+            beyond = 2 * _off(2 * norm[used] + radius, norm[home][:, None], size)
+            far = d - off - distances(x, pivots[home])[:, None] ** 2 - beyond
+            border = np.where(number[used] == own[:, None], 0, far / (2 * self.between(size)[home][:, used]))
+            row, cell = np.nonzero(~((low > (reach + SLACK * (1 + reach))[:, None]) | (border > (reach + SLACK * (1 + reach))[:, None])))
+        return row, number[used][cell]
+
+    def in_order(self) -> list[list[int]]:
+        """The cells that have rows, by length of vector, each followed by the nearest one that isn't there yet."""
+        out = [[c] for c in sorted(self.radius) if c < 0]
+        for size, (number, _) in self.by_size.items():
+            left = np.isin(number, list(self.radius))
+            at, order = int(left.argmax()), []
+            for _ in range(int(left.sum())):
+                left[at] = False
+                order.append(int(number[at]))
+                at = int(np.where(left, np.nan_to_num(self.between(size)[at], nan=np.finfo(float).max, posinf=np.finfo(float).max), np.inf).argmin())
+            out.append(order)
+        return out
+
+
+def packed(cells: list[list[int]], rows: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """cell, the first of its bins and how many it has, bins being numbered and of about `most` rows: small cells of a list share one, a large cell has several."""
+    out, at = [], 0
+    for one in cells:
+        held = 0
+        for cell in one:
+            bins = -(-rows[cell] // most)
+            if held and (bins > 1 or held + rows[cell] > most):
+                at, held = at + 1, 0
+            out.append((cell, at, bins))
+            held += rows[cell]
+            if bins > 1:
+                at, held = at + bins, 0
+        at += held > 0
     return out
 
 
+class Asking:
+    """The classes of a group, what is nearest to each of what it has met, and how far it still has to look."""
+
+    def __init__(self, pivots: Pivots, x: np.ndarray, own: np.ndarray, reach: np.ndarray, k: int):
+        self.pivots, self.x, self.own, self.reach, self.k = pivots, x, own, reach.copy(), k
+        self.distance, self.key = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        self.found, self.met = np.zeros((len(x), k), bool), np.zeros(len(x), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def meet(self, cell: int, y: np.ndarray, keys: np.ndarray) -> None:
+        """Vectors of a cell and the smallest key of each."""
+        step = max(1, BLOCK // max(y.shape))
+        middle = y[0] if cell < 0 else self.pivots.by_size[y.shape[1]][1][np.searchsorted(self.pivots.by_size[y.shape[1]][0], cell)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            b = y - middle
+            bb = np.einsum("ij,ij->i", b, b)
+            b, widest = np.column_stack([b, -bb / 2]).astype(np.float32).T, np.sqrt(bb.max())
+            rows = self.pivots.visits(self.x, self.own, self.reach, np.array([cell]))[0]
+            self.met[rows] += len(y)
+            for at in range(0, len(rows), step):
+                r = rows[at : at + step]
+                a = self.x[r] - middle
+                aa = np.einsum("ij,ij->i", a, a)
+                least = (aa - self.reach[r] ** 2 * (1 + SLACK) - _off(np.sqrt(aa), widest, y.shape[1], np.float32)) / 2
+                a = np.column_stack([a, np.ones(len(a))]).astype(np.float32)
+                flat = np.flatnonzero(~(a @ b < least.astype(np.float32)[:, None]))  # what isn't a number stays
+                for i in range(0, len(flat), step):
+                    row, column = r[flat[i : i + step] // len(y)], flat[i : i + step] % len(y)
+                    d = distances(self.x[row], y[column])
+                    near = d <= self.reach[row]
+                    self.waiting.append((row[near], d[near], keys[column[near]]))
+                    self.n += int(near.sum())
+                    if self.n > 4 * len(self.x) + step:
+                        self.settle()
+
+    def settle(self) -> None:
+        """The best k of those so far and of those that wait, by distance and key."""
+        if not self.n:
+            return
+        row, d, key = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n = [], 0
+        rows, at = np.unique(row, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        d, key = np.concatenate([self.distance[rows].ravel(), d]), np.concatenate([self.key[rows].ravel(), key])
+        found = np.concatenate([self.found[rows].ravel(), np.ones(len(row), bool)])
+        order = np.lexsort((~found, key, d, at))
+        count = np.bincount(at)
+        kept = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < self.k]
+        self.distance[rows], self.key[rows], self.found[rows] = (x[kept].reshape(-1, self.k) for x in (d, key, found))
+        self.reach[rows] = np.minimum(self.reach[rows], self.distance[rows, -1])
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = 100, include_self: bool = False) -> DataFrame:
     """key, neighbour, distance, rank, compared: the k nearest other rows of each row by Euclidean distance, of equals the smaller key. Exact.
 
@@ -142,68 +235,98 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 100, include_self: bo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
 
     cells = tables.stored(classes.select("f", "g", "v", "keys").mapInArrow(place, "f long, g long, v array<double>, keys array<long>, cell long, away double"), "cells")
+    held = {}
     for r in cells.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
-        pivots.radius[r.cell], pivots.tiles[r.cell] = r.radius, -(-r.n // TILE)
-    sizes = spark.createDataFrame([(c, t) for c, t in pivots.tiles.items()], "cell long, tiles int")
-    tiled = cells.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod("g", "tiles").cast("int"))
+        pivots.radius[r.cell], held[r.cell] = r.radius, r.n
+    order, side = pivots.in_order(), int((4 * spark.sparkContext.defaultParallelism) ** 0.5) + 1  # some tasks for each core
+    groups, shares = (packed(order, held, min(most, max(TILE, -(-n // side)))) for most in (VISITS, SHARE))
+    tasks = (1 + max((a + b for _, a, b in groups), default=0)) * (1 + max((a + b for _, a, b in shares), default=0))
+    places = spark.createDataFrame([(c, -(-held[c] // TILE), g, gs, s, ss) for (c, g, gs), (_, s, ss) in zip(groups, shares, strict=True)], "cell long, tiles int, g0 int, gn int, s0 int, sn int")
+    tiled = cells.join(F.broadcast(places), "cell").select(
+        "f", "g", "v", "keys", "cell", F.pmod("g", "tiles").cast("int").alias("tile"),
+        (F.col("g0") + F.pmod("f", "gn")).cast("int").alias("group"), (F.col("s0") + F.pmod(F.pmod("g", "tiles"), "sn")).cast("int").alias("share"),
+    )
 
     def bound(table: pa.Table) -> pa.Table:
         """Within a tile: how far the k nearest keys besides one of its own reach at most."""
         x = _matrix(table.column("v"))
         count = np.asarray(pc.list_value_length(table.column("keys")))
-        d = distances(x, x)
-        order = np.argsort(d, axis=1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d, off = _squares(x - x[0], x - x[0])
+            d = np.nan_to_num(np.maximum(d, 0) + off, nan=np.inf)
+        np.fill_diagonal(d, 0)
+        order = np.argpartition(d, k, axis=1)[:, : k + 1] if len(x) > k + 1 else np.broadcast_to(np.arange(len(x)), d.shape)
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, 1), axis=1), 1)
         enough = np.cumsum(count[order], axis=1) > k
         at = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
-        reach = np.where(enough.any(axis=1), np.take_along_axis(d, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], np.inf)
-        return pa.table({"f": table.column("f"), "g": table.column("g"), "v": table.column("v"), "reach": reach, "met": np.full(len(x), len(x), np.int64)})
+        reach = np.where(enough.any(axis=1), np.sqrt(np.take_along_axis(d, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]), np.inf)
+        return pa.table([*(table.column(c) for c in ("f", "g", "v", "cell", "group")), pa.array(reach), pa.array(np.full(len(x), len(x), np.int64))], names=["f", "g", "v", "cell", "group", "reach", "met"])
 
-    bounded = tables.stored(tiled.select("cell", "tile", "f", "g", "v", "keys").groupBy("cell", "tile").applyInArrow(bound, "f long, g long, v array<double>, reach double, met long"), "reach")
+    bounded = tables.stored(tiled.groupBy("cell", "tile").applyInArrow(bound, "f long, g long, v array<double>, cell long, group int, reach double, met long"), "reach")
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells that a batch's rows visit, once for each group."""
         for batch in batches:
-            for d, own in _sizes(batch.column(2)):
-                step = max(1, BLOCK // max(1, len(pivots.by_size.get(d, ([],))[0]) * 4))
-                for at in range(0, len(own), step):
-                    part = own[at : at + step]
-                    row, cell = pivots.visits(_matrix(batch.column(2), part), np.asarray(batch.column(3))[part])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part[row])), batch.column(1).take(pa.array(part[row])), pa.array(cell)], names=["f", "g", "cell"])
-
-    calls = tables.stored(bounded.select("f", "g", "v", "reach").mapInArrow(visits, "f long, g long, cell long"), "visits")
-    parts_of = calls.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("shares")).join(sizes, "cell")
-    asked = calls.join(F.broadcast(parts_of), "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("share", F.pmod("f", "shares").cast("int"))
-    nothing = F.lit(None).cast("array<long>")
-    asked = asked.join(bounded.select("f", "g", "v"), ["f", "g"]).select("cell", "tile", "share", F.lit(1).alias("asks"), "f", "g", "v", nothing.alias("keys"))
-    held = tiled.join(F.broadcast(parts_of.select("cell", "shares")), "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("cell", "tile", "share", F.lit(0).alias("asks"), "f", "g", "v", "keys")
-    dealt = held.unionByName(asked).repartition(parts, "cell", "tile", "share").sortWithinPartitions("cell", "tile", "share", "asks")
+            own, group, reach = (np.asarray(batch.column(i)) for i in (1, 2, 3))
+            for d, at in _sizes(batch.column(0)):
+                step = max(1, BLOCK // max(1, len(pivots.by_size.get(d, ([],))[0])))
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
+                    row, cell = pivots.visits(_matrix(batch.column(0), part), own[part], reach[part])
+                    pair = np.unique(np.stack([group[part][row], cell]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0].astype(np.int32)), pa.array(pair[1])], names=["group", "cell"])
+
+    calls = tables.stored(bounded.select("v", "cell", "group", "reach").mapInArrow(visits, "group int, cell long").distinct(), "visits")
+    shared = calls.join(F.broadcast(places), "cell").select("group", F.explode(F.sequence(F.col("s0"), F.col("s0") + F.col("sn") - 1)).alias("share")).distinct()
+    asking = shared.groupBy("group").agg(F.collect_list("share").alias("shares"))
+    visited = calls.groupBy("cell").agg(F.collect_list("group").alias("groups"))
+    asked = bounded.join(F.broadcast(asking), "group").select("group", F.explode("shares").alias("share"), F.lit(0).alias("turn"), "cell", "f", "g", "v", "reach", F.lit(None).cast("long").alias("first"))
+    met = tiled.join(F.broadcast(visited), "cell").select(F.explode("groups").alias("group"), "share", F.lit(1).alias("turn"), "cell", "f", "g", "v", F.lit(None).cast("double").alias("reach"), F.element_at("keys", 1).alias("first"))
+    dealt = asked.unionByName(met).repartition(max(parts, min(4 * tasks, 2048)), "group", "share").sortWithinPartitions("group", "share", "turn", "cell")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A tile's own rows come first and are held; those that ask pass by."""
-        here, x, keys = None, [], []
+        """A group comes first and is held; those that it meets pass by."""
+
+        def told() -> Iterator[pa.RecordBatch]:
+            asks.settle()
+            for at in range(0, len(asks.x), 4096):
+                found = asks.found[at : at + 4096].copy()
+                none = ~found.any(axis=1)
+                found[none, 0] = True  # for the number of comparisons alone
+                row, column = np.nonzero(found)
+                count = np.where(np.diff(row, prepend=-1) > 0, asks.met[at + row], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(f[at + row]), pa.array(g[at + row]), pa.array(asks.key[at + row, column], mask=none[row]), pa.array(asks.distance[at + row, column], mask=none[row]), pa.array(count)], names=["f", "g", "neighbour", "distance", "met"])
+
+        here, held, asks, f, g = None, [], None, None, None
         for batch in batches:
-            marks = np.stack([np.asarray(batch.column(i)) for i in range(4)], axis=1)
+            marks = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)], axis=1)
+            marks[marks[:, 2] == 0, 3] = 0  # those that ask are taken together
             new = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]).any(axis=1))) if len(marks) else np.empty(0, int)
             for a, b in zip(new.tolist(), [*new[1:].tolist(), len(marks)], strict=True):
-                part, tile = batch.slice(a, b - a), tuple(marks[a, :3].tolist())
-                if not marks[a, 3]:
-                    if tile != here:
-                        here, x, keys = tile, [], []
-                    x.append(_matrix(part.column(6)))
-                    keys.extend(part.column(7).to_pylist())
+                part, pair = batch.slice(a, b - a), tuple(marks[a, :2].tolist())
+                if not marks[a, 2]:
+                    if pair != here:
+                        if asks is not None:
+                            yield from told()
+                        here, held, asks = pair, [], None
+                    held.append([np.asarray(part.column(3)), np.asarray(part.column(4)), np.asarray(part.column(5)), _matrix(part.column(6)), np.asarray(part.column(7))])
                     continue
-                x = [np.concatenate(x)]
-                q = _matrix(part.column(6))
-                for at in range(0, len(q), 256):
-                    found = _best(distances(q[at : at + 256], x[0]), keys, k + 1)
-                    n = np.array([len(f) for f, _ in found])
-                    ids = [part.column(i).slice(at, 256).take(pa.array(np.repeat(np.arange(len(n)), n))) for i in (4, 5)]
-                    met = np.zeros(int(n.sum()), np.int64)
-                    met[np.cumsum(n) - n] = len(keys)
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate([f for f, _ in found])), pa.array(np.concatenate([d for _, d in found])), pa.array(met)], names=["f", "g", "neighbour", "distance", "met"])
+                if asks is None:
+                    own, f, g, x, reach = (np.concatenate(c) for c in zip(*held, strict=True))
+                    asks, held = Asking(pivots, x, own, reach, k + 1), []
+                y, keys = _matrix(part.column(6)), part.column(8).to_numpy(zero_copy_only=False).astype(np.int64)
+                for at in range(0, len(y), 2 * TILE):
+                    asks.meet(int(marks[a, 3]), y[at : at + 2 * TILE], keys[at : at + 2 * TILE])
+        if asks is not None:
+            yield from told()
 
     answers = tables.stored(dealt.mapInArrow(answer, "f long, g long, neighbour long, distance double, met long"), "answers")
-    cost = answers.select("f", "g", "met").unionByName(bounded.select("f", "g", "met")).groupBy("f", "g").agg((F.sum("met") + len(drawn) * 2).alias("compared"))
-    best = answers.withColumn("i", F.row_number().over(Window.partitionBy("f", "g").orderBy("distance", "neighbour"))).where(F.col("i") <= k + 1)
+    cost = answers.select("f", "g", "met").unionByName(bounded.select("f", "g", "met")).groupBy("f", "g").agg((F.sum("met") + len(drawn) * 3).alias("compared"))
+    near = Window.partitionBy("f", "g").orderBy("distance", "neighbour")
+    best = answers.where("neighbour IS NOT NULL").withColumn("i", F.row_number().over(near)).where(F.col("i") <= k + 1)
+    # classes became their smallest keys, the others follow here
+    best = best.join(classes.select(F.element_at("keys", 1).alias("neighbour"), "keys"), "neighbour").select("f", "g", F.explode("keys").alias("neighbour"), "distance")
+    best = best.withColumn("i", F.row_number().over(near)).where(F.col("i") <= k + 1)
     each = rows.select("key", "f", "g").join(best.select("f", "g", "neighbour", "distance"), ["f", "g"])
     each = each if include_self else each.where("key <> neighbour")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
