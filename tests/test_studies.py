@@ -159,6 +159,25 @@ def test_features_approximate_the_kernel(spark):
     assert np.abs(z @ z.T - want).max() < 0.08
 
 
+def test_nested_trains_over_few_partitions_and_each_machine_once(spark, monkeypatch):
+    parts, fit = [], learn.LinearSVC._fit
+
+    def counted(self, dataset):
+        parts.append(dataset.rdd.getNumPartitions())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(learn.LinearSVC, "_fit", counted)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2))
+    df = spark.createDataFrame([(i, [float(a) for a in v], int((v**2).sum() > 1.4)) for i, v in enumerate(x)], "k long, v array<double>, y int")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        assert learn.nested(df, "v", "y", "k", [0.1, 0.5], [0.01], 2, 16).count() == 120
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(parts) == 2 * (2 * 2 + 1) and max(parts) <= spark.sparkContext.defaultParallelism
+
+
 def test_platt_follows_the_chance(spark):
     rng = np.random.default_rng(6)
     m = rng.normal(size=4000) * 2

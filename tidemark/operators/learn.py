@@ -23,6 +23,8 @@ from tidemark.operators.ranking import quantiles
 from tidemark.operators.sampling import folds
 from tidemark.shared import Tables
 
+PART = 1 << 17
+
 MODELS = {
     "logistic": lambda: LogisticRegression(maxIter=50),
     "linear_svm": lambda: LinearSVC(maxIter=50),
@@ -36,6 +38,13 @@ def _prepared(df: DataFrame, features: str | list[str], label: str, key: str, mo
     return data.select(key, F.col(label).cast("double").alias("label"), "raw", *more)
 
 
+def _kept(tables: Tables, data: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """data as a table in the shared folder, and cached: in a partition for each core, in more where these would pass PART rows. Each round of a training is a task for every partition."""
+    rows = tables.stored(data, "rows")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART))
+    return rows, rows.repartition(parts, key).persist()
+
+
 def _scored(train: DataFrame, test: DataFrame, model: str) -> tuple[float | None, float | None]:
     """AUC and accuracy on test of a model trained on train, features scaled on train."""
     scale = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
@@ -46,23 +55,27 @@ def _scored(train: DataFrame, test: DataFrame, model: str) -> tuple[float | None
 
 def cross_validated(df: DataFrame, features: str | list[str], label: str, key: str, model: str = "logistic", k: int = 5, seed: int = 418) -> DataFrame:
     """fold, auc, acc of a model trained on the other folds (labels 0 and 1, features scaled on the training folds). Trains k models when it is called; the table is cached until then."""
-    data = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed), features, label, key, ["fold"]).persist()
+    tables = Tables(df.sparkSession)
+    rows, data = _kept(tables, _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed), features, label, key, ["fold"]), key)
     try:
         out = [(i, *_scored(data.where(F.col("fold") != i), data.where(F.col("fold") == i), model)) for i in range(k)]
     finally:
         data.unpersist()
+        tables.drop(rows)
     return df.sparkSession.createDataFrame(out, "fold int, auc double, acc double")
 
 
 def held_out(df: DataFrame, features: str | list[str], label: str, key: str, model: str = "logistic", share: float = 0.3, seed: int = 418) -> DataFrame:
     """One row: auc, acc, rows of a stratified part of the rows (share, in tenths) that the model wasn't trained on."""
-    data = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, 10, seed, "_part"), features, label, key, ["_part"]).persist()
+    tables = Tables(df.sparkSession)
+    rows, data = _kept(tables, _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, 10, seed, "_part"), features, label, key, ["_part"]), key)
     try:
         test = data.where(F.col("_part") < round(10 * share))
         auc, acc = _scored(data.where(F.col("_part") >= round(10 * share)), test, model)
         return df.sparkSession.createDataFrame([(auc, acc, test.count())], "auc double, acc double, rows long")
     finally:
         data.unpersist()
+        tables.drop(rows)
 
 
 def scores(df: DataFrame) -> DataFrame:
@@ -101,14 +114,19 @@ def rbf_machine(gamma: float = 0.0, strength: float = 1.0, size: int = 256) -> P
     return Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), FourierFeatures(gamma=gamma, size=size), LinearSVC(maxIter=20, tol=1e-4, regParam=strength)])
 
 
-def grid_searched(train: DataFrame, gammas: list[float], strengths: list[float], k: int = 3, size: int = 256, seed: int = 418) -> tuple[PipelineModel, float, float]:
-    """The machine with the best mean AUC over k inner folds, trained on all rows, and its gamma and strength."""
+def _searched(train: DataFrame, gammas: list[float], strengths: list[float], k: int, size: int, seed: int, fold: str = "") -> tuple[PipelineModel, float, float, list[PipelineModel]]:
+    """The machine with the best mean AUC over k inner folds (by a column of their numbers, or at random), trained on all rows, its gamma and strength, and the machines of that setting that were trained without each fold."""
     machine = rbf_machine(size=size)
     grid = ParamGridBuilder().addGrid(machine.getStages()[1].gamma, gammas).addGrid(machine.getStages()[2].regParam, strengths).build()
-    found = CrossValidator(estimator=machine, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=k, seed=seed, parallelism=4).fit(train)
-    best = grid[int(np.argmax(found.avgMetrics))]
-    values = {p.name: v for p, v in best.items()}
-    return found.bestModel, values["gamma"], values["regParam"]
+    found = CrossValidator(estimator=machine, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=k, seed=seed, parallelism=4, collectSubModels=True, foldCol=fold).fit(train)
+    best = int(np.argmax(found.avgMetrics))
+    values = {p.name: v for p, v in grid[best].items()}
+    return found.bestModel, values["gamma"], values["regParam"], [models[best] for models in found.subModels]
+
+
+def grid_searched(train: DataFrame, gammas: list[float], strengths: list[float], k: int = 3, size: int = 256, seed: int = 418) -> tuple[PipelineModel, float, float]:
+    """The machine with the best mean AUC over k inner folds, trained on all rows, and its gamma and strength."""
+    return _searched(train, gammas, strengths, k, size, seed)[:3]
 
 
 def margins(model, rows: DataFrame) -> DataFrame:
@@ -141,21 +159,25 @@ def calibration_error(rows: DataFrame, prob: str = "prob", label: str = "label",
 def nested(df: DataFrame, features: str | list[str], label: str, key: str, gammas: list[float], strengths: list[float], k: int = 3, size: int = 256, seed: int = 418) -> DataFrame:
     """Grid search within cross-validation: of each row by the machine that was chosen and trained without it (a fold of k): key, label, fold, gamma, strength, margin, prediction, prob.
 
-    prob is calibrated on the margins of the other folds' rows, each by a machine of the same setting that didn't have the row in its training. Trains
-    (k inner folds x grid + 1 + k) machines a fold when it is called; the features are cached meanwhile, the scores are a table in the shared folder.
+    prob is calibrated on the margins of the other folds' rows, each by a machine of the same setting that didn't have the row in its training: the
+    search's own, whose inner folds go by a hash of the key. Trains (k inner folds x grid + 1) machines a fold when it is called; the features are
+    cached meanwhile, the scores are a table in the shared folder.
     """
     tables = Tables(df.sparkSession)
-    data = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed), features, label, key, ["fold"]).persist()
+    dealt = _prepared(folds(df.where(F.col(label).isin(0, 1)), label, key, k, seed), features, label, key, ["fold"])
+    stored, data = _kept(tables, dealt.withColumn("inner", F.pmod(F.xxhash64(key), F.lit(k)).cast("int")), key)
     try:
         scored = []
         for i in range(k):
             train, test = data.where(F.col("fold") != i), data.where(F.col("fold") == i)
-            model, gamma, strength = grid_searched(train, gammas, strengths, k, size, seed)
-            apart = [margins(rbf_machine(gamma, strength, size).fit(train.where(F.pmod(F.xxhash64(key), F.lit(k)) != j)), train.where(F.pmod(F.xxhash64(key), F.lit(k)) == j)) for j in range(k)]
+            model, gamma, strength, others = _searched(train, gammas, strengths, k, size, seed, "inner")
+            apart = [margins(other, train.where(F.col("inner") == j)).select("label", "margin") for j, other in enumerate(others)]
             out = apart[0]
             for other in apart[1:]:
                 out = out.unionByName(other)
-            a, b = platt(out.select("label", "margin"))
+            out = out.persist()
+            a, b = platt(out)
+            out.unpersist()
             rows = margins(model, test).select(F.col(key), F.col("label").cast("int").alias("label"), "fold", F.lit(gamma).alias("gamma"), F.lit(strength).alias("strength"), "margin", F.col("prediction").cast("int").alias("prediction"), (1 / (1 + F.exp(-(a * F.col("margin") + b)))).alias("prob"))
             scored.append(tables.stored(rows, "scores"))
         out = scored[0]
@@ -164,6 +186,7 @@ def nested(df: DataFrame, features: str | list[str], label: str, key: str, gamma
         return out
     finally:
         data.unpersist()
+        tables.drop(stored)
 
 
 def one_class(df: DataFrame, features: str | list[str], label: str, key: str, nu: float = 0.1, gamma: float = 0.0, size: int = 256, rounds: int = 25, seed: int = 418) -> DataFrame:
@@ -173,7 +196,8 @@ def one_class(df: DataFrame, features: str | list[str], label: str, key: str, nu
     1 / round: each round is one aggregate of all rows, of which the driver sees a vector as long as a row. rho is the share nu of the
     training rows' values w z in the end, so that this share has a score above 0. The features are cached meanwhile.
     """
-    data = _prepared(df, features, label, key, [])
+    tables = Tables(df.sparkSession)
+    stored, data = _kept(tables, _prepared(df, features, label, key, []), key)
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(data.where("label = 0"))
     rows = FourierFeatures(gamma=gamma, size=size, seed=seed).transform(scale.transform(data)).select(key, F.col("label").cast("int").alias("label"), vector_to_array("features").alias("z")).persist()
     try:
@@ -184,9 +208,11 @@ def one_class(df: DataFrame, features: str | list[str], label: str, key: str, nu
             rho = quantiles(_along(normal, w), "x", [nu]).first()[0] or 0.0
             w = w - (w - _sums(normal.select("z"), w, rho) / (nu * n)) / (k + 1)
         rho = quantiles(_along(normal, w), "x", [nu]).first()[0] or 0.0
-        return Tables(df.sparkSession).stored(_along(rows, w, key, "label").select(key, "label", (F.lit(rho) - F.col("x")).alias("score")), "scores")
+        return tables.stored(_along(rows, w, key, "label").select(key, "label", (F.lit(rho) - F.col("x")).alias("score")), "scores")
     finally:
         rows.unpersist()
+        data.unpersist()
+        tables.drop(stored)
 
 
 def _along(rows: DataFrame, w: np.ndarray, *more: str) -> DataFrame:
