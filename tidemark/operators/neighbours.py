@@ -103,8 +103,15 @@ class Pivots:
             at[i : i + step] = np.nan_to_num(_squares(x[i : i + step], pivots)[0], nan=np.inf).argmin(axis=1)
         return number[at], distances(x, pivots[at])
 
-    def visits(self, x: np.ndarray, own: np.ndarray, reach: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and the cells (all, or one of these) that may hold a vector within reach of a row, whose own cell is given."""
+    def away(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Distances to the pivots of their own cells."""
+        if x.shape[1] not in self.by_size:
+            return np.zeros(len(x))
+        number, pivots = self.by_size[x.shape[1]]
+        return distances(x, pivots[np.searchsorted(number, own)])
+
+    def visits(self, x: np.ndarray, own: np.ndarray, away: np.ndarray, reach: np.ndarray, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and the cells (all, or one of these) that may hold a vector within reach of a row, whose own cell and distance to its pivot are given."""
         size = x.shape[1]
         if size not in self.by_size:
             return np.arange(len(x)), np.full(len(x), -size)
@@ -117,8 +124,8 @@ class Pivots:
             low = np.sqrt(np.maximum(d - off, 0)) - radius
             # rounding may have put a vector of the cell beyond its border, too
             beyond = 2 * _off(2 * norm[used] + radius, norm[home][:, None], size)
-            far = d - off - distances(x, pivots[home])[:, None] ** 2 - beyond
-            border = np.where(number[used] == own[:, None], 0, far / (2 * self.between(size)[home][:, used]))
+            far = d - off - away[:, None] ** 2 - beyond
+            border = np.where(number[used] == own[:, None], 0, far / (2 * self.between(size)[:, used][home]))
             row, cell = np.nonzero(~((low > (reach + SLACK * (1 + reach))[:, None]) | (border > (reach + SLACK * (1 + reach))[:, None])))
         return row, number[used][cell]
 
@@ -158,6 +165,7 @@ class Asking:
 
     def __init__(self, pivots: Pivots, x: np.ndarray, own: np.ndarray, reach: np.ndarray, k: int):
         self.pivots, self.x, self.own, self.reach, self.k = pivots, x, own, reach.copy(), k
+        self.away = pivots.away(x, own)
         self.distance, self.key = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
         self.found, self.met = np.zeros((len(x), k), bool), np.zeros(len(x), np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -171,7 +179,7 @@ class Asking:
             b = y - middle
             bb = np.einsum("ij,ij->i", b, b)
             b, widest = np.column_stack([b, -bb / 2]).astype(np.float32).T, np.sqrt(bb.max())
-            rows = self.pivots.visits(self.x, self.own, self.reach, np.array([cell]))[0]
+            rows = self.pivots.visits(self.x, self.own, self.away, self.reach, np.array([cell]))[0]
             self.met[rows] += len(y)
             for at in range(0, len(rows), step):
                 r = rows[at : at + step]
@@ -272,7 +280,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 100, include_self: bo
                 step = max(1, BLOCK // max(1, len(pivots.by_size.get(d, ([],))[0])))
                 for i in range(0, len(at), step):
                     part = at[i : i + step]
-                    row, cell = pivots.visits(_matrix(batch.column(0), part), own[part], reach[part])
+                    x = _matrix(batch.column(0), part)
+                    row, cell = pivots.visits(x, own[part], pivots.away(x, own[part]), reach[part])
                     pair = np.unique(np.stack([group[part][row], cell]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pair[0].astype(np.int32)), pa.array(pair[1])], names=["group", "cell"])
 
