@@ -164,6 +164,37 @@ def test_components_in_pieces_and_by_rounds_of_joins(spark, monkeypatch):
         assert {frozenset(x) for x in found.values()} == want
 
 
+def test_items_spread_together_equal_items_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 1300  # numbers of one to four digits
+    edges = {(int(u), int(v)) for u, v in rng.integers(1, n + 1, (9 * n, 2)) if u != v} | {(i, i + 1) for i in range(1, n)} | {(7, i) for i in range(8, n + 1)}
+    near = np.zeros((n, n), bool)
+    for u, v in edges:
+        near[u - 1, v - 1] = near[v - 1, u - 1] = True
+    numbers = rng.permutation(n) + 1
+    table = simulate._pack(
+        simulate.pa.table({"bin": [5] * len(edges), "a": [u for u, _ in edges], "v": [f"n{v}" for _, v in edges]}),
+        simulate.pa.table({"home": [5] * n, "node": [f"n{x}" for x in numbers], "number": numbers}),
+    )
+    items = [("x" * (1 + 3 * i), 0.02 + 0.02 * (i % 9), 1 + 61 * i) for i in range(20)] + [("certain", 1.0, 3), ("none", 0.0, 4)]
+    want = []
+    for image, p, number in items:
+        done = np.arange(n) == number - 1
+        for k in range(4):
+            tries = near[:, done].sum(axis=1)
+            done |= [not d and t > 0 and draw(9, image, k, i + 1) < 1 - (1 - p) ** t for i, (d, t) in enumerate(zip(done.tolist(), tries.tolist(), strict=True))]
+        want.append(int(done.sum()))
+    passes, inner = [], simulate._compressed
+    monkeypatch.setattr(simulate, "_compressed", lambda *x: passes.append(1) or inner(*x))
+    graph = simulate._Bin(*(table.column(c)[0].as_py() for c in ("nodes", "begins", "ends")))
+    assert graph.reached(items, 4, 9) == want and len(set(want)) > 9
+    assert len(passes) <= 16  # a pass for each item, round and number of digits would be hundreds
+    graph.lane = np.uint32
+    assert graph.reached(items, 4, 9) == want
+    monkeypatch.setattr(simulate, "WORDS", 100)
+    assert simulate._Bin(*(table.column(c)[0].as_py() for c in ("nodes", "begins", "ends"))).reached(items, 4, 9) == want
+
+
 def test_md5_of_many_texts(spark):
     digits = np.random.default_rng(0).integers(48, 58, (4, 9)).astype(np.uint8)
     for n in range(0, 130, 3):
